@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldlab.operators.stats import normalize, safe_std
+from fieldlab.functions.arrays import indices, let
+from fieldlab.operators.stats import safe_std
 
 # Clip bound of normalized differences; padding rows/columns; channels per mode for four variables.
 DIFF_CLIP = 15.0
@@ -70,42 +71,46 @@ def pad_cells(cells: DataFrame, w: int, top: int = PAD_TOP, left: int = PAD_LEFT
 def pad_field(values: Column, h: Column, w: Column, top=PAD_TOP, bottom=PAD_BOTTOM, left=PAD_LEFT, right=PAD_RIGHT) -> Column:
     """Row-major field padded with zero rows and wrapped columns; the size becomes (h+top+bottom) x (w+left+right)."""
     wide = w + (left + right)
-    total = ((h + (top + bottom)) * wide).cast("int")
 
-    def cell(pos: Column) -> Column:
-        y = F.floor(pos / wide) - top
-        x = F.pmod(pos % wide - left, w)
-        inside = (y >= 0) & (y < h)
-        return F.when(inside, F.get(values, (y * w + x).cast("int"))).otherwise(0.0)
+    def padded(a: Column) -> Column:
+        def cell(pos: Column) -> Column:
+            y = F.floor(pos / wide) - top
+            x = F.pmod(pos % wide - left, w)
+            return F.when((y >= 0) & (y < h), F.get(a, (y * w + x).cast("int"))).otherwise(0.0)
 
-    return F.transform(F.sequence(F.lit(0), total - 1), cell)
+        return F.transform(indices((h + (top + bottom)) * wide), cell)
+
+    return let(values, padded)
 
 
 def crop_field(values: Column, h: Column, w: Column, top=PAD_TOP, bottom=PAD_BOTTOM, left=PAD_LEFT, right=PAD_RIGHT) -> Column:
     """Inverse of `pad_field`, given the padded size."""
-    inner = (w - (left + right)).cast("int")
-    total = ((h - (top + bottom)) * inner).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), total - 1),
-        lambda pos: F.get(values, ((F.floor(pos / inner) + top) * w + pos % inner + left).cast("int")),
-    )
+    inner = w - (left + right)
+
+    def cropped(a: Column) -> Column:
+        return F.transform(
+            indices((h - (top + bottom)) * inner),
+            lambda pos: F.get(a, ((F.floor(pos / inner) + top) * w + pos % inner + left).cast("int")),
+        )
+
+    return let(values, cropped)
 
 
 def crop_if_padded(values: Column, h: Column, w: Column, padded: tuple[int, int]) -> Column:
     """Crop only fields that have the padded size; others pass through."""
-    return F.when((h == padded[0]) & (w == padded[1]), crop_field(values, h, w)).otherwise(values)
+    return let(values, lambda a: F.when((h == padded[0]) & (w == padded[1]), crop_field(a, h, w)).otherwise(a))
 
 
 def transpose_field(values: Column, h: Column, w: Column) -> Column:
     """Row-major (h, w) to row-major (w, h)."""
-    return F.transform(
-        F.sequence(F.lit(0), (h * w).cast("int") - 1), lambda p: F.get(values, ((p % h) * w + F.floor(p / h)).cast("int"))
+    return let(
+        values, lambda a: F.transform(indices(h * w), lambda p: F.get(a, ((p % h) * w + F.floor(p / h)).cast("int")))
     )
 
 
 def flip_lon_field(values: Column, w: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0), F.size(values) - 1), lambda p: F.get(values, (p - p % w + (w - 1 - p % w)).cast("int"))
+    return let(
+        values, lambda a: F.transform(indices(F.size(a)), lambda p: F.get(a, (p - p % w + (w - 1 - p % w)).cast("int")))
     )
 
 
@@ -126,25 +131,25 @@ def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str]) -> Data
     Rows of one sample meet once; the group has one row per variable.
     """
     index = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable"))
+    cols = F.floor(F.col("w") / patch).cast("int")
     fields = snapshots.where(F.col("variable").isin(list(variables))).groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct(index.alias("i"), F.col("values").alias("v")))).alias("_f"),
         F.first("h").alias("h"),
         F.first("w").alias("w"),
     )
-    cols = F.floor(F.col("w") / patch).cast("int")
-    count = F.floor(F.col("h") / patch).cast("int") * cols
-    rows = fields.withColumn("_cols", cols).withColumn("patch", F.explode(F.sequence(F.lit(0), count - 1)))
-    base = F.floor(F.col("patch") / F.col("_cols")) * patch * F.col("w") + (F.col("patch") % F.col("_cols")) * patch
     inside = F.sequence(F.lit(0), F.lit(patch * patch - 1))
-    token = F.flatten(
-        F.transform(
-            "_f",
-            lambda f: F.transform(
-                inside, lambda q: F.get(f["v"], (base + F.floor(q / patch) * F.col("w") + q % patch).cast("int"))
-            ),
-        )
-    )
-    return rows.select("sample_id", "patch", token.alias("token"))
+
+    def tokens(channels: Column) -> Column:
+        def one(p: Column) -> Column:
+            def cell(f: Column, q: Column) -> Column:
+                y = F.floor(p / cols) * patch + F.floor(q / patch)
+                return F.get(f["v"], (y * F.col("w") + (p % cols) * patch + q % patch).cast("int"))
+
+            return F.flatten(F.transform(channels, lambda f: F.transform(inside, lambda q: cell(f, q))))
+
+        return F.transform(indices(F.floor(F.col("h") / patch).cast("int") * cols), one)
+
+    return fields.select("sample_id", F.posexplode(let(F.col("_f"), tokens)).alias("patch", "token"))
 
 
 def to_snapshots(cells: DataFrame, h: int, w: int) -> DataFrame:
@@ -188,6 +193,3 @@ def denormalize_snapshots(snapshots: DataFrame, stats: DataFrame) -> DataFrame:
     s = stats.select("variable", F.col("mean").alias("_mean"), safe_std(F.col("std")).alias("_std"))
     raw = F.transform("values", lambda v: v * F.col("_std") + F.col("_mean"))
     return snapshots.join(s, "variable").withColumn("values", raw).drop("_mean", "_std")
-
-
-__all__ = ["compose", "normalize", "clip_diff", "pad_field", "crop_field", "patchify", "to_snapshots", "to_cells"]

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from fieldlab.functions.arrays import indices, let, mean_of, moments_of
 from fieldlab.functions.keyed import digest, normal, uniform
 
 # Scales of the training family at severity 1, ladder end, and the spatial scales.
@@ -171,39 +172,43 @@ def pixel_replace(df: DataFrame, severity, seed: int = 0) -> DataFrame:
 
 
 def wind_patch_shuffle(df: DataFrame, severity, seed: int = 0, patch: int = 16, wind: Sequence[str] = ("u", "v")) -> DataFrame:
-    """Permute rint(severity * n) of the n whole patches of the wind fields. Rows and columns beyond whole patches stay."""
-    s = _column(severity)
-    cols = F.floor(F.col("w") / patch).cast("int")
-    rows = F.floor(F.col("h") / patch).cast("int")
+    """Permute rint(severity * n) of the n whole patches of the wind fields. Rows and columns beyond whole patches stay.
+
+    The chosen patches, in one keyed order, receive the same patches in another. u and v follow the same keys.
+    """
+    s, h, w = _column(severity), F.col("h"), F.col("w")
+    cols, rows = F.floor(w / patch).cast("int"), F.floor(h / patch).cast("int")
     n = rows * cols
     k = F.least(F.rint(s * n).cast("int"), n)
 
-    def ranked(patches: Column, purpose: str) -> Column:
+    def ordered(patches: Column, purpose: str) -> Column:
         tagged = F.transform(patches, lambda p: F.struct(digest(seed, purpose, F.col("sample_id"), p).alias("d"), p.alias("p")))
         return F.transform(F.sort_array(tagged), lambda t: t["p"])
 
-    active = (s > 0) & (k >= 2) & F.col("variable").isin(list(wind))
-    staged = (
-        df.withColumn("_s", s)
-        .withColumn("_to", F.when(active, F.slice(ranked(F.sequence(F.lit(0), n - 1), "pick"), F.lit(1), k)))
-        .withColumn("_from", ranked(F.col("_to"), "order"))
-    )
-    source = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda p: F.coalesce(F.get("_from", (F.array_position("_to", p) - 1).cast("int")), p),
-    )
-    staged = staged.withColumn("_src", F.when(F.col("_to").isNotNull(), source))
+    def source_of(chosen: Column) -> Column:
+        """Source patch of each patch, from a map destination -> source as an array."""
+        return let(
+            ordered(chosen, "order"),
+            lambda given: F.transform(
+                indices(n), lambda p: F.coalesce(F.get(given, (F.array_position(chosen, p) - 1).cast("int")), p)
+            ),
+        )
 
-    def cell(v: Column, i: Column) -> Column:
-        y, x = F.floor(i / F.col("w")), i % F.col("w")
-        whole = (y < rows * patch) & (x < cols * patch)
-        src = F.get("_src", (F.floor(y / patch) * cols + F.floor(x / patch)).cast("int"))
-        from_y = F.floor(src / cols) * patch + y % patch
-        from_x = src % cols * patch + x % patch
-        return F.when(whole, F.get("values", (from_y * F.col("w") + from_x).cast("int"))).otherwise(v)
+    def moved(field: Column, source: Column) -> Column:
+        def cell(v: Column, i: Column) -> Column:
+            y, x = F.floor(i / w), i % w
+            whole = (y < rows * patch) & (x < cols * patch)
+            src = F.get(source, (F.floor(y / patch) * cols + F.floor(x / patch)).cast("int"))
+            from_y = F.floor(src / cols) * patch + y % patch
+            from_x = src % cols * patch + x % patch
+            return F.when(whole, F.get(field, (from_y * w + from_x).cast("int"))).otherwise(v)
 
-    moved = F.when(F.col("_src").isNotNull(), F.transform("values", cell)).otherwise(F.col("values"))
-    return staged.withColumn("values", moved).drop("_s", "_to", "_from", "_src")
+        return F.transform(field, cell)
+
+    picked = F.slice(ordered(indices(n), "pick"), F.lit(1), k)
+    shuffled = let(F.col("values"), lambda field: let(let(picked, source_of), lambda source: moved(field, source)))
+    active = (s > 0) & (k >= 2) & F.col("variable").isin(list(wind))
+    return df.withColumn("values", F.when(active, shuffled).otherwise(F.col("values")))
 
 
 def wind_rotation(
@@ -275,12 +280,19 @@ def disturb_noise(df: DataFrame, level, seed: int = 0) -> DataFrame:
 def disturb_grf(df: DataFrame, level, seed: int = 0) -> DataFrame:
     """Smoothed white noise, standardized over the field, times level * std."""
     white = F.transform("values", lambda v, i: normal(seed, "dgrf", F.col("sample_id"), F.col("variable"), i))
-    staged = df.withColumn("_g", gaussian_blur(white, "h", "w", F.lit(ANALYSIS_GRF_SIGMA)))
-    staged = staged.withColumn("_m", _mean("_g")).withColumn("_sd", _std("_g", F.col("_m")) + 1e-8)
-    added = F.zip_with(
-        "values", "_g", lambda v, g: v + _column(level) * F.col("std") * (g - F.col("_m")) / F.col("_sd")
-    )
-    return staged.withColumn("values", F.when(_column(level) > 0, added).otherwise(F.col("values"))).drop("_g", "_m", "_sd")
+
+    def noisy(s: Column) -> Column:
+        def added(smooth: Column) -> Column:
+            return let(
+                moments_of(smooth),
+                lambda m: F.zip_with(
+                    "values", smooth, lambda v, g: v + s * F.col("std") * (g - m["mean"]) / (m["std"] + 1e-8)
+                ),
+            )
+
+        return let(gaussian_blur(white, "h", "w", F.lit(ANALYSIS_GRF_SIGMA)), added)
+
+    return _changed(df, level, noisy)
 
 
 def disturb_replace(df: DataFrame, level, seed: int = 0) -> DataFrame:
@@ -289,56 +301,65 @@ def disturb_replace(df: DataFrame, level, seed: int = 0) -> DataFrame:
     The cells with the smallest digests go; comparing with the last of them marks the cells in one pass.
     """
     key = (F.col("sample_id"), F.col("variable"))
-    count = F.floor(_column(level) * F.size("values")).cast("int")
-    staged = (
-        df.withColumn("_m", _mean("values"))
-        .withColumn("_sd", _std("values", F.col("_m")))
-        .withColumn("_d", F.transform("values", lambda v, i: digest(seed, "dpick", *key, i)))
-        .withColumn("_cut", F.get(F.sort_array("_d"), count - 1))
-    )
-    fresh = F.transform(
-        F.arrays_zip(F.col("values").alias("v"), F.col("_d").alias("d")),
-        lambda c, i: F.when(c["d"] <= F.col("_cut"), F.col("_m") + F.col("_sd") * normal(seed, "dfresh", *key, i)).otherwise(c["v"]),
-    )
-    return staged.withColumn("values", F.when(count > 0, fresh).otherwise(F.col("values"))).drop("_m", "_sd", "_d", "_cut")
+
+    def replaced(s: Column) -> Column:
+        def with_digests(digests: Column) -> Column:
+            cut = F.get(F.sort_array(digests), F.floor(s * F.size(digests)).cast("int") - 1)
+            state = F.struct(cut.alias("cut"), moments_of(F.col("values")).alias("m"))
+
+            def fresh(c: Column, i: Column, st: Column) -> Column:
+                return F.when(c["d"] <= st["cut"], st["m.mean"] + st["m.std"] * normal(seed, "dfresh", *key, i)).otherwise(c["v"])
+
+            cells = F.arrays_zip(F.col("values").alias("v"), digests.alias("d"))
+            return let(state, lambda st: F.transform(cells, lambda c, i: fresh(c, i, st)))
+
+        return let(F.transform("values", lambda v, i: digest(seed, "dpick", *key, i)), with_digests)
+
+    some = F.floor(_column(level) * F.size("values")) > 0
+    return _changed(df, F.when(some, _column(level)).otherwise(0.0), replaced)
 
 
 def disturb_patch(df: DataFrame, level, seed: int = 0, patch: int = ANALYSIS_PATCH) -> DataFrame:
     """Set int(level * patches) whole patches, those with the smallest digests, to the field mean."""
-    cols = F.floor(F.col("w") / patch).cast("int")
-    rows = F.floor(F.col("h") / patch).cast("int")
+    h, w = F.col("h"), F.col("w")
+    cols, rows = F.floor(w / patch).cast("int"), F.floor(h / patch).cast("int")
     n = rows * cols
-    count = F.floor(_column(level) * n).cast("int")
-    digests = F.transform(
-        F.sequence(F.lit(0), n - 1), lambda p: digest(seed, "dpatch", F.col("sample_id"), F.col("variable"), p)
-    )
-    staged = (
-        df.withColumn("_m", _mean("values"))
-        .withColumn("_d", F.when(n > 0, digests))
-        .withColumn("_cut", F.get(F.sort_array("_d"), count - 1))
-        .withColumn("_hit", F.transform("_d", lambda d: d <= F.col("_cut")))
-    )
 
-    def cell(v: Column, i: Column) -> Column:
-        y, x = F.floor(i / F.col("w")), i % F.col("w")
-        whole = (y < rows * patch) & (x < cols * patch)
-        hit = F.get("_hit", (F.floor(y / patch) * cols + F.floor(x / patch)).cast("int"))
-        return F.when(whole & hit, F.col("_m")).otherwise(v)
+    def dropped(s: Column) -> Column:
+        def with_digests(digests: Column) -> Column:
+            cut = F.get(F.sort_array(digests), F.floor(s * n).cast("int") - 1)
+            hits = let(cut, lambda c: F.transform(digests, lambda d: d <= c))
+            state = F.struct(hits.alias("hits"), mean_of(F.col("values")).alias("mean"))
+
+            def cell(v: Column, i: Column, st: Column) -> Column:
+                y, x = F.floor(i / w), i % w
+                hit = F.get(st["hits"], (F.floor(y / patch) * cols + F.floor(x / patch)).cast("int"))
+                return F.when((y < rows * patch) & (x < cols * patch) & hit, st["mean"]).otherwise(v)
+
+            return let(state, lambda st: F.transform("values", lambda v, i: cell(v, i, st)))
 
-    dropped = F.when(count > 0, F.transform("values", cell)).otherwise(F.col("values"))
-    return staged.withColumn("values", dropped).drop("_m", "_d", "_cut", "_hit")
+        digests = F.transform(indices(n), lambda p: digest(seed, "dpatch", F.col("sample_id"), F.col("variable"), p))
+        return let(digests, with_digests)
+
+    some = F.floor(_column(level) * n) > 0
+    return _changed(df, F.when(some, _column(level)).otherwise(0.0), dropped)
 
 
 def disturb_quantize(df: DataFrame, levels, seed: int = 0) -> DataFrame:
     """Round to `levels` even steps between the field's ends (half to even). 256 or more, 0 or less, or a flat field: unchanged."""
     n = _column(levels)
-    staged = df.withColumn("_lo", F.array_min("values")).withColumn("_hi", F.array_max("values"))
-    span = F.col("_hi") - F.col("_lo")
-    stepped = F.transform(
-        "values", lambda v: F.rint((v - F.col("_lo")) / span * (n - 1)) / (n - 1) * span + F.col("_lo")
-    )
-    active = (n < 256) & (n > 0) & (span != 0)
-    return staged.withColumn("values", F.when(active, stepped).otherwise(F.col("values"))).drop("_lo", "_hi")
+
+    def stepped(a: Column) -> Column:
+        ends = F.struct(F.array_min(a).alias("lo"), F.array_max(a).alias("hi"))
+
+        def rounded(e: Column) -> Column:
+            span = e["hi"] - e["lo"]
+            steps = F.transform(a, lambda v: F.rint((v - e["lo"]) / span * (n - 1)) / (n - 1) * span + e["lo"])
+            return F.when(span != 0, steps).otherwise(a)
+
+        return let(ends, rounded)
+
+    return df.withColumn("values", F.when((n < 256) & (n > 0), let(F.col("values"), stepped)).otherwise(F.col("values")))
 
 
 DISTURBANCES: dict[str, Callable[..., DataFrame]] = {
@@ -449,12 +470,3 @@ def _column(x) -> Column:
 def _changed(df: DataFrame, severity, change: Callable[[Column], Column]) -> DataFrame:
     s = _column(severity)
     return df.withColumn("values", F.when(s > 0, change(s)).otherwise(F.col("values")))
-
-
-def _mean(values: str) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.size(values)
-
-
-def _std(values: str, mean: Column) -> Column:
-    return F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / F.size(values))
-

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.functions.arrays import indices, let
 from fieldlab.functions.keyed import digest, uniform
 
 # Attempts before a constraint is relaxed; patches a block must exceed.
@@ -32,25 +33,31 @@ def batch_block_sizes(samples: DataFrame, rows: int, cols: int, scale, aspect, s
     return samples.select("batch").distinct().select("batch", size["h"].alias("block_h"), size["w"].alias("block_w"))
 
 
-def _rectangle(key: Sequence, attempt: Column, h: Column, w: Column, rows: int, cols: int) -> Column:
+def _rectangle(key: Sequence, attempt: Column, size: Column, rows: int, cols: int) -> Column:
+    h, w = size["h"], size["w"]
     top = F.floor(uniform(*key, "top", attempt) * (rows - h + 1)).cast("int")
     left = F.floor(uniform(*key, "left", attempt) * (cols - w + 1)).cast("int")
-    corner = top * cols + left
-    return F.transform(F.sequence(F.lit(0), h * w - 1), lambda k: (corner + F.floor(k / w) * cols + k % w).cast("int"))
+    return let(top * cols + left, lambda c: F.transform(indices(h * w), lambda k: (c + F.floor(k / w) * cols + k % w).cast("int")))
 
 
-def _first_valid(key, h, w, rows, cols, blocked: Column | None, first: int) -> Column:
+def _first_valid(key, size: Column, rows: int, cols: int, blocked: Column | None, first: int) -> Column:
     """struct(rect, kept) of the first attempt that keeps more than MIN_KEEP patches, else null."""
 
-    def attempt(a: Column) -> Column:
-        rect = _rectangle(key, a, h, w, rows, cols)
-        return F.struct(rect.alias("rect"), (rect if blocked is None else F.array_except(rect, blocked)).alias("kept"))
+    def attempt(a: Column, size: Column, blocked: Column | None) -> Column:
+        return let(
+            _rectangle(key, a, size, rows, cols),
+            lambda r: F.struct(r.alias("rect"), (r if blocked is None else F.array_except(r, blocked)).alias("kept")),
+        )
+
+    def valid(t: Column) -> Column:
+        return F.size(t["kept"]) > MIN_KEEP
 
     if blocked is None:
-        one = attempt(F.lit(first))
-        return F.when(F.size(one["kept"]) > MIN_KEEP, one)
-    tries = F.transform(F.sequence(F.lit(first), F.lit(first + ATTEMPTS - 1)), attempt)
-    return F.get(F.filter(tries, lambda t: F.size(t["kept"]) > MIN_KEEP), F.lit(0))
+        return let(size, lambda s: let(attempt(F.lit(first), s, None), lambda t: F.when(valid(t), t)))
+    tries = F.sequence(F.lit(first), F.lit(first + ATTEMPTS - 1))
+    return let(
+        size, lambda s: let(blocked, lambda b: F.get(F.filter(F.transform(tries, lambda a: attempt(a, s, b)), valid), F.lit(0)))
+    )
 
 
 def target_masks(
@@ -63,14 +70,13 @@ def target_masks(
     too small to ever be valid is an error.
     """
     size = block_size(uniform(seed, "target", F.col("batch")), rows, cols, scale, aspect)
-    df = samples.withColumn("_h", size["h"]).withColumn("_w", size["w"])
-    h, w = F.col("_h"), F.col("_w")
+    df = samples
     too_small = F.raise_error(F.lit(f"block of at most {MIN_KEEP} patches can never be valid"))
     for t in range(n_targets):
         key = (seed, "target", F.col("batch"), F.col("sample_id"), t)
-        free = _first_valid(key, h, w, rows, cols, None, ATTEMPTS + 1 if disjoint and t else 1)
+        free = _first_valid(key, size, rows, cols, None, ATTEMPTS + 1 if disjoint and t else 1)
         if disjoint and t:
-            free = F.coalesce(_first_valid(key, h, w, rows, cols, F.col("_blocked"), 1), free)
+            free = F.coalesce(_first_valid(key, size, rows, cols, F.col("_blocked"), 1), free)
         df = df.withColumn(f"_t{t}", free)
         if disjoint:
             rect = F.col(f"_t{t}.rect")
@@ -91,17 +97,15 @@ def context_masks(
     The constraint loosens by one target after every 20 failed attempts. Lists are cut to the shortest of the batch.
     """
     size = block_size(uniform(seed, "context", F.col("batch")), rows, cols, scale, (1.0, 1.0))
-    df = masked.withColumn("_h", size["h"]).withColumn("_w", size["w"])
     key = (seed, "context", F.col("batch"), F.col("sample_id"))
     n = 0 if allow_overlap else n_targets
     levels = []
     for level in range(n):
         blocked = F.flatten(F.slice("targets", F.lit(1), F.lit(n - level)))
-        levels.append(_first_valid(key, F.col("_h"), F.col("_w"), rows, cols, blocked, 1 + level * ATTEMPTS)["kept"])
-    free = _first_valid(key, F.col("_h"), F.col("_w"), rows, cols, None, 1 + n * ATTEMPTS)["kept"]
+        levels.append(_first_valid(key, size, rows, cols, blocked, 1 + level * ATTEMPTS)["kept"])
+    free = _first_valid(key, size, rows, cols, None, 1 + n * ATTEMPTS)["kept"]
     bad = F.raise_error(F.lit(f"block of at most {MIN_KEEP} patches can never be valid")).cast("array<int>")
-    df = df.withColumn("context", F.coalesce(*levels, free, bad))
-    return _cut_to_shortest(df.drop("_h", "_w"), "context")
+    return _cut_to_shortest(masked.withColumn("context", F.coalesce(*levels, free, bad)), "context")
 
 
 def world_band_masks(
@@ -112,12 +116,14 @@ def world_band_masks(
     band = F.greatest(F.lit(1), F.least(F.lit(cols), F.rint(share * cols).cast("int")))
     start = F.floor(uniform(seed, "start", F.col("batch"), F.col("sample_id")) * cols).cast("int")
     everything = F.sequence(F.lit(0), F.lit(rows * cols - 1))
-    inside = F.filter(everything, lambda p: F.pmod(p % cols - F.col("_start"), F.lit(cols)) < F.col("_band"))
+    inside = let(
+        F.struct(start.alias("start"), band.alias("band")),
+        lambda b: F.filter(everything, lambda p: F.pmod(p % cols - b["start"], F.lit(cols)) < b["band"]),
+    )
     kept = inside if allow_overlap else F.array_except(inside, F.flatten("targets"))
-    df = masked.withColumn("_start", start).withColumn("_band", band).withColumn("context", kept)
     few = F.raise_error(F.lit("world-band context has too few visible patches")).cast("array<int>")
-    df = df.withColumn("context", F.when(F.size("context") > MIN_KEEP, F.col("context")).otherwise(few))
-    return _cut_to_shortest(df.drop("_start", "_band"), "context")
+    enough = let(kept, lambda c: F.when(F.size(c) > MIN_KEEP, c).otherwise(few))
+    return _cut_to_shortest(masked.withColumn("context", enough), "context")
 
 
 def _cut_to_shortest(df: DataFrame, column: str) -> DataFrame:
@@ -149,11 +155,15 @@ def random_mask(samples: DataFrame, n_patches: int, ratio: float, seed: int = 0)
         )
     )
     n_keep = int(n_patches * (1 - ratio))
-    df = samples.withColumn("_o", F.transform(order, lambda t: t["p"]))
     everything = F.sequence(F.lit(0), F.lit(n_patches - 1))
-    df = df.withColumn("restore", F.transform(everything, lambda p: (F.array_position("_o", p) - 1).cast("int")))
-    df = df.withColumn("keep", F.slice("_o", 1, n_keep) if n_keep else F.array().cast("array<int>"))
-    return df.withColumn("mask", F.transform("restore", lambda r: F.when(r < n_keep, 0).otherwise(1))).drop("_o")
+
+    def laid_out(o: Column) -> Column:
+        restore = F.transform(everything, lambda p: (F.array_position(o, p) - 1).cast("int"))
+        keep = F.slice(o, 1, n_keep) if n_keep else F.array().cast("array<int>")
+        return F.struct(keep.alias("keep"), restore.alias("restore"))
+
+    df = samples.withColumn("_m", let(F.transform(order, lambda t: t["p"]), laid_out)).select(*samples.columns, "_m.keep", "_m.restore")
+    return df.withColumn("mask", F.transform("restore", lambda r: F.when(r < n_keep, 0).otherwise(1)))
 
 
 def gather(tokens: DataFrame, masks: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from fieldlab.plans import selection  # noqa: F401
+from fieldlab.plans import composition, selection  # noqa: F401
 from fieldlab.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]

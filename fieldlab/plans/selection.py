@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlab.functions import times
-from fieldlab.operators import catalog, compose, ranking, select, stats
+from fieldlab.operators import catalog, compose, select, stats
 from fieldlab.plans.registry import query
-from fieldlab.plans.views import TEST, TRAIN, VARIABLES, Views, digest_sql, in_range_sql, ranges_sql
+from fieldlab.plans.views import TEST, Views, digest_sql, in_range_sql, ranges_sql
 from fieldlab.sources import archive, tables
 
 CELL = "source:s init_time:t lead_hours:i variable:s y:i x:i value:d"
@@ -379,4 +379,3 @@ def probe_split(v: Views):
     return select.random_split(v.vec.select("sample_id"), "sample_id", 0.8, seed=3)
 
 
-__all__ = ["TRAIN", "VARIABLES", "ranking"]

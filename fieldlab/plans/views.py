@@ -211,6 +211,6 @@ SQL_VIEWS = {
         || year(o_orderdate) || '-01-01_' || year(o_orderdate) || '-12-31.nc' AS path FROM orders""",
     "v_axis": """SELECT source, init_time, row_number() OVER (PARTITION BY source ORDER BY init_time) - 1 AS t_idx,
         count(*) OVER (PARTITION BY source) AS n FROM (SELECT DISTINCT source, init_time FROM v_grid)""",
-    "v_statsq": """SELECT variable, avg(value) AS mean, CASE WHEN stddev_pop(value) > 1e-8 THEN stddev_pop(value) ELSE 1.0 END AS std
+    "v_stats": """SELECT variable, avg(value) AS mean, CASE WHEN stddev_pop(value) > 1e-8 THEN stddev_pop(value) ELSE 1.0 END AS std
         FROM v_grid GROUP BY variable""",
 }
