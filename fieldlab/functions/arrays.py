@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+DOUBLES = ArrayType(DoubleType())
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:

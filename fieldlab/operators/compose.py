@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldlab.functions.arrays import indices, let
+from fieldlab.functions.arrays import DOUBLES, indices, let
 from fieldlab.operators.stats import safe_std
 
 # Clip bound of normalized differences; padding rows/columns; channels per mode for four variables.
@@ -154,10 +156,7 @@ def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str]) -> Data
 
 def to_snapshots(cells: DataFrame, h: int, w: int) -> DataFrame:
     """Cell rows to one row-major array per (sample, variable). Absent cells become NaN. A group holds at most h*w cells."""
-    import numpy as np
-    import pandas as pd
-
-    @pandas_udf("array<double>")
+    @pandas_udf(DOUBLES)
     def dense(pos: pd.Series, value: pd.Series) -> pd.Series:
         out = []
         for p, v in zip(pos, value):

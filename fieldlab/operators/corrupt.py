@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fieldlab.functions.arrays import indices, let, mean_of, moments_of
+from fieldlab.functions.arrays import DOUBLES, indices, let, mean_of, moments_of
 from fieldlab.functions.keyed import digest, normal, uniform
 
 # Scales of the training family at severity 1, ladder end, and the spatial scales.
@@ -111,7 +111,7 @@ def blur_matrix(n: int, sigma: float) -> np.ndarray:
     return m
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def gaussian_blur(values: pd.Series, h: pd.Series, w: pd.Series, sigma: pd.Series) -> pd.Series:
     """Separable Gaussian filter of row-major fields; sigma <= 0 leaves a field as it is."""
     out = list(values)
@@ -124,7 +124,7 @@ def gaussian_blur(values: pd.Series, h: pd.Series, w: pd.Series, sigma: pd.Serie
     return pd.Series(out)
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def spectral_noise(h: pd.Series, w: pd.Series, std: pd.Series, key: pd.Series) -> pd.Series:
     """Gaussian random field of cell variance std^2 and a Gaussian spectrum, from a counter generator keyed by the text."""
     out = []
@@ -308,7 +308,7 @@ def disturb_replace(df: DataFrame, level, seed: int = 0) -> DataFrame:
             state = F.struct(cut.alias("cut"), moments_of(F.col("values")).alias("m"))
 
             def fresh(c: Column, i: Column, st: Column) -> Column:
-                return F.when(c["d"] <= st["cut"], st["m.mean"] + st["m.std"] * normal(seed, "dfresh", *key, i)).otherwise(c["v"])
+                return F.when(c["d"] <= st["cut"], st["m"]["mean"] + st["m"]["std"] * normal(seed, "dfresh", *key, i)).otherwise(c["v"])
 
             cells = F.arrays_zip(F.col("values").alias("v"), digests.alias("d"))
             return let(state, lambda st: F.transform(cells, lambda c, i: fresh(c, i, st)))

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from fieldlab.functions.arrays import DOUBLES
 
-@pandas_udf("array<double>")
+
+@pandas_udf(DOUBLES)
 def fft_power(values: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """|FFT|^2 of the field minus its mean, row-major and unshifted. The mean term, zero by construction, is set to 0."""
     out = []
@@ -38,7 +40,7 @@ def psd_2d(snapshots: DataFrame, by: Sequence[str] = ("source", "variable")) ->
     return shifted.groupBy(*by, "ky", "kx").agg(F.avg(F.log10(F.col("power") + 1e-8)).alias("log_power"))
 
 
-@pandas_udf("array<double>")
+@pandas_udf(DOUBLES)
 def ring_means(power: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
     """log10 of the mean power on rings 0 .. min(h div 2, w div 2) - 1 around k = 0; an empty ring is null."""
     out = []
