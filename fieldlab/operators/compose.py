@@ -127,18 +127,25 @@ def pivot_channels(cells: DataFrame, variables: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).pivot("variable", list(variables)).agg(F.first("value"))
 
 
-def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str]) -> DataFrame:
-    """(sample_id, patch, token): per patch, the channels one after the other, each row-major inside the patch.
-
-    Rows of one sample meet once; the group has one row per variable.
-    """
+def channel_rows(snapshots: DataFrame, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(by, h, w, fields): the fields of a sample in channel order. A group has one row per variable."""
     index = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable"))
-    cols = F.floor(F.col("w") / patch).cast("int")
-    fields = snapshots.where(F.col("variable").isin(list(variables))).groupBy("sample_id").agg(
-        F.array_sort(F.collect_list(F.struct(index.alias("i"), F.col("values").alias("v")))).alias("_f"),
+    return snapshots.where(F.col("variable").isin(list(variables))).groupBy(*by).agg(
         F.first("h").alias("h"),
         F.first("w").alias("w"),
+        F.sort_array(F.collect_list(F.struct(index.alias("i"), F.col("values").alias("v")))).alias("fields"),
     )
+
+
+def flatten_channels(snapshots: DataFrame, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(by, vec): all channels of a sample one after the other."""
+    rows = channel_rows(snapshots, variables, by)
+    return rows.select(*by, F.flatten(F.col("fields.v")).alias("vec"))
+
+
+def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(by, patch, token): per patch, the channels one after the other, each row-major inside the patch."""
+    cols = F.floor(F.col("w") / patch).cast("int")
     inside = F.sequence(F.lit(0), F.lit(patch * patch - 1))
 
     def tokens(channels: Column) -> Column:
@@ -151,7 +158,7 @@ def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str]) -> Data
 
         return F.transform(indices(F.floor(F.col("h") / patch).cast("int") * cols), one)
 
-    return fields.select("sample_id", F.posexplode(let(F.col("_f"), tokens)).alias("patch", "token"))
+    return channel_rows(snapshots, variables, by).select(*by, F.posexplode(let(F.col("fields"), tokens)).alias("patch", "token"))
 
 
 def to_snapshots(cells: DataFrame, h: int, w: int) -> DataFrame:

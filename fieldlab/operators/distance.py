@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.functions.reuse import materialize
 from fieldlab.operators.quantiles import refine
 
 BLOCK_ROWS = 1024
@@ -70,7 +71,7 @@ def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
     summed = partial.groupBy(*by, "i").applyInPandas(merge, partial.schema)
     sizes = spark.createDataFrame(
         [(*[r[c] for c in by], r["n"], i, m) for r in means for i, m in enumerate(r["mean"])],
-        df.select(*by).schema.add("n", "long").add("i", "int").add("mean", "double"),
+        df.select(*by).schema.add("n", "long").add("i", "integer").add("mean", "double"),
     )
     # A group of one vector has no covariance, as with ddof 1.
     scaled = F.transform("row", lambda v: F.when(F.col("n") > 1, v / (F.col("n") - 1)))
@@ -164,9 +165,11 @@ def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str,
     blocks = sized.groupBy("_set", "_g", "_b", "_blocks", "_ref_blocks").agg(
         F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("vec").alias("v")))).alias("_rows")
     )
-    blocks = blocks.select(
-        "_set", "_g", "_b", "_blocks", "_ref_blocks",
-        F.size("_rows").alias("_n"), F.flatten(F.transform("_rows", lambda r: r["v"])).alias("_m"),
+    blocks = materialize(
+        blocks.select(
+            "_set", "_g", "_b", "_blocks", "_ref_blocks",
+            F.size("_rows").alias("_n"), F.flatten(F.transform("_rows", lambda r: r["v"])).alias("_m"),
+        )
     )
     own = F.transform(
         F.sequence(F.lit(0), F.col("_blocks") - 1),

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlab.functions.arrays import indices, let
@@ -55,9 +56,15 @@ def _first_valid(key, size: Column, rows: int, cols: int, blocked: Column | None
     if blocked is None:
         return let(size, lambda s: let(attempt(F.lit(first), s, None), lambda t: F.when(valid(t), t)))
     tries = F.sequence(F.lit(first), F.lit(first + ATTEMPTS - 1))
-    return let(
-        size, lambda s: let(blocked, lambda b: F.get(F.filter(F.transform(tries, lambda a: attempt(a, s, b)), valid), F.lit(0)))
-    )
+    none = F.lit(None).cast("struct<rect: array<int>, kept: array<int>>")
+
+    def search(s: Column, b: Column) -> Column:
+        """Attempts after the first valid one are not computed."""
+        return F.aggregate(
+            tries, none, lambda found, a: F.when(found.isNotNull(), found).otherwise(let(attempt(a, s, b), lambda t: F.when(valid(t), t)))
+        )
+
+    return let(size, lambda s: let(blocked, lambda b: search(s, b)))
 
 
 def target_masks(
@@ -84,8 +91,9 @@ def target_masks(
     lists = [F.coalesce(F.col(f"_t{t}.kept"), too_small.cast("array<int>")) for t in range(n_targets)]
     df = df.select(*samples.columns, F.array(*lists).alias("targets"))
     if disjoint:
-        shortest = df.groupBy("batch").agg(F.min(F.array_min(F.transform("targets", F.size))).alias("_len"))
-        df = df.join(shortest, "batch").withColumn("targets", F.transform("targets", lambda t: F.slice(t, F.lit(1), F.col("_len"))))
+        shortest = F.min(F.array_min(F.transform("targets", F.size))).over(W.partitionBy("batch"))
+        df = df.withColumn("_len", shortest)
+        df = df.withColumn("targets", F.transform("targets", lambda t: F.slice(t, F.lit(1), F.col("_len"))))
     return df.select(*samples.columns, "targets")
 
 
@@ -127,9 +135,9 @@ def world_band_masks(
 
 
 def _cut_to_shortest(df: DataFrame, column: str) -> DataFrame:
-    shortest = df.groupBy("batch").agg(F.min(F.size(column)).alias("_len"))
-    cut = df.join(shortest, "batch").withColumn(column, F.slice(column, F.lit(1), F.col("_len")))
-    return cut.drop("_len")
+    """Cut lists to the shortest of the batch; a window holds the samples of one batch."""
+    cut = df.withColumn("_len", F.min(F.size(column)).over(W.partitionBy("batch")))
+    return cut.withColumn(column, F.slice(column, F.lit(1), F.col("_len"))).drop("_len")
 
 
 def visible_masks(masked: DataFrame, n_patches: int, strict: bool = True) -> DataFrame:
@@ -139,11 +147,11 @@ def visible_masks(masked: DataFrame, n_patches: int, strict: bool = True) -> Dat
     df = masked.withColumn("masked", F.sort_array(hidden)).withColumn("visible", F.array_except(everything, "masked"))
     if not strict:
         return df
-    ends = df.groupBy("batch").agg(F.min(F.size("visible")).alias("_lo"), F.max(F.size("visible")).alias("_hi"))
+    batch = W.partitionBy("batch")
+    even = F.min(F.size("visible")).over(batch) == F.max(F.size("visible")).over(batch)
     uneven = F.raise_error(F.lit("visible patch counts differ inside a batch")).cast("array<int>")
-    return df.join(ends, "batch").withColumn(
-        "visible", F.when(F.col("_lo") == F.col("_hi"), F.col("visible")).otherwise(uneven)
-    ).drop("_lo", "_hi")
+    checked = df.withColumn("_even", even)
+    return checked.withColumn("visible", F.when(F.col("_even"), F.col("visible")).otherwise(uneven)).drop("_even")
 
 
 def random_mask(samples: DataFrame, n_patches: int, ratio: float, seed: int = 0) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -79,6 +79,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     return df.sparkSession.createDataFrame(rows, schema)
 
 
+def display_limits(df: DataFrame, by: Sequence[str], value: str, low: float, high: float, symmetric: Column | None = None) -> DataFrame:
+    """(by, lo, hi): percentile limits; rows for which `symmetric` holds get +- the larger magnitude."""
+    q = exact_quantiles(df, by, value, [low, high])
+    ends = q.groupBy(*by).agg(F.min("quantile").alias("lo"), F.max("quantile").alias("hi"))
+    if symmetric is None:
+        return ends
+    reach = F.greatest(F.abs("lo"), F.abs("hi"))
+    return ends.select(*by, F.when(symmetric, -reach).otherwise(F.col("lo")).alias("lo"), F.when(symmetric, reach).otherwise(F.col("hi")).alias("hi"))
+
+
 def lower_median(df: DataFrame, by: Sequence[str], value: str) -> dict:
     got = order_statistics(df, by, value, lambda n: [(n - 1) // 2])
     return {group: got["values"][(group, (n - 1) // 2)] for group, n in got["sizes"].items()}

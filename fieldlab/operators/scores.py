@@ -57,18 +57,11 @@ def reverse_kl(reference: DataFrame, candidates: DataFrame, by: Sequence[str]) -
 
     The reference term is one row, read as a scalar subquery; an empty reference is an error.
     """
-    term = reference.agg(mean_stderr(reverse_kl_critic(F.col("logit"))).alias("e")).select(
-        F.when(F.col("e.n") > 0, F.col("e.mean")).otherwise(F.raise_error(F.lit("no reference samples")).cast("double")).alias("m"),
-        F.col("e.stderr").alias("s"),
-    )
-    real_mean, real_err = term.select("m").scalar(), term.select("s").scalar()
-    fake = expectation(candidates, by, reverse_kl_conjugate)
-    return fake.select(
-        *by,
-        (real_mean - F.col("mean")).alias("score"),
-        F.sqrt(real_err * real_err + F.col("stderr") * F.col("stderr")).alias("stderr"),
-        "n",
-    )
+    real = reference.agg(mean_stderr(reverse_kl_critic(F.col("logit"))).alias("e")).scalar()
+    fake = expectation(candidates, by, reverse_kl_conjugate).withColumn("_r", real)
+    real_mean = F.when(F.col("_r.n") > 0, F.col("_r.mean")).otherwise(F.raise_error(F.lit("no reference samples")).cast("double"))
+    spread = F.sqrt(F.col("_r.stderr") * F.col("_r.stderr") + F.col("stderr") * F.col("stderr"))
+    return fake.select(*by, (real_mean - F.col("mean")).alias("score"), spread.alias("stderr"), "n")
 
 
 def bce_accuracy(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
