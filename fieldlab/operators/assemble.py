@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import uniform
@@ -29,30 +29,20 @@ def fake_category(slot: Column, augment: bool = True, seed: int = 0) -> Column:
     return F.get(kinds, F.floor(uniform(seed, "category", slot) * len(FAKE_CATEGORIES)).cast("int"))
 
 
-def balanced_epoch(real: DataFrame, fake: DataFrame, augment: bool = False, seed: int = 0) -> DataFrame:
+def balanced_epoch(spark: SparkSession, n_real: int, n_fake: int, augment: bool = False, seed: int = 0) -> DataFrame:
     """(slot, label, category, idx): 2 * max(n_real, n_fake) slots, reals first, the smaller side reused in turn.
 
-    Inputs carry a 0-based `idx`. A sample lists its own slots (idx, idx + n, ...), so nothing is joined. A corrupted_real slot takes
-    the real sample of its position; the other fake slots take the fake one.
+    Slots are a distributed range and the sample of a slot is a remainder, so the plan needs neither join nor shuffle; an equi-join
+    on `idx` with the indexed samples carries it out. A corrupted_real slot takes the real sample of its position.
     """
-    nr, nf = (d.agg(F.count(F.lit(1))).scalar() for d in (real, fake))
-    per_class = F.greatest(nr, nf)
-
-    def slots(df: DataFrame, n: Column) -> DataFrame:
-        return df.select("idx", per_class.alias("k"), F.explode(F.sequence(F.col("idx"), per_class - 1, n)).alias("sub"))
-
-    as_real = slots(real, nr).select(
-        F.col("sub").alias("slot"), F.lit(1).alias("label"), F.lit("real").alias("category"), "idx"
-    )
-    category = fake_category(F.col("sub"), augment, seed)
-    fakes = slots(fake, nf).withColumn("category", category).where(F.col("category") != "corrupted_real")
-    parts = [fakes]
-    if augment:
-        parts.append(slots(real, nr).withColumn("category", category).where(F.col("category") == "corrupted_real"))
-    out = as_real
-    for p in parts:
-        out = out.unionByName(p.select((F.col("sub") + F.col("k")).alias("slot"), F.lit(0).alias("label"), "category", "idx"))
-    return out
+    if min(n_real, n_fake) < 1:
+        raise ValueError("both classes need samples")
+    k = max(n_real, n_fake)
+    sub = F.col("id") % k
+    category = F.when(F.col("id") < k, "real").otherwise(fake_category(sub, augment, seed))
+    slots = spark.range(2 * k).select(F.col("id").alias("slot"), sub.alias("_sub"), category.alias("category"))
+    idx = F.when(F.col("category").isin("real", "corrupted_real"), F.col("_sub") % n_real).otherwise(F.col("_sub") % n_fake)
+    return slots.select("slot", (F.col("category") == "real").cast("int").alias("label"), "category", idx.alias("idx"))
 
 
 def epoch_composition(epoch: DataFrame) -> DataFrame:

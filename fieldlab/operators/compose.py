@@ -36,14 +36,14 @@ def compose(pairs: DataFrame, mode: str, variables: Sequence[str], abs_stats: Da
     if mode != "none" and "prior_value" not in pairs.columns:
         raise ValueError(f"mode {mode!r} needs prior values")
     a = abs_stats.select("variable", F.col("mean").alias("_am"), safe_std(F.col("std")).alias("_as"))
-    df = pairs.join(a, "variable")
+    df = pairs.join(F.broadcast(a), "variable")  # one row per variable
     z_now = (F.col("value") - F.col("_am")) / F.col("_as")
     blocks = [z_now]
     if mode == "concat":
         blocks = [(F.col("prior_value") - F.col("_am")) / F.col("_as"), z_now]
     elif mode != "none":
         d = diff_stats.select("variable", F.col("mean").alias("_dm"), safe_std(F.col("std")).alias("_ds"))
-        df = df.join(d, "variable")
+        df = df.join(F.broadcast(d), "variable")
         z_diff = clip_diff((F.col("value") - F.col("prior_value") - F.col("_dm")) / F.col("_ds"))
         blocks = [z_diff] if mode == "diff" else [z_now, z_diff]
     index = F.array_position(F.array(*[F.lit(v) for v in variables]), F.col("variable")) - 1
@@ -143,8 +143,8 @@ def flatten_channels(snapshots: DataFrame, variables: Sequence[str], by: Sequenc
     return rows.select(*by, F.flatten(F.col("fields.v")).alias("vec"))
 
 
-def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
-    """(by, patch, token): per patch, the channels one after the other, each row-major inside the patch."""
+def patch_tokens(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(by, tokens): the patches of a sample, row-major; a token has the channels one after the other, each row-major inside it."""
     cols = F.floor(F.col("w") / patch).cast("int")
     inside = F.sequence(F.lit(0), F.lit(patch * patch - 1))
 
@@ -158,7 +158,12 @@ def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Seq
 
         return F.transform(indices(F.floor(F.col("h") / patch).cast("int") * cols), one)
 
-    return channel_rows(snapshots, variables, by).select(*by, F.posexplode(let(F.col("fields"), tokens)).alias("patch", "token"))
+    return channel_rows(snapshots, variables, by).select(*by, let(F.col("fields"), tokens).alias("tokens"))
+
+
+def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Sequence[str] = ("sample_id",)) -> DataFrame:
+    """(by, patch, token): `patch_tokens`, one row per patch."""
+    return patch_tokens(snapshots, patch, variables, by).select(*by, F.posexplode("tokens").alias("patch", "token"))
 
 
 def to_snapshots(cells: DataFrame, h: int, w: int) -> DataFrame:
@@ -192,10 +197,10 @@ def normalize_snapshots(snapshots: DataFrame, stats: DataFrame) -> DataFrame:
     """Z-score on arrays, missing to 0."""
     s = stats.select("variable", F.col("mean").alias("_mean"), safe_std(F.col("std")).alias("_std"))
     z = F.transform("values", lambda v: F.coalesce(F.nanvl((v - F.col("_mean")) / F.col("_std"), F.lit(0.0)), F.lit(0.0)))
-    return snapshots.join(s, "variable").withColumn("values", z).drop("_mean", "_std")
+    return snapshots.join(F.broadcast(s), "variable").withColumn("values", z).drop("_mean", "_std")
 
 
 def denormalize_snapshots(snapshots: DataFrame, stats: DataFrame) -> DataFrame:
     s = stats.select("variable", F.col("mean").alias("_mean"), safe_std(F.col("std")).alias("_std"))
     raw = F.transform("values", lambda v: v * F.col("_std") + F.col("_mean"))
-    return snapshots.join(s, "variable").withColumn("values", raw).drop("_mean", "_std")
+    return snapshots.join(F.broadcast(s), "variable").withColumn("values", raw).drop("_mean", "_std")

@@ -88,12 +88,12 @@ def ladder_sweep(df: DataFrame, types: Sequence[str] = LADDER_TYPES, n_steps: in
     )
 
 
-def apply_sweep(sweep: DataFrame, seed: int = 0, patch: int = 16) -> DataFrame:
-    """Corrupt rows (corruption, severity, ...) of a ladder sweep, all types and severities in one job."""
+def apply_sweep(sweep: DataFrame, types: Sequence[str] = LADDER_TYPES, seed: int = 0, patch: int = 16) -> DataFrame:
+    """Corrupt rows (corruption, severity, ...) of a ladder sweep over `types`, all severities in one job."""
     out = sweep
-    for kind, fn in CORRUPTIONS.items():
+    for kind in types:
         options = {"wind_patch_shuffle": {"patch": patch}, "wind_rotation": {"by": ("sample_id", "corruption", "severity")}}
-        out = fn(out, F.when(F.col("corruption") == kind, F.col("severity")).otherwise(0.0), seed, **options.get(kind, {}))
+        out = CORRUPTIONS[kind](out, F.when(F.col("corruption") == kind, F.col("severity")).otherwise(0.0), seed, **options.get(kind, {}))
     return out
 
 

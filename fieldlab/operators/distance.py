@@ -14,11 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.functions.arrays import let
 from fieldlab.functions.reuse import materialize
 from fieldlab.operators.quantiles import refine
 
-BLOCK_ROWS = 1024
-MEAN_LIMIT = 20_000_000  # doubles of group means that may travel with each task (160 MB)
+BLOCK_ROWS = 1024  # most vectors in a block
+SMALL_BLOCK = 128  # a block is not made smaller than this to keep cores busy
+PIECE_DOUBLES = 8_192  # matrix rows travel in pieces of about 64 KB
+STATE_DOUBLES = 32_000_000  # scatter a task holds before it hands over (256 MB)
+MERGE_WAYS = 64
 
 
 # --- moments ------------------------------------------------------------------------------------------------------------------
@@ -31,55 +35,73 @@ def mean_vector(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """(by, i, n, mean, row): row i of the sample covariance matrix, ddof 1.
+    """(by, i, n, mean, row): row i of the sample covariance matrix (ddof 1; null for a single vector).
 
-    Two passes: the means first, then the scatter around them, summed per task and merged per matrix row. Nothing grows with the
-    number of vectors but the partial rows, one set per task.
+    One pass. A task keeps count, mean and scatter per group, each batch merged by the pairwise update, and hands them over in
+    pieces; pieces are merged in two steps, so no task, group or driver sees more than a small share. Groups may be any number.
     """
-    spark = df.sparkSession
-    means = mean_vector(df, by).groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("i", "mean"))).alias("_m"))
-    means = means.select(*by, "n", F.col("_m.mean").alias("mean")).collect()
-    if sum(len(r["mean"]) for r in means) > MEAN_LIMIT:
-        raise ValueError("too many groups for one pass; split the groups")
-    centre = {tuple(r[c] for c in by): np.asarray(r["mean"]) for r in means}
-    shared = spark.sparkContext.broadcast(centre)
     by = list(by)
-    key_schema = df.select(*by).schema
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_schema)
+    fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema)
 
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
+    def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
         for batch in batches:
             for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
-                x = np.stack(part["vec"].to_numpy()).astype(float) - shared.value[tuple(_plain(k) for k in key)]
-                s = x.T @ x
-                sums[key] = sums[key] + s if key in sums else s
-        for key, s in sums.items():
-            out = pd.DataFrame({"i": np.arange(len(s), dtype=np.int32), "row": list(s)})
-            for name, k in zip(by, key):
-                out[name] = k
-            yield out[[*by, "i", "row"]]
-
-    partial = df.select(*by, "vec").mapInPandas(scatter, f"{fields + ', ' if fields else ''}i int, row array<double>")
-
-    def merge(part: pd.DataFrame) -> pd.DataFrame:
-        total = np.sum(np.stack(part["row"].to_numpy()), axis=0)
-        head = part.iloc[:1].copy()
-        head["row"] = [total]
-        return head
-
-    summed = partial.groupBy(*by, "i").applyInPandas(merge, partial.schema)
-    sizes = spark.createDataFrame(
-        [(*[r[c] for c in by], r["n"], i, m) for r in means for i, m in enumerate(r["mean"])],
-        df.select(*by).schema.add("n", "long").add("i", "integer").add("mean", "double"),
+                x = np.stack(part["vec"].to_numpy()).astype(float)
+                mean = x.mean(axis=0)
+                fresh = (len(x), mean, (x - mean).T @ (x - mean))
+                state[key] = _merge_moments([state[key], fresh]) if key in state else fresh
+            if sum(m[2].size for m in state.values()) > STATE_DOUBLES:
+                yield from (_pieces(by, key, *m) for key, m in state.items())
+                state = {}
+        yield from (_pieces(by, key, *m) for key, m in state.items())
+
+    schema = f"{fields}start int, n long, mean array<double>, part array<double>"
+    partial = df.select(*by, "vec").mapInPandas(partial_sums, schema)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        head = rows.iloc[:1].copy()
+        d = len(head["mean"].iloc[0])
+        start = int(head["start"].iloc[0])
+        width = len(head["part"].iloc[0]) // d
+        n, mean, part = _merge_moments(
+            [(k, np.asarray(m), np.asarray(p).reshape(width, d)) for k, m, p in zip(rows["n"], rows["mean"], rows["part"])],
+            slice(start, start + width),
+        )
+        head["n"], head["mean"], head["part"] = n, [mean], [part.ravel()]
+        return head[[*by, "start", "n", "mean", "part"]]
+
+    tagged = partial.withColumn("_task", F.spark_partition_id() % MERGE_WAYS)
+    once = tagged.groupBy(*by, "start", "_task").applyInPandas(merge, schema)
+    merged = once.groupBy(*by, "start").applyInPandas(merge, schema)
+    rows = let(
+        F.struct("part", "mean"),
+        lambda s: F.transform(
+            F.sequence(F.lit(0), F.floor(F.size(s["part"]) / F.size(s["mean"])).cast("int") - 1),
+            lambda k: F.slice(s["part"], k * F.size(s["mean"]) + 1, F.size(s["mean"])),
+        ),
     )
-    # A group of one vector has no covariance, as with ddof 1.
-    scaled = F.transform("row", lambda v: F.when(F.col("n") > 1, v / (F.col("n") - 1)))
-    return summed.join(sizes, [*by, "i"]).select(*by, "i", "n", "mean", scaled.alias("row"))
+    out = merged.select(*by, "start", "n", "mean", F.posexplode(rows).alias("_k", "_row"))
+    i = F.col("start") + F.col("_k")
+    scaled = F.transform("_row", lambda v: F.when(F.col("n") > 1, v / (F.col("n") - 1)))
+    return out.select(*by, i.alias("i"), "n", F.get("mean", i).alias("mean"), scaled.alias("row"))
+
 
+def _merge_moments(parts: list, rows: slice = slice(None)):
+    """(n, mean, scatter) of a union of sets from those of the sets; `rows` selects the scatter rows at hand."""
+    n = int(sum(p[0] for p in parts))
+    mean = sum(p[0] * p[1] for p in parts) / n
+    scatter = sum(p[2] + p[0] * np.outer((p[1] - mean)[rows], p[1] - mean) for p in parts)
+    return n, mean, scatter
 
-def _plain(k):
-    return k.item() if hasattr(k, "item") else k
+
+def _pieces(by: list[str], key, n: int, mean: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+    step = max(1, PIECE_DOUBLES // len(mean))
+    starts = np.arange(0, len(mean), step, dtype=np.int32)
+    out = pd.DataFrame({"start": starts, "n": n, "mean": [mean] * len(starts), "part": [scatter[a : a + step].ravel() for a in starts]})
+    for name, k in zip(by, key):
+        out[name] = k
+    return out[[*by, "start", "n", "mean", "part"]]
 
 
 # --- Frechet ------------------------------------------------------------------------------------------------------------------
@@ -143,16 +165,24 @@ def frechet_terms(reference: DataFrame, candidates: DataFrame, by: Sequence[str]
 # --- kernel MMD ---------------------------------------------------------------------------------------------------------------
 
 
-def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> DataFrame:
     """Every pair of blocks a distance needs: reference x reference, reference x group, and group x itself.
 
-    Vectors are hashed into blocks of about `block_rows` rows. A block is one row (a flat matrix), sent to each pair it is part of;
+    Vectors are hashed into blocks of about `block_rows` rows, by default at most 1024 and enough to use the cores. A block is one row (a flat matrix), sent to each pair it is part of;
     a pair is one row with both sides. Only blocks travel; vector pairs never become rows.
     """
     ref = reference.select(F.lit("ref").alias("_set"), F.lit(None).cast("string").alias("_g"), key, "vec")
     cand = candidates.select(F.lit("cand").alias("_set"), F.col(by).cast("string").alias("_g"), key, "vec")
     rows = ref.unionByName(cand)
-    counts = {(r["_set"], r["_g"]): math.ceil(r["n"] / block_rows) for r in rows.groupBy("_set", "_g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+
+    def block_count(n: int) -> int:
+        if block_rows:
+            return math.ceil(n / block_rows)
+        return max(math.ceil(n / BLOCK_ROWS), min(math.ceil(n / SMALL_BLOCK), math.ceil(2 * math.sqrt(cores))))
+
+    sizes = rows.groupBy("_set", "_g").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per group
+    counts = {(r["_set"], r["_g"]): block_count(r["n"]) for r in sizes}
     n_ref = counts.pop(("ref", None), 0)
     table = rows.sparkSession.createDataFrame(
         [("ref", None, n_ref, n_ref)] + [("cand", g, n, n_ref) for (_, g), n in counts.items()],
@@ -200,15 +230,12 @@ def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str,
     return sent.groupBy("_p.kind", "_p.g", "_p.i", "_p.j").agg(F.sort_array(F.collect_list(part)).alias("_sides"))
 
 
-def _pair_sqdist(sides) -> tuple[np.ndarray, np.ndarray]:
-    """Squared distances of a block pair and the weight of each: 2 off the diagonal inside a set, 0 on it, 1 across sets."""
+def _pair_sqdist(sides) -> np.ndarray:
+    """Squared distances of a block pair; of a block with itself, those of i < j."""
     mats = [np.asarray(s["m"], dtype=float).reshape(int(s["n"]), -1) for s in sides]
     a, b = mats[0], mats[-1]
     d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-    if len(mats) == 1:
-        upper = np.triu_indices(len(a), 1)
-        return d2[upper], upper
-    return d2.ravel(), None
+    return d2[np.triu_indices(len(a), 1)] if len(mats) == 1 else d2.ravel()
 
 
 def _per_pair(pairs: DataFrame, fn, schema: str) -> DataFrame:
@@ -219,14 +246,13 @@ def _per_pair(pairs: DataFrame, fn, schema: str) -> DataFrame:
         for batch in batches:
             rows = []
             for kind, g, sides in zip(batch["kind"], batch["g"], batch["_sides"]):
-                d2, _ = _pair_sqdist(sides)
-                rows.extend(fn(kind, g, d2, 1 if kind == "cross" else 2))
+                rows.extend(fn(kind, g, _pair_sqdist(sides), 1 if kind == "cross" else 2))  # ordered pairs count inside a set
             yield pd.DataFrame(rows, columns=columns)
 
     return pairs.select("kind", "g", "_sides").mapInPandas(run, schema)
 
 
-def sqdist_summary(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def sqdist_summary(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> DataFrame:
     """Squared distances per (kind, group) over ordered pairs, the diagonal left out: n, mean, min, max."""
     pairs = block_pairs(reference, candidates, by, key, block_rows)
 
@@ -260,18 +286,16 @@ def mmd_gammas(pairs: DataFrame, groups: Sequence[str], bins: int = 2048) -> dic
         brackets = {g: (lo, hi) for g, (_, lo, hi) in open_targets.items()}
 
         def count(kind, g, d2, weight):
-            for t, (lo, hi) in brackets.items():
-                if kind != "ref" and g != t:
-                    continue
-                d = d2[(d2 >= lo) & (d2 <= hi)]
+            mine = {t: ends for t, ends in brackets.items() if kind == "ref" or g == t}
+            if mine:
+                d2 = np.sort(d2)
+            for t, (lo, hi) in mine.items():
+                d = d2[np.searchsorted(d2, lo, "left") : np.searchsorted(d2, hi, "right")]
                 if d.size:
                     index = np.minimum(((d - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
-                    order = np.argsort(index, kind="stable")
-                    index, d = index[order], d[order]
                     starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-                    sizes = np.diff(np.r_[starts, len(d)])
-                    lows, highs = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
-                    for k, c, a, b in zip(index[starts], sizes, lows, highs):
+                    stops = np.r_[starts[1:], len(d)]
+                    for k, c, a, b in zip(index[starts], stops - starts, d[starts], d[stops - 1]):
                         yield t, int(k), weight * int(c), float(a), float(b)
 
         parts = _per_pair(pairs, count, "target string, bin long, n long, lo double, hi double")
@@ -282,7 +306,7 @@ def mmd_gammas(pairs: DataFrame, groups: Sequence[str], bins: int = 2048) -> dic
 
 
 def mmd_rbf(
-    reference: DataFrame, candidates: DataFrame, by: str, key: str, gamma: float | None = None, block_rows: int = BLOCK_ROWS
+    reference: DataFrame, candidates: DataFrame, by: str, key: str, gamma: float | None = None, block_rows: int | None = None
 ) -> DataFrame:
     """Unbiased squared MMD with an RBF kernel of each candidate group against the reference: (by, n_ref, n, gamma, mmd).
 

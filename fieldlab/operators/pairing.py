@@ -139,7 +139,7 @@ def spacing(df: DataFrame, within: Sequence[str], time: str = "init_time") -> Da
     ends = ends.withColumn("step_s", step)
     off = (F.col("_t") - F.col("first_s")) % F.col("step_s") != 0
     return (
-        times.join(ends, list(within))
+        times.join(F.broadcast(ends), list(within))  # one row per group
         .groupBy(*within, "n", "first_s", "last_s", "step_s")
         .agg(F.max(F.coalesce(off, F.lit(False))).alias("_off"))
         .withColumn("uniform", ~F.col("_off"))

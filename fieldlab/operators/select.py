@@ -67,6 +67,8 @@ def select_time_ranges(df: DataFrame, ranges, time: str = "init_time") -> DataFr
     any_range = inside[0]
     for cond in inside[1:]:
         any_range = any_range | cond
+    if not any(a.overlaps(b) for i, a in enumerate(spans) for b in spans[:i]):
+        return df.where(any_range)
     hits = F.filter(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)]), lambda i: i.isNotNull())
     return df.where(any_range).withColumn("_range", F.explode(hits)).drop("_range")
 
@@ -134,7 +136,7 @@ def zero_lead(df: DataFrame) -> DataFrame:
     """For each source, lead 0 if it has one, else its first lead."""
     first = df.groupBy("source").agg(F.min("lead_hours").alias("_first"), F.max((F.col("lead_hours") == 0)).alias("_zero"))
     chosen = first.select("source", F.when(F.col("_zero"), 0).otherwise(F.col("_first")).alias("lead_hours"))
-    return df.join(chosen, ["source", "lead_hours"], "left_semi")
+    return df.join(F.broadcast(chosen), ["source", "lead_hours"], "left_semi")  # one row per source
 
 
 def range_fallback(df: DataFrame, ranges, fallback=None, time: str = "init_time") -> DataFrame:
@@ -142,7 +144,7 @@ def range_fallback(df: DataFrame, ranges, fallback=None, time: str = "init_time"
     inside = in_ranges(ranges, F.col(time))
     served = df.groupBy("source").agg(F.max(inside).alias("_served"))
     other = in_ranges(fallback, F.col(time))
-    return df.join(served, "source").where(inside | (~F.col("_served") & other)).drop("_served")
+    return df.join(F.broadcast(served), "source").where(inside | (~F.col("_served") & other)).drop("_served")
 
 
 def even_subsample(df: DataFrame, k: int, within: Sequence[str] = ("source",), time: str = "init_time") -> DataFrame:
@@ -161,7 +163,8 @@ def even_subsample(df: DataFrame, k: int, within: Sequence[str] = ("source",), t
         sizes.withColumn("_i", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_n").cast("int")) - 1)))
         .select(*within, index.cast("bigint").alias("t_idx"))
     )
-    return df.join(axis.join(picks, [*within, "t_idx"], "left_semi").drop("t_idx"), [*within, time], "left_semi")
+    chosen = axis.join(F.broadcast(picks), [*within, "t_idx"], "left_semi").drop("t_idx")  # at most k rows per group
+    return df.join(F.broadcast(chosen), [*within, time], "left_semi")
 
 
 def time_split(df: DataFrame, ratio: float, within: Sequence[str] = ("source",), delta: int = 0, time: str = "init_time"):
@@ -171,7 +174,7 @@ def time_split(df: DataFrame, ratio: float, within: Sequence[str] = ("source",),
     """
     axis = time_axis(df, within, time)
     sizes = axis.groupBy(*within).agg(F.floor(F.count(F.lit(1)) * ratio).alias("_cut"))
-    labelled = axis.join(sizes, list(within)).select(
+    labelled = axis.join(F.broadcast(sizes), list(within)).select(
         *within,
         time,
         F.when(F.col("t_idx") < F.col("_cut"), "train").otherwise("val").alias("split"),

@@ -72,7 +72,7 @@ def psd_histogram(snapshots: DataFrame, by: str = "source", over: Sequence[str]
     ends = mags.groupBy(*over).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     index = F.least(F.floor((F.col("m") - F.col("lo")) / width), F.lit(bins - 1))
-    counts = mags.join(ends, list(over)).groupBy(by, *over, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = mags.join(F.broadcast(ends), list(over)).groupBy(by, *over, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(by, *over).agg(F.sum("n").alias("_total"))
     left = F.pow(F.lit(10.0), F.col("lo") + F.col("bin") * width)
     right = F.pow(F.lit(10.0), F.col("lo") + (F.col("bin") + 1) * width)

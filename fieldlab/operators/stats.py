@@ -62,15 +62,15 @@ def diff_stats(cells: DataFrame, delta_steps: int) -> DataFrame:
 
 
 def normalize(cells: DataFrame, stats: DataFrame, value: str = "value") -> DataFrame:
-    """Z-score per variable, then missing to 0, so that a gap equals the mean."""
+    """Z-score per variable, then missing to 0, so that a gap equals the mean. Statistics have one row per variable."""
     s = stats.select("variable", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
     z = (F.col(value).cast("double") - F.col("_mean")) / safe_std(F.col("_std"))
-    return cells.join(s, "variable").withColumn(value, nan_to_zero(z)).drop("_mean", "_std")
+    return cells.join(F.broadcast(s), "variable").withColumn(value, nan_to_zero(z)).drop("_mean", "_std")
 
 
 def denormalize(cells: DataFrame, stats: DataFrame, value: str = "value") -> DataFrame:
     s = stats.select("variable", F.col("mean").alias("_mean"), F.col("std").alias("_std"))
-    return cells.join(s, "variable").withColumn(value, F.col(value) * safe_std(F.col("_std")) + F.col("_mean")).drop("_mean", "_std")
+    return cells.join(F.broadcast(s), "variable").withColumn(value, F.col(value) * safe_std(F.col("_std")) + F.col("_mean")).drop("_mean", "_std")
 
 
 def nan_to_zero(v: Column) -> Column:

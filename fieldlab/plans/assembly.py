@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fieldlab.operators import assemble, catalog, compose, critic, masks, scores, select, stats, tokens
 from fieldlab.plans.registry import query
 from fieldlab.functions.keyed import uniform_value
+from fieldlab.functions.reuse import materialize
 from fieldlab.plans.views import CHANNELS, FORECAST_LEADS, TRAIN, VARIABLES, Views, digest_sql, uniform_sql
 
 _LEADS = "(6, 12, 24, 48, 96, 192)"
@@ -38,12 +39,12 @@ _EPOCH_SQL = f"""WITH f AS ({_FAKE_SQL}), r AS ({_REAL_SQL}), z AS (SELECT (SELE
 
 @query("slot:i label:i category:s idx:i", _EPOCH_SQL.format(_CATEGORY.format("sub")))
 def balanced_epoch(v: Views):
-    return assemble.balanced_epoch(_real(v), _fake(v), augment=True)
+    return assemble.balanced_epoch(v.spark, _real(v).count(), _fake(v).count(), augment=True)
 
 
 @query("label:i category:s n:i", f"SELECT label, category, count(*) AS n FROM ({_EPOCH_SQL.format(repr('forecast'))}) GROUP BY 1, 2")
 def epoch_composition(v: Views):
-    return assemble.epoch_composition(assemble.balanced_epoch(_real(v), _fake(v)))
+    return assemble.epoch_composition(assemble.balanced_epoch(v.spark, _real(v).count(), _fake(v).count()))
 
 
 @query("event_id:i category:s", f"SELECT event_id, {_CATEGORY.format('event_id')} AS category FROM events")
@@ -379,7 +380,7 @@ def temporal_holdout(v: Views):
     """Per forecast source: a critic fitted on the train ranges, scored per lead on the later years."""
     z = stats.normalize(v.grid, stats.train_stats(v.grid, TRAIN, VARIABLES))
     wide = compose.pivot_channels(z.drop("lat", "lon"), VARIABLES)
-    cells = wide.withColumn("vec", F.array(*VARIABLES)).withColumn("label", (F.col("source") == "N").cast("int")).drop(*VARIABLES)
+    cells = materialize(wide.withColumn("vec", F.array(*VARIABLES)).withColumn("label", (F.col("source") == "N").cast("int")).drop(*VARIABLES))
     train = cells.where(select.in_ranges(TRAIN, F.col("init_time")))
     test = cells.where(select.in_ranges([["2001-01-01", None]], F.col("init_time")))
     out = None

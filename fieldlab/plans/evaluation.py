@@ -128,8 +128,9 @@ _CW = f"{critic.keyed_weights(0, DIM)}"
 )
 def reverse_kl_by_severity(v: Views):
     """Reference samples along a ladder up to severity 1, scored by the first critic."""
+    types = ["noise", "wind_rotation"]
     clean = v.snap4.where(F.col("source") == "ref")
-    swept = corrupt.apply_sweep(corrupt.ladder_sweep(clean, ["noise", "wind_rotation"], 5, 1.0))
+    swept = corrupt.apply_sweep(corrupt.ladder_sweep(clean, types, 5, 1.0), types)
     vecs = compose.flatten_channels(swept, CHANNELS, ("sample_id", "corruption", "severity"))
     scored = critic.score_critic(vecs, {"c0": (critic.keyed_weights(0, DIM), 0.0)})
     reference = v.logit.where((F.col("critic") == "c0") & (F.col("label") == 1))
@@ -193,7 +194,7 @@ def global_mean_series(v: Views):
 )
 def percentile_limits(v: Views):
     cells = compose.to_cells(v.snap4).select("variable", "value").unionByName(v.grid.select("variable", "value"))
-    return quantiles.display_limits(cells, ["variable"], "value", 0.01, 0.99, F.col("variable").isin("u", "v"))
+    return quantiles.display_limits(materialize(cells), ["variable"], "value", 0.01, 0.99, F.col("variable").isin("u", "v"))
 
 
 # --- moments and distances ----------------------------------------------------------------------------------------------------
@@ -303,9 +304,10 @@ def real_vs_forecast(v: Views):
 def _ladder_features(v: Views, types, n_steps: int, max_severity: float):
     """Features of clean reference snapshots and of the same along a corruption ladder, in one job."""
     clean = v.snap4.where(F.col("source") == "ref")
-    swept = corrupt.apply_sweep(corrupt.ladder_sweep(clean, types, n_steps, max_severity), patch=2)
+    swept = corrupt.apply_sweep(corrupt.ladder_sweep(clean, types, n_steps, max_severity), types, patch=2)
     by = ("sample_id", "corruption", "severity")
-    return tokens.extract_features(clean, 2, CHANNELS, BASIS), tokens.extract_features(swept, 2, CHANNELS, BASIS, by=by)
+    features = tokens.extract_features(clean, 2, CHANNELS, BASIS), tokens.extract_features(swept, 2, CHANNELS, BASIS, by=by)
+    return tuple(materialize(f) for f in features)
 
 
 @query("corruption:s severity:d n:i fid:d")
@@ -320,8 +322,8 @@ def fid_by_severity(v: Views):
 def distance_ladder(v: Views):
     """Both distances for every corruption and severity."""
     clean, swept = _ladder_features(v, list(corrupt.LADDER_TYPES), 5, 2.0)
-    steps = materialize(swept).withColumn("step", F.concat_ws("@", "corruption", F.col("severity").cast("string")))
-    out = distance.distances(materialize(clean), steps, "step", "sample_id")
+    steps = swept.withColumn("step", F.concat_ws("@", "corruption", F.col("severity").cast("string")))
+    out = distance.distances(clean, steps, "step", "sample_id")
     return out.withColumn("corruption", F.split("step", "@").getItem(0)).withColumn("severity", F.split("step", "@").getItem(1).cast("double"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import uniform_value
+from fieldlab.functions.reuse import spread
 from fieldlab.operators.critic import keyed_weights, score_critic
 
 VARIABLES = ["qty", "price", "disc", "tax"]
@@ -60,7 +61,7 @@ class Views:
     @cached_property
     def vec(self) -> DataFrame:
         leads = F.array(*[F.lit(h) for h in FORECAST_LEADS])
-        return self.table("embeddings").select(
+        return spread(self.table("embeddings"), "vec_id").select(
             F.col("vec_id").alias("sample_id"),
             F.when(F.col("label") < 5, "ref").otherwise("cand").alias("source"),
             F.concat(F.lit("m"), F.col("label")).alias("model"),
