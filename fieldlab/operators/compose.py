@@ -167,7 +167,7 @@ def patchify(snapshots: DataFrame, patch: int, variables: Sequence[str], by: Seq
 
 
 def to_snapshots(cells: DataFrame, h: int, w: int) -> DataFrame:
-    """Cell rows to one row-major array per (sample, variable). Absent cells become NaN. A group holds at most h*w cells."""
+    """Cell rows to one row-major array per (sample, variable). Absent cells are null. A group holds at most h*w cells."""
     @pandas_udf(DOUBLES)
     def dense(pos: pd.Series, value: pd.Series) -> pd.Series:
         out = []

@@ -20,9 +20,16 @@ def keyed_weights(critic: int, dim: int) -> list[float]:
     return [2.0 * uniform_value("critic", critic, i) - 1.0 for i in range(dim)]
 
 
-def score_critic(df: DataFrame, critics: dict[str, tuple[Sequence[float], float]], vec: str = "vec") -> DataFrame:
-    """Rows times critics, with `critic` and `logit`. `critics` maps a name to (weights, intercept)."""
-    scores = F.array(*[F.struct(F.lit(name).alias("critic"), (dot(F.col(vec), w) + b).alias("logit")) for name, (w, b) in critics.items()])
+def score_critic(df: DataFrame, critics: dict, vec: str = "vec") -> DataFrame:
+    """Rows times critics, with `critic` and `logit`.
+
+    `critics` maps a name to (weights, intercept), or to any function from the vector column to a logit column.
+    """
+
+    def logit(c) -> Column:
+        return c(F.col(vec)) if callable(c) else dot(F.col(vec), c[0]) + c[1]
+
+    scores = F.array(*[F.struct(F.lit(name).alias("critic"), logit(c).alias("logit")) for name, c in critics.items()])
     keep = [c for c in df.columns if c != vec]
     return df.select(*keep, F.explode(scores).alias("_s")).select(*keep, "_s.*")
 
