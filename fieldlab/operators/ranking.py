@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import digest
+from fieldlab.functions.reuse import materialize
 
 
 def position(
@@ -41,10 +42,10 @@ def random_position(df: DataFrame, key: Sequence, within: Sequence[str] = (), na
 
 
 def time_axis(df: DataFrame, within: Sequence[str], time: str = "init_time") -> DataFrame:
-    """Distinct times with their index `t_idx`, one axis per `within` group."""
-    times = df.select(*within, time).distinct()
-    return position(times, [time], F.col(time).cast("date"), within, "t_idx")
+    """Distinct times with their index `t_idx`, one axis per `within` group.
 
+    The data are read once, for the distinct times; the axis, far smaller, is stored and read as often as needed.
+    """
+    times = materialize(df.select(*within, time).distinct())
+    return position(times, [time], F.col(time).cast("date"), within, "t_idx")
 
-def group_sizes(df: DataFrame, within: Sequence[str], name: str = "n") -> DataFrame:
-    return df.groupBy(*within).agg(F.count(F.lit(1)).alias(name))

@@ -58,29 +58,29 @@ def stats_finite(v: Views):
         FROM ({_PRIOR}) GROUP BY 1""",
 )
 def stats_diff(v: Views):
-    return stats.diff_stats(v.grid, 2)
+    return stats.diff_stats(v.stored_grid, 2)
 
 
 @query("source:s init_time:t lead_hours:i variable:s y:i x:i value:d", """SELECT g.* REPLACE ((value - mean) / std AS value) FROM v_grid g
        JOIN v_stats USING (variable)""")
 def normalize(v: Views):
-    return stats.normalize(v.grid, stats.field_stats(v.grid))
+    return stats.normalize(v.stored_grid, stats.field_stats(v.stored_grid))
 
 
 _CHANNEL = "source:s init_time:t lead_hours:i y:i x:i channel:i value:d"
 
 
 def _pairs(v: Views):
-    return pairing.prior_by_index(v.grid, 2).drop("prior_time", "lat", "lon")
+    return pairing.prior_by_index(v.stored_grid, 2).drop("prior_time", "lat", "lon")
 
 
 def _composed(v: Views, mode: str):
-    return compose.compose(_pairs(v), mode, VARIABLES, stats.field_stats(v.grid), stats.diff_stats(v.grid, 2))
+    return compose.compose(_pairs(v), mode, VARIABLES, stats.field_stats(v.stored_grid), stats.diff_stats(v.stored_grid, 2))
 
 
 @query(_CHANNEL, f"SELECT {_KEYS}, {_INDEX} AS channel, (value - mean) / std AS value FROM v_grid JOIN v_stats USING (variable)")
 def compose_none(v: Views):
-    return compose.compose(v.grid.drop("lat", "lon"), "none", VARIABLES, stats.field_stats(v.grid))
+    return compose.compose(v.stored_grid.drop("lat", "lon"), "none", VARIABLES, stats.field_stats(v.stored_grid))
 
 
 @query(
@@ -198,7 +198,7 @@ def patchify(v: Views):
 
 @query("source:s init_time:t lead_hours:i variable:s y:i x:i prior_time:t value:d prior_value:d", _PRIOR)
 def prior_lag(v: Views):
-    return pairing.prior_by_index(v.grid, 2)
+    return pairing.prior_by_index(v.stored_grid, 2)
 
 
 @query(
@@ -281,19 +281,20 @@ def _daily(v: Views):
         F.col("l_returnflag").alias("source"), day.alias("init_time"), lead.alias("lead_hours"),
         (F.col("l_suppkey") % 2).cast("int").alias("y"), (F.col("l_partkey") % 2).cast("int").alias("x"),
     ]
-    return li.groupBy(*keys).agg(F.avg("l_quantity").alias("value")).withColumn("variable", F.lit("qty"))
+    means = li.groupBy(*keys).agg(F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
+    return means.unpivot(["source", "init_time", "lead_hours", "y", "x"], ["qty", "disc"], "variable", "value")
 
 
-_DAILY_SQL = """SELECT l_returnflag AS source, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS init_time,
+_DAILY_SQL = """SELECT source, init_time, lead_hours, y, x, unnest(['qty', 'disc']) AS variable, unnest([qty, disc]) AS value FROM (SELECT l_returnflag AS source, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS init_time,
   CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 24 WHEN 5 THEN 48 WHEN 6 THEN 96 WHEN 7 THEN 192 END AS lead_hours,
-  CAST(l_suppkey % 2 AS INTEGER) AS y, CAST(l_partkey % 2 AS INTEGER) AS x, 'qty' AS variable, avg(l_quantity) AS value
-  FROM lineitem GROUP BY 1, 2, 3, 4, 5"""
+  CAST(l_suppkey % 2 AS INTEGER) AS y, CAST(l_partkey % 2 AS INTEGER) AS x, avg(l_quantity) AS qty, avg(l_discount) AS disc
+  FROM lineitem GROUP BY 1, 2, 3, 4, 5)"""
 
 
 @query(
-    "source:s init_time:t lead_hours:i y:i x:i valid_time:t value:d ref_value:d",
+    "source:s init_time:t lead_hours:i variable:s y:i x:i valid_time:t value:d ref_value:d",
     f"""WITH d AS ({_DAILY_SQL}) SELECT a.*, r.init_time AS valid_time, r.value AS ref_value FROM d a JOIN d r
-        ON r.source = 'N' AND r.lead_hours = 0 AND r.y = a.y AND r.x = a.x AND r.init_time = a.init_time + to_hours(a.lead_hours)
+        ON r.source = 'N' AND r.lead_hours = 0 AND r.variable = a.variable AND r.y = a.y AND r.x = a.x AND r.init_time = a.init_time + to_hours(a.lead_hours)
         WHERE a.source <> 'N'""",
 )
 def pair_valid_time(v: Views):
@@ -305,17 +306,17 @@ def pair_valid_time(v: Views):
 @query(
     "source:s init_time:t lead_hours:i y:i x:i channel:i value:d",
     f"""WITH d AS ({_DAILY_SQL}), p AS (
-          SELECT a.*, r.value AS prior_value FROM d a JOIN d r ON r.source = 'N' AND r.lead_hours = 0 AND r.y = a.y AND r.x = a.x
+          SELECT a.*, r.value AS prior_value FROM d a JOIN d r ON r.source = 'N' AND r.lead_hours = 0 AND r.variable = a.variable AND r.y = a.y AND r.x = a.x
           AND r.init_time = a.init_time + to_hours(a.lead_hours) - INTERVAL 24 HOUR WHERE a.source <> 'N'),
-        s AS (SELECT avg(value) AS mean, stddev_pop(value) AS std FROM d)
-        SELECT source, init_time, lead_hours, y, x, unnest([0, 1]) AS channel, unnest([(prior_value - mean) / std, (value - mean) / std]) AS value
-        FROM p, s""",
+        s AS (SELECT variable, avg(value) AS mean, stddev_pop(value) AS std FROM d GROUP BY 1)
+        SELECT source, init_time, lead_hours, y, x, CASE variable WHEN 'qty' THEN 0 ELSE 1 END + unnest([0, 2]) AS channel,
+          unnest([(prior_value - mean) / std, (value - mean) / std]) AS value FROM p JOIN s USING (variable)""",
 )
 def pair_cross_source(v: Views):
     """Forecast present, reference prior one day before the valid time, composed as prior and present channels."""
     d = _daily(v)
     reference = d.where((F.col("source") == "N") & (F.col("lead_hours") == 0))
     pairs = pairing.pair_cross_source(d.where(F.col("source") != "N"), reference, 24).drop("prior_time")
-    return compose.compose(pairs, "concat", ["qty"], stats.field_stats(d))
+    return compose.compose(pairs, "concat", ["qty", "disc"], stats.field_stats(d))
 
 

@@ -25,7 +25,7 @@ def _blur_sql(cells: str, sigma: float, n: int = 8) -> str:
 
 
 _NOISE8 = normal_sql(0, "'{0}'", "sample_id", "variable", "pos")
-_STD8 = "(SELECT stddev_pop(value) FROM v_cell8)"
+_STD8 = "stddev_pop(value) OVER (PARTITION BY variable)"
 _FIELD8 = "SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, min(value) OVER w AS lo, max(value) OVER w AS hi FROM v_cell8 WINDOW w AS (PARTITION BY sample_id)"
 
 
@@ -188,7 +188,7 @@ def disturb_noise(v: Views):
     CELL8,
     f"""WITH g AS ({_blur_sql(f"SELECT sample_id, y, x, {_NOISE8.format('dgrf')} AS value FROM v_cell8", 2.0)}),
         z AS (SELECT *, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-8) AS zz FROM g WINDOW w AS (PARTITION BY sample_id))
-        SELECT c.sample_id, c.y, c.x, c.value + 0.6 * {_STD8} * zz AS value FROM v_cell8 c JOIN z
+        SELECT c.sample_id, c.y, c.x, c.value + 0.6 * std * zz AS value FROM (SELECT *, {_STD8} AS std FROM v_cell8) c JOIN z
         ON z.sample_id = c.sample_id AND z.y = c.y AND z.x = c.x""",
 )
 def disturb_grf(v: Views):
@@ -206,7 +206,7 @@ def disturb_replace(v: Views):
 
 @query(
     CELL8,
-    f"""WITH p AS (SELECT sample_id, p, row_number() OVER (PARTITION BY sample_id ORDER BY {digest_sql(0, "'dpatch'", "sample_id", "'field'", "p")}) AS r
+    f"""WITH p AS (SELECT sample_id, p, row_number() OVER (PARTITION BY sample_id ORDER BY {digest_sql(0, "'dpatch'", "sample_id", "'f' || sample_id % 2", "p")}) AS r
           FROM (SELECT sample_id, unnest(range(16)) AS p FROM v_vec))
         SELECT c.sample_id, c.y, c.x, CASE WHEN r <= 4 THEN m ELSE value END AS value FROM ({_FIELD8}) c JOIN p
         ON p.sample_id = c.sample_id AND p.p = (c.y // 2) * 4 + c.x // 2""",
@@ -237,8 +237,8 @@ def disturb_quantize(v: Views):
 )
 def disturbance_set(v: Views):
     """Reference at lead 0, ten even times, disturbed, normalized, gaps to 0."""
-    s = stats.field_stats(v.grid)
-    reference = select.even_subsample(select.zero_lead(v.grid.where(F.col("source") == "N")), 10).drop("lat", "lon", "lead_hours")
+    s = stats.field_stats(v.stored_grid)
+    reference = select.even_subsample(select.zero_lead(v.stored_grid.where(F.col("source") == "N")), 10).drop("lat", "lon", "lead_hours")
     named = reference.withColumn("sample_id", F.concat_ws("-", "source", F.col("init_time").cast("date").cast("string")))
     fields = compose.to_snapshots(named, 4, 8).join(s.select("variable", "std"), "variable")
     return compose.to_cells(compose.normalize_snapshots(corrupt.disturb_noise(fields, 0.3).drop("std"), s))
@@ -281,14 +281,14 @@ def disturbance_plan(v: Views):
 
 # --- spectra ------------------------------------------------------------------------------------------------------------------
 
-_POWER_SQL = """SELECT sample_id, source, ky, kx, CASE WHEN ky = 0 AND kx = 0 THEN 0 ELSE re * re + im * im END AS power FROM (
-  SELECT sample_id, source, ky, kx, sum(d * cos(2 * pi() * (ky * y + kx * x) / 8)) AS re, sum(d * sin(2 * pi() * (ky * y + kx * x) / 8)) AS im
-  FROM (SELECT *, value - avg(value) OVER (PARTITION BY sample_id) AS d FROM v_cell8), range(8) AS a(ky), range(8) AS b(kx) GROUP BY 1, 2, 3, 4)"""
+_POWER_SQL = """SELECT sample_id, source, variable, ky, kx, CASE WHEN ky = 0 AND kx = 0 THEN 0 ELSE re * re + im * im END AS power FROM (
+  SELECT sample_id, source, variable, ky, kx, sum(d * cos(2 * pi() * (ky * y + kx * x) / 8)) AS re, sum(d * sin(2 * pi() * (ky * y + kx * x) / 8)) AS im
+  FROM (SELECT *, value - avg(value) OVER (PARTITION BY sample_id) AS d FROM v_cell8), range(8) AS a(ky), range(8) AS b(kx) GROUP BY 1, 2, 3, 4, 5)"""
 
 
 @query(
     "source:s variable:s ky:i kx:i log_power:d",
-    f"SELECT source, 'field' AS variable, (ky + 4) % 8 AS ky, (kx + 4) % 8 AS kx, avg(log10(power + 1e-8)) AS log_power FROM ({_POWER_SQL}) GROUP BY 1, 2, 3, 4",
+    f"SELECT source, variable, (ky + 4) % 8 AS ky, (kx + 4) % 8 AS kx, avg(log10(power + 1e-8)) AS log_power FROM ({_POWER_SQL}) GROUP BY 1, 2, 3, 4",
 )
 def psd_2d(v: Views):
     return spectra.psd_2d(v.snap8)
@@ -296,9 +296,9 @@ def psd_2d(v: Views):
 
 @query(
     "source:s variable:s k:i log_power:d n:i",
-    f"""SELECT source, 'field' AS variable, k, avg(lp) AS log_power, count(*) AS n FROM (
-          SELECT sample_id, source, CAST(round_even(sqrt(least(ky, 8 - ky) ** 2 + least(kx, 8 - kx) ** 2), 0) AS INTEGER) AS k, log10(avg(power) + 1e-10) AS lp
-          FROM ({_POWER_SQL}) GROUP BY 1, 2, 3) WHERE k < 4 GROUP BY 1, 2, 3""",
+    f"""SELECT source, variable, k, avg(lp) AS log_power, count(*) AS n FROM (
+          SELECT sample_id, source, variable, CAST(round_even(sqrt(least(ky, 8 - ky) ** 2 + least(kx, 8 - kx) ** 2), 0) AS INTEGER) AS k, log10(avg(power) + 1e-10) AS lp
+          FROM ({_POWER_SQL}) GROUP BY 1, 2, 3, 4) WHERE k < 4 GROUP BY 1, 2, 3""",
 )
 def psd_radial(v: Views):
     return spectra.psd_radial(v.snap8)
@@ -306,10 +306,12 @@ def psd_radial(v: Views):
 
 @query(
     "source:s variable:s bin:i n:i left:d density:d",
-    f"""WITH m AS (SELECT source, log10(power) / 2 AS m FROM ({_POWER_SQL}) WHERE power > 0), e AS (SELECT min(m) AS lo, max(m) AS hi FROM m),
-        b AS (SELECT source, lo, hi, least(floor((m - lo) / ((hi - lo) / 99)), 98) AS bin, count(*) AS n FROM m, e GROUP BY 1, 2, 3, 4)
-        SELECT source, 'field' AS variable, bin, n, pow(10, lo + bin * (hi - lo) / 99) AS "left",
-          n / (sum(n) OVER (PARTITION BY source) * (pow(10, lo + (bin + 1) * (hi - lo) / 99) - pow(10, lo + bin * (hi - lo) / 99))) AS density FROM b""",
+    f"""WITH m AS (SELECT source, variable, log10(power) / 2 AS m FROM ({_POWER_SQL}) WHERE power > 0),
+        e AS (SELECT variable, min(m) AS lo, max(m) AS hi FROM m GROUP BY 1),
+        b AS (SELECT source, variable, lo, hi, least(floor((m - lo) / ((hi - lo) / 99)), 98) AS bin, count(*) AS n FROM m JOIN e USING (variable)
+              GROUP BY 1, 2, 3, 4, 5)
+        SELECT source, variable, bin, n, pow(10, lo + bin * (hi - lo) / 99) AS "left", n / (sum(n) OVER (PARTITION BY source, variable)
+          * (pow(10, lo + (bin + 1) * (hi - lo) / 99) - pow(10, lo + bin * (hi - lo) / 99))) AS density FROM b""",
 )
 def psd_histogram(v: Views):
     return spectra.psd_histogram(v.snap8)

@@ -31,8 +31,8 @@ def logits_by_lead(v: Views):
         d AS (SELECT sample_id, pos, 'quant' AS disturbance, l AS level,
                 CASE WHEN l >= 256 OR hi = lo THEN value ELSE round_even((value - lo) / (hi - lo) * (l - 1), 0) / (l - 1) * (hi - lo) + lo END AS value
               FROM f, (SELECT unnest([256, 64, 32, 16, 8, 4]) AS l)
-              UNION ALL SELECT sample_id, pos, 'noise', l, value + l * (SELECT stddev_pop(value) FROM v_cell8) * {_NOISE8.format('dnoise')}
-              FROM v_cell8, (SELECT unnest([0, 0.1, 0.3, 0.6, 1.0]) AS l)),
+              UNION ALL SELECT sample_id, pos, 'noise', l, value + l * std * {_NOISE8.format('dnoise')}
+              FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY variable) AS std FROM v_cell8), (SELECT unnest([0, 0.1, 0.3, 0.6, 1.0]) AS l)),
         g AS (SELECT c, sample_id, disturbance, level, sum(value * w[CAST(pos AS INTEGER) + 1]) AS logit FROM d,
               (VALUES {", ".join(f"('c{c}', {critic.keyed_weights(c, DIM)})" for c in range(CRITICS))}) AS cr(c, w) GROUP BY 1, 2, 3, 4)
         SELECT c AS critic, disturbance, level, avg(logit) AS mean_logit, stddev_pop(logit) AS std_logit, count(*) AS n FROM g GROUP BY 1, 2, 3""",
@@ -84,11 +84,11 @@ def expectation_stderr(v: Views):
 
 def _snapshot_logits(v: Views):
     """Test-range snapshots scored by a fixed linear critic on the field means of train-normalized variables."""
-    z = stats.normalize(select.select_time_ranges(v.grid, TEST), stats.train_stats(v.grid, TRAIN, VARIABLES))
+    z = stats.normalize(select.select_time_ranges(v.stored_grid, TEST), stats.train_stats(v.stored_grid, TRAIN, VARIABLES))
     means = [F.avg(F.when(F.col("variable") == name, F.col("value"))) for name in VARIABLES]
     vec = F.array(*[F.coalesce(m, F.lit(0.0)) for m in means])
     fields = z.groupBy("source", "init_time", "lead_hours").agg(vec.alias("vec"))
-    return critic.score_critic(fields, {"fixed": (_W4, 0.0)})
+    return materialize(critic.score_critic(fields, {"fixed": (_W4, 0.0)}))
 
 
 @query(

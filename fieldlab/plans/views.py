@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import uniform_value
-from fieldlab.functions.reuse import spread
+from fieldlab.functions.reuse import materialize, spread
 from fieldlab.operators.critic import keyed_weights, score_critic
 
 VARIABLES = ["qty", "price", "disc", "tax"]
@@ -40,6 +40,11 @@ class Views:
         """Cells on a 4 x 8 grid by return flag (source), quarter and lead; gaps occur."""
         return self._grid(4, 8)
 
+    @cached_property
+    def stored_grid(self) -> DataFrame:
+        """`grid` written once, as an archive would be, for queries that read it several times."""
+        return materialize(self.grid)
+
     @cached_property
     def levels(self) -> DataFrame:
         """As `grid`, with a pressure level by line status; source R has no levels."""
@@ -80,9 +85,10 @@ class Views:
 
     @cached_property
     def snap8(self) -> DataFrame:
-        """One 8 x 8 field per sample."""
+        """One 8 x 8 field per sample, of one of two variables."""
+        name = F.concat(F.lit("f"), (F.col("sample_id") % 2).cast("string"))
         return self.vec.select(
-            "sample_id", "source", F.lit("field").alias("variable"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("vec").alias("values")
+            "sample_id", "source", name.alias("variable"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("vec").alias("values")
         )
 
     @cached_property
@@ -201,7 +207,7 @@ SQL_VIEWS = {
         [6, 12, 24, 48, 96, 192][CAST(vec_id % 6 AS INTEGER) + 1] AS lead_hours, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label,
         CAST(embedding AS DOUBLE[]) AS vec FROM embeddings""",
     "v_dims": """SELECT sample_id, source, model, lead_hours, label, unnest(vec) AS value, unnest(range(len(vec))) AS i FROM v_vec""",
-    "v_cell8": """SELECT sample_id, source, 'field' AS variable, i // 8 AS y, i % 8 AS x, i AS pos, value FROM v_dims""",
+    "v_cell8": """SELECT sample_id, source, 'f' || sample_id % 2 AS variable, i // 8 AS y, i % 8 AS x, i AS pos, value FROM v_dims""",
     "v_cell4": """SELECT sample_id, source, ['t', 'u', 'v', 'p'][CAST(i // 16 AS INTEGER) + 1] AS variable,
         (i % 16) // 4 AS y, i % 4 AS x, i % 16 AS pos, value FROM v_dims""",
     "v_series": """SELECT event_type AS source, CAST(date_trunc('day', ts) AS TIMESTAMP) + to_hours(CAST(6 * (hour(ts) // 6) AS INTEGER)) AS init_time,
