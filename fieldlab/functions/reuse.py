@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame
 def materialize(df: DataFrame) -> DataFrame:
     """Checkpoint into the folder the cluster names in `spark.checkpoint.dir`, so that lost executors cost nothing.
 
-    Only where that setting is absent, as in local tests, a folder is made.
+    Only in local mode, where one machine is the cluster, a folder is made when the setting is absent.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="fieldlab-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldlab-"))
     return df.checkpoint()
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.functions.arrays import let
 from fieldlab.functions.reuse import materialize
-from fieldlab.operators.quantiles import refine
+from fieldlab.operators.quantiles import holding_bin, refine
 
 BLOCK_ROWS = 1024  # most vectors in a block
 SMALL_BLOCK = 128  # a block is not made smaller than this to keep cores busy
@@ -165,8 +165,8 @@ def frechet_terms(reference: DataFrame, candidates: DataFrame, by: Sequence[str]
 # --- kernel MMD ---------------------------------------------------------------------------------------------------------------
 
 
-def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> DataFrame:
-    """Every pair of blocks a distance needs: reference x reference, reference x group, and group x itself.
+def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None):
+    """Every pair of blocks a distance needs: reference x reference, reference x group, and group x itself; and the set sizes.
 
     Vectors are hashed into blocks of about `block_rows` rows, by default at most 1024 and enough to use the cores. A block is one row (a flat matrix), sent to each pair it is part of;
     a pair is one row with both sides. Only blocks travel; vector pairs never become rows.
@@ -227,34 +227,38 @@ def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str,
     )
     sent = blocks.select("_set", "_g", "_b", "_n", "_m", F.explode(places).alias("_p")).withColumn("_side", side)
     part = F.struct(F.col("_side").alias("s"), F.col("_n").alias("n"), F.col("_m").alias("m"))
-    return sent.groupBy("_p.kind", "_p.g", "_p.i", "_p.j").agg(F.sort_array(F.collect_list(part)).alias("_sides"))
+    pairs = sent.groupBy("_p.kind", "_p.g", "_p.i", "_p.j").agg(F.sort_array(F.collect_list(part)).alias("_sides"))
+    first, second = F.get("_sides", F.lit(0)), F.get("_sides", F.lit(1))  # a block with itself has no second side
+    pairs = pairs.select("kind", "g", first["n"].alias("na"), first["m"].alias("a"), second["n"].alias("nb"), second["m"].alias("b"))
+    return pairs, {r["_g"]: r["n"] for r in sizes}  # None is the reference
 
 
-def _pair_sqdist(sides) -> np.ndarray:
+def _pair_sqdist(na, a, nb, b) -> np.ndarray:
     """Squared distances of a block pair; of a block with itself, those of i < j."""
-    mats = [np.asarray(s["m"], dtype=float).reshape(int(s["n"]), -1) for s in sides]
-    a, b = mats[0], mats[-1]
-    d2 = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0.0)
-    return d2[np.triu_indices(len(a), 1)] if len(mats) == 1 else d2.ravel()
+    x = np.asarray(a, dtype=float).reshape(int(na), -1)
+    y = x if b is None else np.asarray(b, dtype=float).reshape(int(nb), -1)
+    d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)
+    return d2[np.triu_indices(len(x), 1)] if b is None else d2.ravel()
 
 
 def _per_pair(pairs: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply `fn(kind, g, squared distances, weight)` to each block pair; `fn` yields small result rows."""
+    """Apply `fn(kind, g, squared distances, weight)` to each block pair; `fn` yields tuples of columns (scalars or equal-length arrays)."""
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for kind, g, sides in zip(batch["kind"], batch["g"], batch["_sides"]):
-                rows.extend(fn(kind, g, _pair_sqdist(sides), 1 if kind == "cross" else 2))  # ordered pairs count inside a set
-            yield pd.DataFrame(rows, columns=columns)
+            for kind, g, *sides in batch.itertuples(index=False, name=None):
+                weight = 1 if kind == "cross" else 2  # inside a set, ordered pairs count
+                parts = [pd.DataFrame({c: np.atleast_1d(v) for c, v in zip(columns, row)}) for row in fn(kind, g, _pair_sqdist(*sides), weight)]
+                if parts:
+                    yield pd.concat(parts, ignore_index=True)
 
-    return pairs.select("kind", "g", "_sides").mapInPandas(run, schema)
+    return pairs.mapInPandas(run, schema)
 
 
 def sqdist_summary(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> DataFrame:
     """Squared distances per (kind, group) over ordered pairs, the diagonal left out: n, mean, min, max."""
-    pairs = block_pairs(reference, candidates, by, key, block_rows)
+    pairs, _ = block_pairs(reference, candidates, by, key, block_rows)
 
     def stats(kind, g, d2, weight):
         if d2.size:
@@ -280,9 +284,9 @@ def mmd_gammas(pairs: DataFrame, groups: Sequence[str], bins: int = 2048) -> dic
     for g in groups:
         mine = [r for r in spans if r["kind"] == "ref" or r["g"] == g]
         n = sum(r["n"] for r in mine)
-        targets[g] = [(n - 1) // 2, min(r["lo"] for r in mine), max(r["hi"] for r in mine)]
+        targets[g] = ((n - 1) // 2, min(r["lo"] for r in mine), max(r["hi"] for r in mine))
 
-    def count_bins(open_targets: dict) -> list:
+    def locate(open_targets: dict) -> dict:
         brackets = {g: (lo, hi) for g, (_, lo, hi) in open_targets.items()}
 
         def count(kind, g, d2, weight):
@@ -295,13 +299,15 @@ def mmd_gammas(pairs: DataFrame, groups: Sequence[str], bins: int = 2048) -> dic
                     index = np.minimum(((d - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
                     starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
                     stops = np.r_[starts[1:], len(d)]
-                    for k, c, a, b in zip(index[starts], stops - starts, d[starts], d[stops - 1]):
-                        yield t, int(k), weight * int(c), float(a), float(b)
+                    yield np.repeat(t, len(starts)), index[starts], weight * (stops - starts), d[starts], d[stops - 1]
 
         parts = _per_pair(pairs, count, "target string, bin long, n long, lo double, hi double")
-        return parts.groupBy("target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+        wanted = pairs.sparkSession.createDataFrame([(g, k) for g, (k, _, _) in open_targets.items()], "target string, _in long")
+        counts = parts.groupBy("target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        held = holding_bin(counts.join(F.broadcast(wanted), "target"), ["target"], "_in")  # one row per group
+        return {r["target"]: (r["left"], r["lo"], r["hi"]) for r in held}
 
-    medians = refine(count_bins, targets, bins)
+    medians = refine(locate, targets)
     return {g: 1.0 / (2.0 * m + 1e-6) for g, m in medians.items()}
 
 
@@ -310,11 +316,11 @@ def mmd_rbf(
 ) -> DataFrame:
     """Unbiased squared MMD with an RBF kernel of each candidate group against the reference: (by, n_ref, n, gamma, mmd).
 
-    Exact over all pairs. Without `gamma` the median rule sets it per group. Sizes may differ; the value may be negative.
+    Exact over all pairs; `key` identifies a vector. Without `gamma` the median rule sets it per group. Sizes may differ; the value may
+    be negative, and is null where a set has one vector.
     """
-    pairs = block_pairs(reference, candidates, by, key, block_rows)
-    sizes = {str(r[by]): r["n"] for r in candidates.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_ref = reference.count()
+    pairs, sizes = block_pairs(reference, candidates, by, key, block_rows)
+    n_ref = sizes.pop(None, 0)
     gammas = {g: gamma for g in sizes} if gamma is not None else mmd_gammas(pairs, list(sizes))
 
     def kernel(kind, g, d2, weight):
@@ -329,7 +335,8 @@ def mmd_rbf(
         [(g, n_ref, n, gammas[g]) for g, n in sizes.items()], "g string, n_ref long, n long, gamma double"
     )
     n, m = F.col("n_ref"), F.col("n")
-    value = F.col("_ref") / (n * (n - 1)) + F.col("_cand") / (m * (m - 1)) - 2 * F.col("_cross") / (n * m)
+    inside = F.try_divide(F.col("_ref"), n * (n - 1)) + F.try_divide(F.col("_cand"), m * (m - 1))  # null for a single vector
+    value = inside - 2 * F.try_divide(F.col("_cross"), n * m)
     return info.join(sums, "g").select(F.col("g").alias(by), "n_ref", "n", "gamma", value.alias("mmd"))
 
 

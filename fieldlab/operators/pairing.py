@@ -88,21 +88,28 @@ def nearest_time(
     hit = F.when(F.col("_id").isNotNull(), F.struct("_t", "_id"))
     ends = [F.max(hit).alias("_last"), F.min(hit).alias("_first")]
 
+    every = list(on) or [F.lit(0)]
     days = times.groupBy(*on, "_day").agg(*ends)
-    day_order = W.partitionBy(*(on or [F.lit(0)])).orderBy("_day")
-    days = days.select(*on, "_day", _before(day_order).alias("_dp"), _after(day_order).alias("_dn"))
+    days = days.select(
+        *on, "_day", _before("_last", every, "_day").alias("_dp"), _after("_first", every, "_day").alias("_dn")
+    )
 
     seconds = times.groupBy(*on, "_day", "_sec").agg(*ends).join(days, [*on, "_day"])
-    sec_order = W.partitionBy(*on, "_day").orderBy("_sec")
+    day = [*on, "_day"]
     seconds = seconds.select(
-        *on, "_day", "_sec", F.coalesce(_before(sec_order), "_dp").alias("_sp"), F.coalesce(_after(sec_order), "_dn").alias("_sn")
+        *day,
+        "_sec",
+        F.coalesce(_before("_last", day, "_sec"), "_dp").alias("_sp"),
+        F.coalesce(_after("_first", day, "_sec"), "_dn").alias("_sn"),
     )
 
-    moment_order = W.partitionBy(*on, "_day", "_sec").orderBy("_t")
-    earlier = F.last(hit, ignorenulls=True).over(moment_order.rowsBetween(W.unboundedPreceding, 0))
-    later = F.first(hit, ignorenulls=True).over(moment_order.rowsBetween(0, W.unboundedFollowing))
-    matched = times.join(seconds, [*on, "_day", "_sec"]).select(
-        *on, "_t", F.coalesce(earlier, "_sp").alias("_prev"), F.coalesce(later, "_sn").alias("_next")
+    second = [*on, "_day", "_sec"]
+    moments = times.withColumn("_hit", hit).join(seconds, second)
+    matched = moments.select(
+        *on,
+        "_t",
+        F.coalesce("_hit", _before("_hit", second, "_t"), "_sp").alias("_prev"),
+        F.coalesce("_hit", _after("_hit", second, "_t"), "_sn").alias("_next"),
     )
     now = epoch_micros(F.col("_t"))
     gap_prev, gap_next = now - epoch_micros(F.col("_prev._t")), epoch_micros(F.col("_next._t")) - now
@@ -119,12 +126,16 @@ def nearest_time(
     return left.join(best, [*on, left_time])
 
 
-def _before(order: W) -> Column:
-    return F.last("_last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
+def _before(column: str, within: Sequence, order: str) -> Column:
+    """Last value before this row."""
+    return F.last(column, ignorenulls=True).over(W.partitionBy(*within).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
 
 
-def _after(order: W) -> Column:
-    return F.first("_first", ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+def _after(column: str, within: Sequence, order: str) -> Column:
+    """First value after this row, as the last one before it in the opposite order: a frame that grows costs one step per row,
+    one that shrinks is summed anew for each."""
+    opposite = W.partitionBy(*within).orderBy(F.col(order).desc())
+    return F.last(column, ignorenulls=True).over(opposite.rowsBetween(W.unboundedPreceding, -1))
 
 
 def spacing(df: DataFrame, within: Sequence[str], time: str = "init_time") -> DataFrame:

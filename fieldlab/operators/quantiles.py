@@ -1,8 +1,8 @@
 """Exact order statistics of large groups.
 
 The built-in exact percentile gathers all values of a group in one task. Here each pass counts values in `bins` even bins between
-the ends of a bracket, and the bin that holds the wanted rank becomes the next bracket. A pass returns at most `bins` rows per
-target; a bracket shrinks until its ends are equal, so ties end the search at once.
+the ends of a bracket, and the bin that holds the wanted rank becomes the next bracket. A pass returns one row per target; a
+bracket shrinks until its ends are equal, so ties end the search at once.
 """
 
 from __future__ import annotations
@@ -11,53 +11,63 @@ import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def refine(count_bins: Callable[[dict], list], targets: dict, bins: int) -> dict:
+def refine(locate: Callable[[dict], dict], targets: dict) -> dict:
     """Narrow brackets until each is a single value.
 
-    targets: id -> [rank inside the bracket, lo, hi]. count_bins(open targets) gives rows (target, bin, n, lo, hi).
+    targets: id -> (rank inside the bracket, lo, hi); `locate` gives the next bracket of every open target.
     """
     found = {}
-    while True:
+    while targets:
         for t in [t for t, (_, lo, hi) in targets.items() if hi - lo <= 1e-13 * max(abs(lo), abs(hi))]:
             found[t] = targets.pop(t)[1]
-        if not targets:
-            return found
-        rows: dict = {}
-        for r in count_bins(targets):
-            rows.setdefault(r["target"], []).append((r["bin"], r["n"], r["lo"], r["hi"]))
-        for t, (rank, _, _) in list(targets.items()):
-            for _, n, lo, hi in sorted(rows[t]):
-                if rank < n:
-                    targets[t] = [rank, lo, hi]
-                    break
-                rank -= n
-            else:
-                raise ValueError(f"rank beyond the data for {t}")
-
-
-def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callable[[int], list[int]], bins: int = 1024) -> dict:
-    """{(group values, rank): value} for the ranks `ranks(n)` of each group. Groups are few (variables, sources)."""
+        if targets:
+            closer = locate(targets)
+            if set(closer) != set(targets):
+                raise ValueError(f"rank beyond the data: {set(targets) - set(closer)}")
+            targets = closer
+    return found
+
+
+def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
+    return F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1))
+
+
+def holding_bin(counts: DataFrame, target: Sequence[str], rank: str) -> list:
+    """The bin of each target that holds its rank, from rows (target, rank, bin, n, lo, hi): (target, left, lo, hi).
+
+    A window holds the bins of one target; one row per target comes back.
+    """
+    upto = F.sum("n").over(W.partitionBy(*target).orderBy("bin"))
+    left = F.col(rank) - (F.col("_upto") - F.col("n"))
+    held = counts.withColumn("_upto", upto).withColumn("left", left).where((F.col("left") >= 0) & (F.col(rank) < F.col("_upto")))
+    return held.select(*target, "left", "lo", "hi").collect()
+
+
+def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callable[[int], list[int]], bins: int = 8192) -> dict:
+    """{(group values, rank): value} for the ranks `ranks(n)` of each group. Groups are few (variables, sources).
+
+    `df` is read once per pass, commonly three times; materialize it when it is costly.
+    """
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
     spans = data.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-    targets = {(tuple(r[c] for c in by), k): [k, r["lo"], r["hi"]] for r in spans for k in set(ranks(r["n"]))}
-    schema = data.select(*by).schema.add("_rank", "long").add("_lo", "double").add("_hi", "double")
+    targets = {(tuple(r[c] for c in by), k): (k, r["lo"], r["hi"]) for r in spans for k in set(ranks(r["n"]))}
+    schema = data.select(*by).schema.add("_rank", "long").add("_in", "long").add("_lo", "double").add("_hi", "double")
 
-    def count_bins(open_targets: dict) -> list:
-        rows = [(*group, k, lo, hi) for (group, k), (_, lo, hi) in open_targets.items()]
+    def locate(open_targets: dict) -> dict:
+        rows = [(*group, k, inside, lo, hi) for (group, k), (inside, lo, hi) in open_targets.items()]
         brackets = F.broadcast(df.sparkSession.createDataFrame(rows, schema))  # one row per open target
-        scaled = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins)
         hits = data.join(brackets, list(by)).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        out = (
-            hits.groupBy(*by, "_rank", F.least(scaled, F.lit(bins - 1)).alias("bin"))
-            .agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi"))
-            .collect()
+        counts = hits.groupBy(*by, "_rank", "_in", bin_of(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(
+            F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
         )
-        return [{"target": (tuple(r[c] for c in by), r["_rank"]), "bin": r["bin"], "n": r["n"], "lo": r["lo"], "hi": r["hi"]} for r in out]
+        held = holding_bin(counts, [*by, "_rank"], "_in")
+        return {(tuple(r[c] for c in by), r["_rank"]): (r["left"], r["lo"], r["hi"]) for r in held}
 
-    values = refine(count_bins, targets, bins)
+    values = refine(locate, targets)
     sizes = {tuple(r[c] for c in by): r["n"] for r in spans}
     return {"sizes": sizes, "values": values}
 

@@ -9,7 +9,8 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.operators.ranking import position, random_position, time_axis
+from fieldlab.functions.keyed import digest
+from fieldlab.operators.ranking import random_position, time_axis
 
 NO_START = datetime(1, 1, 1)
 NO_END = datetime(9999, 12, 31)
@@ -185,10 +186,11 @@ def time_split(df: DataFrame, ratio: float, within: Sequence[str] = ("source",),
 
 def reference_pool(reference: DataFrame, forecast: DataFrame, restrict_dates: bool = True, time: str = "init_time"):
     """Reference rows at the hours of day of the forecast, inside its date span when restricted."""
-    span = forecast.agg(F.min(time).alias("lo"), F.max(time).alias("hi"), F.collect_set(F.hour(time)).alias("hours"))
-    keep = F.array_contains(span.select("hours").scalar(), F.hour(time))
+    ends = F.struct(F.min(time).alias("lo"), F.max(time).alias("hi"), F.collect_set(F.hour(time)).alias("hours"))
+    span = forecast.agg(ends.alias("span")).scalar()
+    keep = F.array_contains(span["hours"], F.hour(time))
     if restrict_dates:
-        keep = keep & F.col(time).between(span.select("lo").scalar(), span.select("hi").scalar())
+        keep = keep & F.col(time).between(span["lo"], span["hi"])
     return reference.where(keep)
 
 
@@ -198,8 +200,6 @@ def first_n(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 def cap_random(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """A keyed random sample of at most n rows, without replacement (a top-n by hash)."""
-    from fieldlab.functions.keyed import digest
-
     return df.withColumn("_h", digest(seed, "cap", F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
@@ -225,12 +225,6 @@ def random_split(df: DataFrame, key: str, ratio: float = 0.8, seed: int = 0) ->
     return ranked.withColumn("split", F.explode(parts)).drop("_p")
 
 
-def sample_positions(df: DataFrame, columns: Sequence[str], day: str, name: str = "idx") -> DataFrame:
-    """Flat index of rows ordered by `columns`; `columns[0]` and the day of `day` bucket the order."""
-    bucket = F.struct(F.col(columns[0]), F.col(day).cast("date"))
-    return position(df, columns, bucket, (), name)
-
-
 def ranges_table(spark: SparkSession, train, test) -> DataFrame:
     """Configured ranges as a table, for reports."""
     rows = [("train", _date_or_none(r.start), _date_or_none(r.end)) for r in as_ranges(train)]

@@ -71,11 +71,11 @@ def psd_histogram(snapshots: DataFrame, by: str = "source", over: Sequence[str]
     mags = power_cells(snapshots, [by, *over]).where(F.col("power") > 0).select(by, *over, (F.log10("power") / 2).alias("m"))
     ends = mags.groupBy(*over).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
-    index = F.least(F.floor((F.col("m") - F.col("lo")) / width), F.lit(bins - 1))
+    index = F.least(F.floor(F.coalesce(F.try_divide(F.col("m") - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1))
     counts = mags.join(F.broadcast(ends), list(over)).groupBy(by, *over, "lo", "hi", index.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(by, *over).agg(F.sum("n").alias("_total"))
     left = F.pow(F.lit(10.0), F.col("lo") + F.col("bin") * width)
     right = F.pow(F.lit(10.0), F.col("lo") + (F.col("bin") + 1) * width)
     return counts.join(totals, [by, *over]).select(
-        by, *over, "bin", "n", left.alias("left"), right.alias("right"), (F.col("n") / (F.col("_total") * (right - left))).alias("density")
+        by, *over, "bin", "n", left.alias("left"), right.alias("right"), F.try_divide(F.col("n"), F.col("_total") * (right - left)).alias("density")
     )

@@ -255,8 +255,8 @@ def pairwise_sqdist(v: Views):
 
 @query("model:s gamma:d", f"WITH {_PAIRS_SQL}, {_GAMMA_SQL} SELECT * FROM g")
 def mmd_gamma(v: Views):
-    models = [r.model for r in v.cand.select("model").distinct().collect()]  # a handful of model names
-    gammas = distance.mmd_gammas(distance.block_pairs(v.ref, v.cand, "model", "sample_id"), models)
+    pairs, sizes = distance.block_pairs(v.ref, v.cand, "model", "sample_id")
+    gammas = distance.mmd_gammas(pairs, [m for m in sizes if m is not None])
     return v.spark.createDataFrame(list(gammas.items()), "model string, gamma double")
 
 

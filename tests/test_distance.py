@@ -87,6 +87,12 @@ def test_mmd_with_given_gamma_and_duplicates(spark):
     assert abs(got.mmd) < 1e-12
 
 
+def test_mmd_of_a_single_vector_is_null(spark, sets):
+    x, y, _ = sets
+    got = distance.mmd_rbf(frame(spark, x), frame(spark, y[:1], "y"), "g", "sample_id").collect()[0]
+    assert got.mmd is None and got.n == 1 and got.gamma > 0
+
+
 def test_sqdist_summary(spark, sets):
     x, y, _ = sets
     rows = {r.kind: r for r in distance.sqdist_summary(frame(spark, x), frame(spark, y, "y"), "g", "sample_id", 16).collect()}
