@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlab.deploy import ship_package
 from fieldlab.plans.views import SQL_VIEWS, Views
 
 
@@ -24,6 +25,7 @@ class Query:
     sql: str | None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
         return _shape(self.build(Views(spark, sf_dir)), self.columns)
 
     def oracle(self) -> str | None:

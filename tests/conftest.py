@@ -19,6 +19,9 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from fieldlab.deploy import ship_package
+
+    ship_package(session)
     yield session
     session.stop()
 
