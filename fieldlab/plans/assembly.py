@@ -18,11 +18,11 @@ _REAL_SQL = """SELECT init_time, row_number() OVER (ORDER BY init_time) - 1 AS i
 
 
 def _fake(v: Views):
-    return assemble.fake_index(v.grid.where(F.col("source") != "N"), FORECAST_LEADS)
+    return materialize(assemble.fake_index(v.grid.where(F.col("source") != "N"), FORECAST_LEADS))
 
 
 def _real(v: Views):
-    return assemble.fake_index(v.grid.where((F.col("source") == "N") & (F.col("lead_hours") == 0)), [0])
+    return materialize(assemble.fake_index(v.grid.where((F.col("source") == "N") & (F.col("lead_hours") == 0)), [0]))
 
 
 @query("idx:i source:s init_time:t lead_hours:i", _FAKE_SQL)
@@ -122,7 +122,28 @@ def mask_targets(v: Views):
     return found.select("batch", "sample_id", F.posexplode("targets").alias("block", "t")).select("*", F.explode("t").alias("patch"))
 
 
-@query("batch:i sample_id:i block:i patch:i")
+def _disjoint_sql() -> str:
+    """Blocks one after the other: the first of 20 attempts that keeps more than 4 patches clear of earlier blocks, else a free one."""
+    inside = f"p // {COLS} >= top AND p // {COLS} < top + h AND p % {COLS} >= lft AND p % {COLS} < lft + w"
+    parts = [f"s AS (SELECT z.batch, vec_id AS sample_id, h, w FROM embeddings JOIN ({_TARGET_SIZE}) z ON z.batch = vec_id // 16)"]
+    for t in range(4):
+        tries = "range(1, 22)" if t else "[1]"
+        parts.append(
+            f"""r{t} AS (SELECT batch, sample_id, a, p FROM (SELECT *, {_corner_sql("'target'", 'batch', 'sample_id', 'block')} FROM (
+              SELECT *, unnest({tries}) AS a, {t} AS block FROM s)), range({ROWS * COLS}) AS q(p) WHERE {inside})"""
+        )
+        taken = " OR ".join(f"EXISTS (SELECT 1 FROM f{e} y WHERE y.sample_id = x.sample_id AND y.p = x.p)" for e in range(t)) or "false"
+        parts.append(f"c{t} AS (SELECT * FROM r{t} x WHERE a = 21 OR NOT ({taken}))")
+        parts.append(f"m{t} AS (SELECT sample_id, min(a) AS a FROM (SELECT sample_id, a FROM c{t} GROUP BY 1, 2 HAVING count(*) > 4) GROUP BY 1)")
+        parts.append(f"f{t} AS (SELECT sample_id, p FROM r{t} JOIN m{t} USING (sample_id, a))")
+    kept = " UNION ALL ".join(f"SELECT batch, sample_id, {t} AS block, p FROM c{t} JOIN m{t} USING (sample_id, a)" for t in range(4))
+    parts.append(f"k AS ({kept})")
+    return f"""WITH {", ".join(parts)}, o AS (SELECT *, row_number() OVER (PARTITION BY sample_id, block ORDER BY p) AS r,
+        count(*) OVER (PARTITION BY sample_id, block) AS n FROM k)
+      SELECT batch, sample_id, block, p AS patch FROM (SELECT *, min(n) OVER (PARTITION BY batch) AS cut FROM o) WHERE r <= cut"""
+
+
+@query("batch:i sample_id:i block:i patch:i", _disjoint_sql())
 def mask_targets_disjoint(v: Views):
     found = masks.target_masks(_batches(v), ROWS, COLS, disjoint=True)
     return found.select("batch", "sample_id", F.posexplode("targets").alias("block", "t")).select("*", F.explode("t").alias("patch"))
