@@ -21,6 +21,11 @@ def fake_index(df: DataFrame, leads: Sequence[int] | None = None) -> DataFrame:
     return position(samples, ["source", "init_time", "lead_hours"], bucket, (), "idx")
 
 
+def count_samples(df: DataFrame, leads: Sequence[int] | None = None) -> int:
+    """Number of distinct samples, without an index."""
+    return filter_leads(df, leads).select("source", "init_time", "lead_hours").distinct().count()
+
+
 def fake_category(slot: Column, augment: bool = True, seed: int = 0) -> Column:
     """Category of a fake slot, uniform over three; forecast only without augmentation."""
     if not augment:

@@ -17,17 +17,22 @@ _REAL_SQL = """SELECT init_time, row_number() OVER (ORDER BY init_time) - 1 AS i
   FROM (SELECT DISTINCT init_time FROM v_grid WHERE source = 'N' AND lead_hours = 0)"""
 
 
-def _fake(v: Views):
-    return materialize(assemble.fake_index(v.grid.where(F.col("source") != "N"), FORECAST_LEADS))
+def _fake_cells(v: Views):
+    return v.grid.where(F.col("source") != "N")
 
 
-def _real(v: Views):
-    return materialize(assemble.fake_index(v.grid.where((F.col("source") == "N") & (F.col("lead_hours") == 0)), [0]))
+def _real_cells(v: Views):
+    return v.grid.where((F.col("source") == "N") & (F.col("lead_hours") == 0))
+
+
+def _epoch(v: Views, augment: bool):
+    n_real = assemble.count_samples(_real_cells(v), [0])
+    return assemble.balanced_epoch(v.spark, n_real, assemble.count_samples(_fake_cells(v), FORECAST_LEADS), augment)
 
 
 @query("idx:i source:s init_time:t lead_hours:i", _FAKE_SQL)
 def fake_index(v: Views):
-    return _fake(v)
+    return assemble.fake_index(_fake_cells(v), FORECAST_LEADS)
 
 
 _CATEGORY = f"""['forecast', 'corrupted_real', 'corrupted_forecast'][CAST(floor({uniform_sql(0, "'category'", '{0}')} * 3) AS INTEGER) + 1]"""
@@ -39,12 +44,12 @@ _EPOCH_SQL = f"""WITH f AS ({_FAKE_SQL}), r AS ({_REAL_SQL}), z AS (SELECT (SELE
 
 @query("slot:i label:i category:s idx:i", _EPOCH_SQL.format(_CATEGORY.format("sub")))
 def balanced_epoch(v: Views):
-    return assemble.balanced_epoch(v.spark, _real(v).count(), _fake(v).count(), augment=True)
+    return _epoch(v, augment=True)
 
 
 @query("label:i category:s n:i", f"SELECT label, category, count(*) AS n FROM ({_EPOCH_SQL.format(repr('forecast'))}) GROUP BY 1, 2")
 def epoch_composition(v: Views):
-    return assemble.epoch_composition(assemble.balanced_epoch(v.spark, _real(v).count(), _fake(v).count()))
+    return assemble.epoch_composition(_epoch(v, augment=False))
 
 
 @query("event_id:i category:s", f"SELECT event_id, {_CATEGORY.format('event_id')} AS category FROM events")
@@ -60,7 +65,8 @@ def fake_category(v: Views):
         SELECT slot, CASE WHEN hit THEN 0 ELSE label END AS label, CASE WHEN hit THEN 'true' ELSE 'false' END AS corrupted FROM c""",
 )
 def eval_set(v: Views):
-    return assemble.eval_set(_real(v), _fake(v), augment_prob=0.4)
+    real = materialize(assemble.fake_index(_real_cells(v), [0]))
+    return assemble.eval_set(real, assemble.fake_index(_fake_cells(v), FORECAST_LEADS), augment_prob=0.4)
 
 
 @query(
