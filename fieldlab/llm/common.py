@@ -42,3 +42,17 @@ def per_row(df: DataFrame, schema: str, columns: list[str], work: Callable[[pd.D
                 yield work(frame.iloc[start : start + 500].reset_index(drop=True))
 
     return df.select(*columns).mapInPandas(batches, schema)
+
+
+def carried(columns: tuple[str, ...]) -> Column:
+    """Other columns of a row in one struct, so that their names clash with nothing."""
+    return F.struct(F.lit(0).alias("_"), *[F.col(c) for c in columns]).alias("carried")
+
+
+def carried_type(rows: DataFrame) -> str:
+    return f"carried {rows.schema['carried'].dataType.simpleString()}"
+
+
+def uncarried(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    own = [c for c in rows.columns if c != "carried"]
+    return rows.select(*own, *[F.col("carried")[c].alias(c) for c in columns if c not in own])

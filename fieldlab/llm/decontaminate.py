@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import per_row, words_of
+from fieldlab.llm.common import carried, carried_type, per_row, uncarried, words_of
 
 _BUILT: dict[str, tuple] = {}
 
@@ -71,8 +71,8 @@ def _scan(text: str | None, machines) -> tuple[int, list[tuple[int, int]], set[i
     return len(words), spans, items
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 64 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits: one row per row of docs(doc_id, text)."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_bytes: int = 64 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, hits and the `carry` columns: one row per row of docs(doc_id, text)."""
     spark = docs.sparkSession
     items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -99,7 +99,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
             names = sorted(str(i) for i in found)
             digest = hashlib.sha256(",".join(names).encode()).hexdigest()
             rows.append((doc_id, n_words, covered, len(names), digest, covered > 0, sorted(found), ",".join(f"{s}:{e}" for s, e in merged)))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]).assign(carried=frame["carried"]).astype({"doc_id": "Int64"})
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, hits string"
-    return per_row(docs, schema, ["doc_id", "text"], work)
+    rows = docs.select("doc_id", "text", carried(carry))
+    return uncarried(per_row(rows, f"{schema}, {carried_type(rows)}", rows.columns, work), carry)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.llm.common import held_out, per_row
+from fieldlab.llm.common import carried, carried_type, held_out, per_row, uncarried
 
 _SHAPE = np.zeros(256, np.int64)
 for _b in range(256):
@@ -92,10 +92,10 @@ def vote(latent: np.ndarray, model: dict, k: int) -> np.ndarray:
     return np.clip(out, 0.0, 1.0)
 
 
-def score(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, k: int = 15, threshold: float = 0.7, train_rows: int = 2000) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row per row of docs(doc_id, text)."""
+def score(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None = None, k: int = 15, threshold: float = 0.7, train_rows: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, score, predicted and the `carry` columns: one row per row of docs(doc_id, text)."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs if labelled_docs is None else labelled_docs, labels, train_rows))
-    rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
+    rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), carried(carry))
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         m = model.value
@@ -108,6 +108,7 @@ def score(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None =
             norm = np.linalg.norm(latent, axis=1)
             some = norm > 1e-9
             result[some] = vote(latent[some] / norm[some, None], m, k) if some.any() else 0
-        return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": result, "predicted": (result >= threshold).astype(int)}).astype({"doc_id": "Int64"})
+        out = pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": result, "predicted": (result >= threshold).astype(int)})
+        return out.assign(carried=frame["carried"]).astype({"doc_id": "Int64"})
 
-    return per_row(rows, "doc_id long, held_out boolean, score double, predicted int", ["doc_id", "held_out", "text"], work)
+    return uncarried(per_row(rows, f"doc_id long, held_out boolean, score double, predicted int, {carried_type(rows)}", rows.columns, work), carry)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.deploy import ship_package
-from fieldlab.llm import decontaminate, divergence, language, licenses, quality, secrets
+from fieldlab.llm import decontaminate, divergence, html, language, licenses, linededup, mixing, neardup, quality, secrets
 from fieldlab.llm.common import read
 
 
@@ -14,6 +14,10 @@ def op1_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.find_secrets(read(spark, folder, "documents"))
 
 
+def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(read(spark, folder, "documents"))
+
+
 def op3_language(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(read(spark, folder, "documents"))
 
@@ -26,16 +30,28 @@ def op5_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.decontaminate(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("items", "hits")
 
 
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(read(spark, folder, "pages"))
+
+
 def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan_licenses(read(spark, folder, "documents"))
 
 
+def op8_lines(spark: SparkSession, folder: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, folder, "documents"))
+
+
 def op9_rules(spark: SparkSession, folder: str) -> DataFrame:
     measured = divergence.judge(read(spark, folder, "documents"))
     return measured.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
-_ALL = (op1_secrets, op3_language, op4_quality, op5_decontaminate, op7_licenses, op9_rules)
+def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, folder, "documents")).drop("text_id")
+
+
+_ALL = (op1_secrets, op2_mixing, op3_language, op4_quality, op5_decontaminate, op6_html, op7_licenses, op8_lines, op9_rules, op10_neardup)
 
 
 def _shipped(query):
