@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 WORD_GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what separates words once A-Z are lower-cased
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,14 +37,16 @@ def lower_ascii(text: Column) -> Column:
 
 
 def per_row(df: DataFrame, schema: str, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """`columns` of df, batch by batch through `work`; Arrow batches are cut small by their rows, so long texts stay bounded."""
+    """`columns` of df, 500 rows at a time through `work`. Whole numbers stay whole where some are null."""
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start in range(0, len(frame), 500):
-                yield work(frame.iloc[start : start + 500].reset_index(drop=True))
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(StructType.fromDDL(schema))
+        for batch in found:
+            for start in range(0, batch.num_rows, 500):
+                frame = batch.slice(start, 500).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+                yield pa.RecordBatch.from_pandas(work(frame), schema=target, preserve_index=False)
 
-    return df.select(*columns).mapInPandas(batches, schema)
+    return df.select(*columns).mapInArrow(batches, schema)
 
 
 def carried(columns: tuple[str, ...]) -> Column:

@@ -99,7 +99,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_b
             names = sorted(str(i) for i in found)
             digest = hashlib.sha256(",".join(names).encode()).hexdigest()
             rows.append((doc_id, n_words, covered, len(names), digest, covered > 0, sorted(found), ",".join(f"{s}:{e}" for s, e in merged)))
-        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]).assign(carried=frame["carried"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits"]).assign(carried=frame["carried"])
 
     schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<long>, hits string"
     rows = docs.select("doc_id", "text", carried(carry))

@@ -114,7 +114,7 @@ def _parsed(pages: DataFrame) -> DataFrame:
         out = frame[["page_id", "url", "host", "page"]].copy()
         out["regions"] = [[r for r, _ in f] for f in found]
         out["texts"] = [[t for _, t in f] for f in found]
-        return out.astype({"page_id": "Int64"})
+        return out
 
     rows = pages.select("page_id", "url", "html").withColumns({
         "host": F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))),
@@ -166,6 +166,6 @@ def extract(pages: DataFrame, depth: int = 6) -> DataFrame:
             texts_out.append("\n".join(kept))
             boiler.append(total)
         out = pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts_out, "n_chars": [len(t) for t in texts_out], "n_boiler": boiler})
-        return out.astype({"page_id": "Int64"})
+        return out
 
     return per_row(joined, "page_id long, url string, text string, n_chars long, n_boiler long", ["page_id", "url", "regions", "texts", "starts"], work)

@@ -136,7 +136,7 @@ def identify(docs: DataFrame, labelled: DataFrame | None = None, train_bytes: in
                 lang[i], bits[i] = names[best[row]], length[row, best[row]]
                 scale = 16 / max(16, len(texts[i].encode()))
                 score[i] = 1 / np.exp2(-(length[row] - bits[i]) * scale).sum()
-        return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": lang, "score": score, "bits": bits}).astype({"doc_id": "Int64"})
+        return pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "lang_pred": lang, "score": score, "bits": bits})
 
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     return per_row(rows, "doc_id long, held_out boolean, lang_pred string, score double, bits double", ["doc_id", "held_out", "text"], work)

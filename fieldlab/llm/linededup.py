@@ -94,7 +94,7 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 3, long_words: int = 50, leas
             counts.append(len(spans))
             gone.append(len(dead))
         out = pd.DataFrame({"doc_id": frame["doc_id"], "text": texts, "n_chunks": counts, "n_removed": gone})
-        return out.assign(carried=frame["carried"]).astype({"doc_id": "Int64"})
+        return out.assign(carried=frame["carried"])
 
     schema = f"doc_id long, text string, n_chunks long, n_removed long, {carried_type(rows)}"
     return uncarried(per_row(joined, schema, ["doc_id", "text", "removed", "carried"], rebuild), carry)

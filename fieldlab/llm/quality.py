@@ -109,6 +109,6 @@ def score(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame | None =
             some = norm > 1e-9
             result[some] = vote(latent[some] / norm[some, None], m, k) if some.any() else 0
         out = pd.DataFrame({"doc_id": frame["doc_id"], "held_out": frame["held_out"], "score": result, "predicted": (result >= threshold).astype(int)})
-        return out.assign(carried=frame["carried"]).astype({"doc_id": "Int64"})
+        return out.assign(carried=frame["carried"])
 
     return uncarried(per_row(rows, f"doc_id long, held_out boolean, score double, predicted int, {carried_type(rows)}", rows.columns, work), carry)

@@ -111,7 +111,7 @@ def find_secrets(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
             counts = Counter(kind for _, _, kind, _ in spans)
             base = hashlib.sha256(written(s for s in spans if s[1] < 3).encode()).hexdigest()
             rows.append((doc_id, *(counts[k] for k in KINDS[:3]), base, written(spans), counts["literal"]))
-        return pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"]).astype({"doc_id": "Int64"})
+        return pd.DataFrame(rows, columns=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_literal"])
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_literal long"
     return per_row(docs, schema, ["doc_id", "text"], work)
