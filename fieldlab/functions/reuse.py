@@ -3,25 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder the cluster names in `spark.checkpoint.dir`, so that lost executors cost nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of this application, inside the one that `spark.checkpoint.dir` names.
 
     Only in local mode, where one machine is the cluster, a folder is made when the setting is absent.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="fieldlab-"))
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder, so that lost executors cost nothing."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table into the shared folder and read it. For loops: a checkpoint keeps the size estimate of its plan, and estimates of
+    joins multiply from turn to turn until planning no longer ends; a written table has its real size.
+    """
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Shuffle by key only when the input has fewer partitions than there are cores, as a scan of one small file has.
 
