@@ -284,6 +284,32 @@ def test_near_duplicates_match_brute_force(spark):
     assert {r.doc_id for r in neardup.first_of_each(frame(spark, texts)).collect()} == set(label)
 
 
+def test_drifting_copies_stay_linked(spark):
+    """Copies of copies: many are unlike the bucket's first members and linked through others only."""
+    random.seed(23)
+    vocabulary = [f"w{i}" for i in range(500)]
+    texts = []
+    for _ in range(4):
+        family = [[random.choice(vocabulary) for _ in range(150)]]
+        for _ in range(39):
+            c = list(random.choice(family[-6:]))
+            for _ in range(random.choice((1, 2, 3))):
+                c[random.randrange(len(c))] = random.choice(vocabulary)
+            family.append(c)
+        texts += [" ".join(c) for c in family]
+    runs = [neardup.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    near = [(i, j) for i in label for j in range(i) if neardup.aligned(runs[j], runs[i], 0.8) >= 0.8]
+    while True:
+        before = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    got = result(neardup.near_duplicates(frame(spark, texts)))
+    assert [got[i].class_id for i in range(len(texts))] == label
+
+
 def test_alignment_is_a_longest_common_subsequence():
     import numpy as np
 
