@@ -97,7 +97,7 @@ def select_variables(df: DataFrame, variables: Sequence[str] | None, fallback: s
 
 def missing_variables(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """(source, variable) pairs of the required variables that a source lacks."""
-    have = df.groupBy("source").agg(F.collect_set("variable").alias("have"))
+    have = df.groupBy("source").agg(F.collect_set(F.when(F.col("variable").isin(list(required)), F.col("variable"))).alias("have"))
     wanted = F.array(*[F.lit(v) for v in required])
     return have.select("source", F.explode(F.array_except(wanted, "have")).alias("variable"))
 
@@ -108,9 +108,10 @@ def available_variables(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def require_variables(df: DataFrame, required: Sequence[str]) -> DataFrame:
     """Return `df`; raise when a source lacks a required variable."""
-    gaps = missing_variables(df, required).orderBy("source", "variable").limit(20).collect()
-    if gaps:
-        raise ValueError("missing variables: " + ", ".join(f"{r.source}/{r.variable}" for r in gaps))
+    gaps = missing_variables(df, required)
+    first = gaps.orderBy("source", "variable").limit(20).collect()
+    if first:
+        raise ValueError(f"{gaps.count()} missing variables, first: " + ", ".join(f"{r.source}/{r.variable}" for r in first))
     return df
 
 

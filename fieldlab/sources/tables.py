@@ -29,10 +29,12 @@ def load_or_compute_stats(spark: SparkSession, path: str, compute, recompute: bo
 def check_compatible(table: DataFrame, mode: str, delta_hours: int | None) -> DataFrame:
     """Return the table; raise when it was made for another mode (a missing one counts as 'none') or time step."""
     has = [F.col(c) if c in table.columns else F.lit(None) for c in ("temporal_mode", "delta_hours")]
-    made = table.select(F.coalesce(has[0], F.lit("none")).alias("m"), has[1].cast("int").alias("d")).distinct().limit(2).collect()
-    for r in made:
-        if r.m != mode or (mode != "none" and r.d != delta_hours):
-            raise ValueError(f"table was made for mode {r.m!r}, step {r.d}; wanted {mode!r}, {delta_hours}")
+    made = table.select(F.coalesce(has[0], F.lit("none")).alias("m"), has[1].cast("int").alias("d"))
+    other = F.col("m") != F.lit(mode)
+    if mode != "none":
+        other = other | ~F.col("d").eqNullSafe(F.lit(delta_hours).cast("int"))
+    for r in made.where(other).limit(1).collect():  # one mismatch is enough to refuse
+        raise ValueError(f"table was made for mode {r.m!r}, step {r.d}; wanted {mode!r}, {delta_hours}")
     return table
 
 
