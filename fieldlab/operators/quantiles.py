@@ -53,8 +53,20 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callab
     `df` is read once per pass, commonly three times; materialize it when it is costly.
     """
     data = df.select(*by, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    spans = data.groupBy(*by).agg(F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).collect()
-    targets = {(tuple(r[c] for c in by), k): (k, r["lo"], r["hi"]) for r in spans for k in set(ranks(r["n"]))}
+    finite = F.abs("_v") < math.inf
+    spans = data.groupBy(*by).agg(
+        F.count("_v").alias("n"), F.count_if(F.col("_v") == -math.inf).alias("below"), F.count_if(finite).alias("inside"),
+        F.min(F.when(finite, F.col("_v"))).alias("lo"), F.max(F.when(finite, F.col("_v"))).alias("hi"),
+    ).collect()
+    targets, ends = {}, {}  # infinities are ranks below and above the bracket
+    for r in spans:
+        group = tuple(r[c] for c in by)
+        for k in set(ranks(r["n"])):
+            inside = k - r["below"]
+            if 0 <= inside < r["inside"]:
+                targets[(group, k)] = (inside, r["lo"], r["hi"])
+            else:
+                ends[(group, k)] = math.copysign(math.inf, inside)
     schema = data.select(*by).schema.add("_rank", "long").add("_in", "long").add("_lo", "double").add("_hi", "double")
 
     def locate(open_targets: dict) -> dict:
@@ -67,7 +79,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callab
         held = holding_bin(counts, [*by, "_rank"], "_in")
         return {(tuple(r[c] for c in by), r["_rank"]): (r["left"], r["lo"], r["hi"]) for r in held}
 
-    values = refine(locate, targets)
+    values = refine(locate, targets) | ends
     sizes = {tuple(r[c] for c in by): r["n"] for r in spans}
     return {"sizes": sizes, "values": values}
 
@@ -84,7 +96,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
         for p in probs:
             at = p * (n - 1)
             lo, hi = got["values"][(group, math.floor(at))], got["values"][(group, math.ceil(at))]
-            rows.append((*group, float(p), lo + (hi - lo) * (at - math.floor(at))))
+            part = at - math.floor(at)
+            rows.append((*group, float(p), lo if part == 0 or lo == hi else lo + (hi - lo) * part))
     schema = df.select(*by).schema.add("prob", "double").add("quantile", "double")
     return df.sparkSession.createDataFrame(rows, schema)
 

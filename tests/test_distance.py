@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,6 +103,17 @@ def test_sqdist_summary(spark, sets):
     assert rows["ref"].n == 90 * 89
 
 
+def test_quantiles_with_infinities(spark):
+    data = {"up": [float(i) for i in range(100)] + [math.inf], "both": [-math.inf, 1.0, 2.0, math.inf, math.inf], "flat": [3.0] * 4, "none": [math.inf] * 2}
+    df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs], "g string, v double")
+    got = {(r.g, r.prob): r.quantile for r in quantiles.exact_quantiles(df, ["g"], "v", [0.0, 0.5, 1.0]).collect()}
+    for g, vs in data.items():
+        ordered = sorted(vs)
+        for p in (0.0, 1.0):
+            assert got[(g, p)] == ordered[int(p * (len(vs) - 1))]
+    assert [got[(g, 0.5)] for g in data] == [50.0, 2.0, 3.0, math.inf]
+
+
 def test_quantiles(spark):
     rng = np.random.default_rng(3)
     data = {"a": np.exp(rng.normal(size=999) * 6), "b": np.r_[np.zeros(500), rng.normal(size=3)], "c": np.array([4.0])}
