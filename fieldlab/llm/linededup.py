@@ -1,4 +1,4 @@
-"""Line dedup over content-defined chunks of lines.
+"""Line dedup over content-defined chunks of lines, and over all passages of `window` words.
 
 A rolling hash over the hashes of two neighbouring lines decides where a chunk ends, so that an inserted line moves the boundaries near
 it only. A line of `long_words` words or more is a chunk by itself, wherever it stands. A chunk of two lines or more, and such a long
@@ -6,22 +6,97 @@ line, is removed where the same bytes occur before: in a document with a smaller
 lines stay. Occurrences are counted by MD5 of the chunk in pre-aggregated groups, whose smallest and largest text must agree byte by
 byte; a group that fails this comparison is left alone.
 
+Chunks miss repeats whose edges are no cuts. So all words go, too, that lie in a run of `window` words which occurs before, over however
+many lines, or inside a line, and whatever white space is between them; where a run overlaps its own first occurrence, the words of that
+stay. To find these runs (windows) without listing all, each names as its seed the run of half its length inside it that has the smallest
+hash; equal windows name equal seeds. The neighbouring windows with one seed are a stretch of text, and equal stretches are settled as a
+whole. Windows are listed, and counted one by one, only where a seed has unlike stretches, and from one of each kind. Stretches and
+windows are compared by 128 bits of hash.
+
 Null texts stay null, empty ones empty. Rows with equal id and text are one document and get the same result. A row without id comes
-after all others. Extra columns are not read.
+after all others; among rows that differ in text only, a hash decides. Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.functions.reuse import stored
 from fieldlab.llm.common import carried, carried_type, per_row, uncarried
+from fieldlab.llm.neardup import mixed
 
 SALTS = 32
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Known(dict):
+    """Word to number, for the last words met; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 1 << 17:
+            self.clear()
+        number = self[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        return number
+
+
+_known = _Known()
+
+
+def runs_of(words: list[str], half: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes in text order: one per run of `half` words, and two per run of `window` words."""
+    h = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    lengths = (half, window, window)
+    out, at, size = [np.full(max(0, len(h) - n + 1), k, np.uint64) for k, n in enumerate(lengths)], [0, 0, 0], 1
+    while size <= window and len(words) >= window:
+        for k, n in enumerate(lengths):
+            if n & size:
+                out[k] = mixed(out[k] * np.uint64(31) + h[at[k] : at[k] + len(out[k])])
+                at[k] += size
+        h = mixed(h[:-size] * _STEP + h[size:])
+        size *= 2
+    return tuple(out)
+
+
+def seeds_of(text: str, window: int) -> tuple[np.ndarray, ...]:
+    """Per seed: its hash, two hashes of its stretch (the windows that name it, put together), the first of these windows and their number;
+    and two hashes of every window of the text.
+    """
+    words, half = text.split(), (window + 1) // 2
+    h, low, high = runs_of(words, half, window)
+    if len(words) < window:
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, none, none
+    inside = np.lib.stride_tricks.sliding_window_view(h, window - half + 1)
+    at = np.arange(len(inside)) + inside.argmin(axis=1)
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    end = np.append(begin[1:], len(at)) - 1
+    n = end - begin + 1
+    both = [mixed(mixed(x[begin] * _STEP + x[end]) + n.astype(np.uint64)).view(np.int64) for x in (low, high)]
+    return h[at[begin]].view(np.int64), *both, begin, n, low.view(np.int64), high.view(np.int64)
+
+
+def without(text: str, lines_gone: set[int], gone: np.ndarray) -> str:
+    """The text without these lines and these words (one flag per word). A line without any word left goes; a gap inside a line is one blank."""
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        n = len(line.split())
+        dead, at = gone[at : at + n], at + n
+        if k in lines_gone or (n and dead.all()):
+            continue
+        if dead.any():
+            spans = [m.span() for m in re.finditer(r"\S+", line)]
+            edges = [0, *(np.flatnonzero(dead[1:] != dead[:-1]) + 1).tolist(), n]
+            runs = [(a, b) for a, b in zip(edges, edges[1:]) if not dead[a]]
+            line = " ".join(line[0 if a == 0 else spans[a][0] : len(line) if b == n else spans[b - 1][1]] for a, b in runs)
+        out.append(line)
+    return "\n".join(out)
 
 
 def chunks_of(text: str, mean_lines: int = 3, long_words: int = 50) -> list[tuple[int, int]]:
@@ -52,8 +127,61 @@ def _eligible(text: str, mean_lines: int, long_words: int, least_words: int) ->
     return out
 
 
-def dedup_lines(docs: DataFrame, mean_lines: int = 3, long_words: int = 50, least_words: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, n_chunks, n_removed and the `carry` columns: one row per row of docs(doc_id, text), the text without its repeated chunks."""
+def _table(columns: str, parts: list[tuple]) -> pd.DataFrame:
+    names = columns.split()
+    return pd.DataFrame(dict(zip(names, map(np.concatenate, zip((np.zeros(0, np.int64),) * len(names), *parts)))))
+
+
+def passages(rows: DataFrame, window: int) -> DataFrame:
+    """(row, spans): the words of each document that lie in windows which occur before. A span is its first word << 32 | its end."""
+
+    def seeds(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, rank, text in zip(frame["row"], frame["rank"], frame["text"]):
+            key, low, high, at, n = seeds_of(text, window)[:5]
+            out.append((key, low, high, np.full(len(at), row, np.int64), np.full(len(at), rank, np.int64), at, n))
+        return _table("key low high row rank at n", out)
+
+    def windows(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row, rank, text, listed in zip(frame["row"], frame["rank"], frame["text"], frame["listed"]):
+            if listed is not None:
+                low, high = seeds_of(text, window)[5:]
+                at = np.concatenate([np.arange(x >> 32, (x >> 32) + (x & 0xFFFFFFFF)) for x in listed])
+                out.append((low[at], high[at], np.full(len(at), row, np.int64), np.full(len(at), rank, np.int64), at))
+        return _table("low high row rank at", out)
+
+    def again(places: DataFrame, n: Column) -> tuple[DataFrame, DataFrame]:
+        """Groups of equal hashes, and (row, span) of the places that are not the first of theirs; `n` windows stand there.
+
+        The groups are dealt anew before the join, which lets adaptive execution split a very common one.
+        """
+        first = F.min(F.struct("rank", "row", "at", n.alias("n"), "key")).alias("first")
+        groups = stored(places.groupBy("low", "high").agg(F.count("*").alias("times"), first))
+        lead = groups.where("times > 1").select(F.col("low").alias("l"), F.col("high").alias("h"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at"))
+        met = places.join(lead.repartition("l", "h"), (F.col("low") == F.col("l")) & (F.col("high") == F.col("h")))
+        same = F.col("row") == F.col("first_row")
+        begin = F.when(same, F.greatest("at", F.col("first_at") + window)).otherwise(F.col("at")).cast("long")
+        span = F.shiftleft(begin, 32).bitwiseOR((F.col("at") + n + (window - 1)).cast("long"))
+        return groups, met.where(~same | (F.col("at") != F.col("first_at"))).select("row", span.alias("span"))
+
+    sown = per_row(rows.where("text is not null and text != ''"), "key long, low long, high long, row long, rank long, at int, n int", ["row", "rank", "text"], seeds)
+    common = sown.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select(F.col("key").alias("common"))
+    places = stored(sown.join(common.repartition("common"), F.col("key") == F.col("common")).drop("common"))
+    stretches, spans = again(places, F.col("n"))
+    # Only where a seed has several stretches can parts of them be equal: there the windows of one stretch of each kind are listed.
+    kinds = stretches.select("first.*")
+    mixed_keys = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select(F.col("key").alias("common"))
+    listed = kinds.join(mixed_keys.repartition("common"), F.col("key") == F.col("common"))
+    listed = listed.groupBy("row").agg(F.collect_set(F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))).alias("listed"))
+    single = stored(per_row(rows.join(listed, "row"), "low long, high long, row long, rank long, at int", ["row", "rank", "text", "listed"], windows))
+    return spans.union(again(single.withColumn("key", F.lit(0)), F.lit(1))[1]).groupBy("row").agg(F.collect_set("span").alias("spans"))
+
+
+def dedup_lines(docs: DataFrame, mean_lines: int = 3, long_words: int = 50, least_words: int = 10, carry: tuple[str, ...] = (), window: int = 51) -> DataFrame:
+    """doc_id, text, n_chunks, n_removed, n_words_removed and the `carry` columns: one row per row of docs(doc_id, text), the text without
+    its repeated chunks and passages. n_removed counts the chunks that go by themselves, n_words_removed all words that go.
+    """
     rows = docs.select("doc_id", "text", carried(carry)).withColumns({
         "row": F.xxhash64("doc_id", "text"),
         "rank": F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)),
@@ -71,30 +199,42 @@ def dedup_lines(docs: DataFrame, mean_lines: int = 3, long_words: int = 50, leas
 
     found = per_row(rows.where("text is not null and text != ''"), "key binary, chunk string, row long, rank long, n int, leads boolean", ["row", "rank", "text"], cut)
     groups = (
-        found.groupBy("key").agg(F.count("*").alias("times"), F.min("rank").alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+        found.groupBy("key").agg(F.count("*").alias("times"), F.min(F.struct("rank", "row")).alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high"))
         .where("times > 1 and low = high").select("key", "first")
     )
     spread = groups.select("key", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     placed = found.select("key", "row", "rank", "n", "leads", F.pmod("row", F.lit(SALTS)).cast("int").alias("salt"))
     doomed = (
-        placed.join(spread, ["key", "salt"]).where("rank != first or not leads")
+        placed.join(spread, ["key", "salt"]).where("rank != first.rank or row != first.row or not leads")
         .groupBy("row").agg(F.collect_set("n").alias("removed"))
     )
-    joined = rows.join(doomed, "row", "left")
+    gone = passages(rows, window).join(doomed, "row", "full")
+    joined = rows.join(gone, "row", "left")
 
     def rebuild(frame: pd.DataFrame) -> pd.DataFrame:
-        texts, counts, gone = [], [], []
-        for text, removed in zip(frame["text"], frame["removed"]):
-            spans = chunks_of(text, mean_lines, long_words) if text else []
-            dead = set() if removed is None else set(removed)
-            if dead:
+        texts, counts, chunks, lost = [], [], [], []
+        for text, removed, found in zip(frame["text"], frame["removed"], frame["spans"]):
+            edges = chunks_of(text, mean_lines, long_words) if text else []
+            dead, n_words = set() if removed is None else set(removed), 0
+            if dead or found is not None:
                 lines = text.split("\n")
-                text = "\n".join(x for n, (start, end) in enumerate(spans) if n not in dead for x in lines[start:end])
+                sizes = [len(x.split()) for x in lines]
+                gone, starts = np.zeros(sum(sizes), bool), np.concatenate([[0], np.cumsum(sizes)])
+                lines_gone = {k for n in dead for k in range(*edges[n])}
+                for k in lines_gone:
+                    gone[starts[k] : starts[k + 1]] = True
+                if found is not None:
+                    step = np.zeros(len(gone) + 1, np.int64)
+                    np.add.at(step, found >> 32, 1)
+                    np.add.at(step, found & 0xFFFFFFFF, -1)
+                    gone |= np.cumsum(step)[:-1] > 0
+                text, n_words = without(text, lines_gone, gone), int(gone.sum())
             texts.append(text)
-            counts.append(len(spans))
-            gone.append(len(dead))
-        out = pd.DataFrame({"doc_id": frame["doc_id"], "text": texts, "n_chunks": counts, "n_removed": gone})
+            counts.append(len(edges))
+            chunks.append(len(dead))
+            lost.append(n_words)
+        out = pd.DataFrame({"doc_id": frame["doc_id"], "text": texts, "n_chunks": counts, "n_removed": chunks, "n_words_removed": lost})
         return out.assign(carried=frame["carried"])
 
-    schema = f"doc_id long, text string, n_chunks long, n_removed long, {carried_type(rows)}"
-    return uncarried(per_row(joined, schema, ["doc_id", "text", "removed", "carried"], rebuild), carry)
+    schema = f"doc_id long, text string, n_chunks long, n_removed long, n_words_removed long, {carried_type(rows)}"
+    return uncarried(per_row(joined, schema, ["doc_id", "text", "removed", "spans", "carried"], rebuild), carry)

@@ -249,6 +249,49 @@ def test_lines_match_brute_force(spark):
     assert all(got[i].text == texts[i] for i in range(len(texts)) if not got[i].n_removed)
 
 
+def words_left(texts, rows, window=51):
+    """Per text, the words that stay if all windows that occur before are cut, by one dictionary of all windows."""
+    first, left = {}, {}
+    for i in rows:
+        w = (texts[i] or "").split()
+        gone = [False] * len(w)
+        for at in range(len(w) - window + 1):
+            where, q = first.setdefault(tuple(w[at : at + window]), (i, at))
+            if (where, q) != (i, at):
+                start = max(at, q + window) if where == i else at
+                gone[start : at + window] = [True] * (at + window - start)
+        left[i] = [x for x, dead in zip(w, gone) if not dead]
+    return left
+
+
+def test_passages_match_brute_force(spark):
+    """Passages over short lines, inside lines, wrapped anew, repeated in one text, and periodic texts: no cut of chunks meets their edges."""
+    random.seed(31)
+    number = iter(range(10**6))
+    own = lambda n: [f"o{next(number)}" for _ in range(n)]
+    shared = [own(n) for n in (51, 60, 60, 75, 120, 200, 50)]
+    texts = []
+    for i in range(40):
+        parts = [own(random.randint(1, 30))]
+        for k in random.sample(range(len(shared)), random.randint(0, 3)):
+            parts += [shared[k], own(random.randint(1, 9))]
+        flat, lines = [x for p in parts for x in p], []
+        while flat:
+            n = random.choice((4, 10, 12, 20, 30, 45))
+            lines.append(" ".join(flat[:n]))
+            flat = flat[n:]
+        texts.append("\n".join(lines))
+    texts += [" ".join(own(5) + shared[4] + own(5) + shared[4][20:100] + own(5)), "a b c " * 40, "  x " + " ".join(shared[1]) + " y  z\n", texts[3], "a b c " * 18, None, ""]
+    got = result(linededup.dedup_lines(frame(spark, texts), least_words=10**9, long_words=10**9))
+    want = words_left(texts, range(len(texts)))
+    assert {i: (r.text or "").split() for i, r in got.items()} == want
+    assert sum(len(w) for w in want.values()) + sum(r.n_words_removed for r in got.values()) == sum(len((t or "").split()) for t in texts)
+    assert all(r.n_removed == 0 for r in got.values()) and got[42].text == "  x y  z\n" and got[45].text is None
+    assert all(got[i].text == texts[i] for i in got if not got[i].n_words_removed)
+    no_ids = spark.createDataFrame([(None, " ".join(own(9) + shared[3])), (None, " ".join(own(9) + shared[3]))], "doc_id long, text string")
+    assert sorted(r.n_words_removed for r in linededup.dedup_lines(no_ids).collect()) == [0, 75]
+
+
 # Near-duplicates
 
 
