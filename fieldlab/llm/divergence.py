@@ -1,9 +1,11 @@
 """Quality rules by distribution divergence, in column functions only.
 
-Each text has two histograms: characters by class, and common words by language. They are compared with references, one per language
-(the sums over all rows of that language), by Jensen-Shannon distance (base 2, 0 to 1). The smallest distance over the languages
-counts. A text fails where the distance of a histogram is above its limit; a histogram with fewer than its least number of
-observations gives no verdict. The fixed rules (few words, repeated three-word windows) fail a text by themselves.
+Each text has two histograms: characters by class, and common words by language with one bin for all other words, so that a text without
+common words diverges, too. They are compared with references, one per language (the sums over all rows of that language), by
+Jensen-Shannon distance (base 2, 0 to 1). The smallest distance over the languages counts. A text fails where the distance of a histogram
+is above the limit of its language (of the nearest one, if it has none); a histogram with fewer than its least number of observations
+gives no verdict. The limit is the upper fence of these distances over the rows of a language: the third quartile and `fence` times the distance between the quartiles,
+with exact quartiles over all rows with a verdict. The fixed rules (few words, repeated three-word windows) fail a text by themselves.
 
 Null and empty texts have no word and fail. Rows without a language do not enter a reference; without any reference only the fixed
 rules count. Repeated rows give repeated results.
@@ -15,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldlab.functions.arrays import let
+from fieldlab.functions.reuse import stored
 from fieldlab.llm.common import lower_ascii
+from fieldlab.operators.quantiles import exact_quantiles
 
 SPACE = r"[\x20\x09-\x0D]+"
 # The same lists serve every language; a list may be replaced by a parameter.
@@ -78,7 +82,7 @@ def measures(docs: DataFrame, common: list[str]) -> DataFrame:
         _duplicates(F.col("text")).alias("n_dup_lines"),
         let(F.col("words"), _repeated).alias("n_repeat_words"),
         F.array(*letters).alias("chars"),
-        let(place, lambda found: F.array(*[_times(found, k) for k in range(1, len(common) + 1)])).alias("common"),
+        let(place, lambda found: F.array(*[_times(found, k) for k in range(1, len(common) + 1)], (F.size("words") - F.size(found)).cast("long"))).alias("common"),
     )
 
 
@@ -99,6 +103,14 @@ def jensen_shannon(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(total / 2, F.lit(0.0)))
 
 
+def fences(rows: DataFrame, name: str, languages: int, fence: float) -> list[float | None]:
+    """The upper fence of the distances in each language; None where it has no distance."""
+    near = rows.select(F.col(name)["lang"].alias("lang"), F.col(name)["distance"].alias("distance")).where("lang is not null")
+    quartiles = {(r["lang"], r["prob"]): r["quantile"] for r in exact_quantiles(near, ["lang"], "distance", [0.25, 0.75]).collect()}
+    upper = [(quartiles.get((k + 1, 0.25)), quartiles.get((k + 1, 0.75))) for k in range(languages)]
+    return [None if high is None else high + fence * (high - low) for low, high in upper]
+
+
 def references(measured: DataFrame, common: int) -> DataFrame:
     """One row: an array with the summed histograms of every language."""
     sums = [F.sum(F.col("chars")[i]).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(common)]
@@ -107,32 +119,45 @@ def references(measured: DataFrame, common: int) -> DataFrame:
     return by_lang.select("lang", pair.alias("pair"))
 
 
-def judge(docs: DataFrame, char_limit: float = 0.35, word_limit: float = 0.75, least_chars: int = 200, least_common: int = 20, max_languages: int = 1000) -> DataFrame:
+def judge(docs: DataFrame, fence: float = 1.5, least_chars: int = 200, least_words: int = 20, max_languages: int = 1000) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, char_distance, word_distance per row of docs.
 
     References are one row per language; more than `max_languages` of them are refused.
     """
     common = sorted({w for words in COMMON.values() for w in words})
-    measured = measures(docs, common)
-    table = references(measured, len(common)).orderBy("lang").limit(max_languages + 1).collect()
+    measured = stored(measures(docs, common))
+    table = references(measured, len(common) + 1).orderBy("lang").limit(max_languages + 1).collect()
     if len(table) > max_languages:
         raise ValueError(f"more than {max_languages} languages; raise max_languages")
 
     def nearest(name: str, smooth: float) -> Column:
         if not table:
-            return F.lit(None).cast("double")
+            return F.lit(None).cast("struct<distance: double, lang: int>")
         known = []
         for r in table:
             total = sum(v + smooth for v in r["pair"][name]) or 1.0
             known.append(F.array(*[F.lit((v + smooth) / total) for v in r["pair"][name]]))
-        return let(_shares(F.col(name), 0.0), lambda p: F.array_min(F.transform(F.array(*known), lambda q: jensen_shannon(p, q))))
+        found = let(_shares(F.col(name), 0.0), lambda p: F.transform(F.array(*known), lambda q: jensen_shannon(p, q)))
+        own = F.array_position(F.array(*[F.lit(r["lang"]) for r in table]), F.col("lang"))
+        place = lambda d: F.coalesce(own, F.array_position(d, F.array_min(d))).cast("int")
+        return let(found, lambda d: F.struct(F.array_min(d).alias("distance"), place(d).alias("lang")))
 
     count = lambda name: F.aggregate(name, F.lit(0).cast("long"), lambda s, v: s + v)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    rows = measured.select(
+    rows = stored(measured.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
-        F.when(count("chars") >= least_chars, nearest("chars", 0.0)).alias("char_distance"),
-        F.when(count("common") >= least_common, nearest("common", 0.5)).alias("word_distance"),
+        F.when(count("chars") >= least_chars, nearest("chars", 0.0)).alias("char"),
+        F.when(count("common") >= least_words, nearest("common", 0.5)).alias("word"),
+    ))
+
+    def odd(name: str) -> Column:
+        if not table:
+            return F.lit(False)
+        limits = F.array(*[F.lit(x).cast("double") for x in fences(rows, name, len(table), fence)])
+        return F.coalesce(F.col(name)["distance"] > F.get(limits, F.col(name)["lang"] - 1) + 1e-6, F.lit(False))
+
+    return rows.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        (~F.col("base_failed") & ~odd("char") & ~odd("word")).alias("kept"),
+        F.col("char")["distance"].alias("char_distance"), F.col("word")["distance"].alias("word_distance"),
     )
-    odd = (F.coalesce(F.col("char_distance"), F.lit(0.0)) > char_limit) | (F.coalesce(F.col("word_distance"), F.lit(0.0)) > word_limit)
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~odd).alias("kept"), "char_distance", "word_distance")

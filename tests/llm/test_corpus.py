@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,25 @@ def test_jensen_shannon(spark):
     assert [round(r[0], 9) for r in df.select(divergence.jensen_shannon(F.col("p"), F.col("q"))).collect()] == [0.0, 1.0]
 
 
+def test_word_histogram_decides(spark):
+    """Texts of rare words only, with ordinary characters, fail by their words; and the limits are the fences of all rows."""
+    random.seed(41)
+    rare = lambda: "".join(random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) + "q"
+    rows = []
+    for i in range(80):
+        share = 0.0 if i >= 72 else random.uniform(0.3, 0.5)
+        rows.append((i, " ".join(random.choice(divergence.COMMON["en"]) if random.random() < share else rare() for _ in range(200)) + ".", "en"))
+    got = result(divergence.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert not any(r.base_failed for r in got.values()) and all(r.word_distance is not None for r in got.values())
+    assert not any(got[i].kept for i in range(72, 80)) and sum(got[i].kept for i in range(72)) > 60
+    limits = []
+    for c in ("char_distance", "word_distance"):
+        low, high = np.quantile([r[c] for r in got.values()], [0.25, 0.75])
+        limits.append(high + 1.5 * (high - low) + 1e-6)
+    assert all(r.kept == (r.char_distance <= limits[0] and r.word_distance <= limits[1]) for r in got.values())
+    assert all(got[i].word_distance > limits[1] for i in range(72, 80))
+
+
 # Pages
 
 
