@@ -390,6 +390,14 @@ def test_alignment_is_a_longest_common_subsequence():
         assert got == pytest.approx(exact) if exact >= 0.8 else got == 0.0
 
 
+def test_near_copies_without_id_are_linked(spark):
+    many = [f"w{i}" for i in range(200)]
+    near = " ".join([*many[:-1], "other"])
+    rows = [(1, " ".join(many)), (1, " ".join(many)), (None, near), (2, "a text of its own with nothing in common")]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links, r.stays) for r in got) == [(0, 1, 1, False), (1, 1, 1, True), (1, 1, 1, True), (2, 2, 0, True)]
+
+
 # Mixing, pipeline, odd inputs
 
 
