@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldlab.deploy import ship_package
-from fieldlab.llm import decontaminate, divergence, html, language, licenses, linededup, mixing, neardup, quality, secrets
+from fieldlab.llm import conversations, decontaminate, divergence, html, language, licenses, linededup, mixing, neardup, quality, secrets, simhash, spelling
 from fieldlab.llm.common import read
 
 
@@ -51,7 +51,22 @@ def op10_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(read(spark, folder, "documents")).drop("text_id")
 
 
-_ALL = (op1_secrets, op2_mixing, op3_language, op4_quality, op5_decontaminate, op6_html, op7_licenses, op8_lines, op9_rules, op10_neardup)
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read(spark, folder, "documents"))
+
+
+def op12_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(read(spark, folder, "conversations")))
+
+
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_classes(read(spark, folder, "documents"))
+
+
+_ALL = (
+    op1_secrets, op2_mixing, op3_language, op4_quality, op5_decontaminate, op6_html, op7_licenses, op8_lines, op9_rules, op10_neardup,
+    op11_spelling, op12_conversations, op13_simhash,
+)
 
 
 def _shipped(query):
