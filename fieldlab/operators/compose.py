@@ -13,9 +13,10 @@ from pyspark.sql.functions import pandas_udf
 from fieldlab.functions.arrays import DOUBLES, indices, let
 from fieldlab.operators.stats import safe_std
 
-# Clip bound of normalized differences; padding rows/columns; channels per mode for four variables.
+# Clip bound of normalized differences; padding rows/columns; the padded size of the model's fields; temporal modes.
 DIFF_CLIP = 15.0
 PAD_TOP, PAD_BOTTOM, PAD_LEFT, PAD_RIGHT = 4, 3, 8, 8
+PADDED_SHAPE = (128, 256)
 MODES = ("none", "diff", "concat", "phase")
 
 

@@ -9,17 +9,20 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from fieldlab.functions.arrays import DOUBLES, indices, let, mean_of, moments_of
 from fieldlab.functions.keyed import digest, normal, uniform
+from fieldlab.functions.reuse import stored
+from fieldlab.operators.compose import PAD_BOTTOM, PAD_LEFT, PAD_RIGHT, PAD_TOP, PADDED_SHAPE
 
 # Scales of the training family at severity 1, ladder end, and the spatial scales.
 BLUR_SIGMA = 1.125
@@ -30,6 +33,7 @@ REPLACE_PROB = 0.3
 MAX_SEVERITY = 2.0
 ANALYSIS_GRF_SIGMA = 2.0
 ANALYSIS_PATCH = 8
+BLUR_CELLS = 1 << 21  # cells that a task filters at a time
 
 # Accepted names and what they mean.
 CORRUPTION_NAMES = {
@@ -89,11 +93,14 @@ def ladder_sweep(df: DataFrame, types: Sequence[str] = LADDER_TYPES, n_steps: in
 
 
 def apply_sweep(sweep: DataFrame, types: Sequence[str] = LADDER_TYPES, seed: int = 0, patch: int = 16) -> DataFrame:
-    """Corrupt rows (corruption, severity, ...) of a ladder sweep over `types`, all severities in one job."""
-    out = sweep
+    """Corrupt rows (corruption, severity, ...) of a ladder sweep, all severities in one job. The rows of each of `types` take a branch of
+    their own, so that no corruption sees rows of another; rows of other types stay as they are.
+    """
+    named = F.coalesce("corruption", F.lit(""))
+    out = sweep.where(~named.isin(list(types)))
     for kind in types:
-        options = {"wind_patch_shuffle": {"patch": patch}, "wind_rotation": {"by": ("sample_id", "corruption", "severity")}}
-        out = CORRUPTIONS[kind](out, F.when(F.col("corruption") == kind, F.col("severity")).otherwise(0.0), seed, **options.get(kind, {}))
+        options = {"wind_patch_shuffle": {"patch": patch}, "wind_rotation": {"by": ("sample_id", "severity")}}
+        out = out.unionByName(CORRUPTIONS[kind](sweep.where(named == kind), F.col("severity"), seed, **options.get(kind, {})))
     return out
 
 
@@ -108,31 +115,45 @@ def canonical_name(name: str) -> str:
 
 
 @lru_cache(maxsize=256)
-def blur_matrix(n: int, sigma: float) -> np.ndarray:
-    """The 1-D Gaussian filter with reflected edges as an n x n matrix: 4-sigma taps that sum to 1."""
+def blur_taps(sigma: float) -> np.ndarray:
+    """The 1-D Gaussian filter: 4-sigma taps that sum to 1."""
     radius = int(4 * sigma + 0.5)
-    offsets = np.arange(-radius, radius + 1)
-    taps = np.exp(-0.5 * (offsets / sigma) ** 2) if radius else np.ones(1)
-    source = (np.arange(n)[:, None] + offsets) % (2 * n)
-    source = np.where(source >= n, 2 * n - 1 - source, source)
-    m = np.zeros((n, n))
-    np.add.at(m, (np.repeat(np.arange(n), offsets.size), source.ravel()), np.tile(taps / taps.sum(), n))
-    return m
+    taps = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2) if radius else np.ones(1)
+    return taps / taps.sum()
+
+
+def smoothed(fields: np.ndarray, sigma: float) -> np.ndarray:
+    """Fields (n, h, w) filtered along both axes with mirrored edges, as a sum of shifted slices: a gap or an infinity reaches as far as
+    the taps do and no further.
+    """
+    taps = blur_taps(sigma)
+    radius = len(taps) // 2
+    for axis in (1, 2):
+        wide = np.pad(fields, [(radius, radius) if k == axis else (0, 0) for k in range(3)], mode="symmetric")
+        fields, n = np.zeros_like(fields), fields.shape[axis]
+        with np.errstate(invalid="ignore"):  # opposite infinities meet as NaN
+            for k, tap in enumerate(taps):
+                fields += tap * (wide[:, k : k + n] if axis == 1 else wide[:, :, k : k + n])
+    return fields
 
 
 @pandas_udf(DOUBLES)
 def gaussian_blur(values: pd.Series, h: pd.Series, w: pd.Series, sigma: pd.Series) -> pd.Series:
-    """Separable Gaussian filter of row-major fields; sigma <= 0 leaves a field as it is."""
+    """Separable Gaussian filter of row-major fields; sigma <= 0 leaves a field as it is. Missing cells are null in the result."""
     out = list(values)
     for (hh, ww, s), rows in pd.DataFrame({"h": h, "w": w, "s": sigma}).reset_index(drop=True).groupby(["h", "w", "s"]).groups.items():
-        if s > 0:
-            batch = np.stack([np.asarray(out[r], dtype=float) for r in rows]).reshape(-1, hh, ww)
-            done = blur_matrix(int(hh), float(s)) @ batch @ blur_matrix(int(ww), float(s)).T
-            for r, field in zip(rows, done):
+        step = max(1, BLUR_CELLS // max(1, hh * ww))
+        for start in range(0, len(rows) if s > 0 else 0, step):
+            some = rows[start : start + step]
+            batch = np.stack([np.asarray(out[r], dtype=float) for r in some]).reshape(-1, hh, ww)
+            for r, field in zip(some, smoothed(batch, float(s))):
                 out[r] = field.ravel()
     return pd.Series(out)
 
 
+gaussian_blur = gaussian_blur.asNondeterministic()  # so that filters which Spark infers above it don't call it a second time
+
+
 @pandas_udf(DOUBLES)
 def spectral_noise(h: pd.Series, w: pd.Series, std: pd.Series, key: pd.Series) -> pd.Series:
     """Gaussian random field of cell variance std^2 and a Gaussian spectrum, from a counter generator keyed by the text."""
@@ -223,8 +244,11 @@ def wind_patch_shuffle(df: DataFrame, severity, seed: int = 0, patch: int = 16,
 def wind_rotation(
     df: DataFrame, severity, seed: int = 0, wind: Sequence[str] = ("u", "v"), by: Sequence[str] = ("sample_id",)
 ) -> DataFrame:
-    """Turn every wind vector by severity * 90 degrees. The few rows of one sample (`by`) meet in one group."""
-    rows = df.withColumn("_a", _column(severity) * (math.pi / 2))
+    """Turn every wind vector by severity * 90 degrees. Only the two wind rows of a sample (`by`) are exchanged, to meet in one group;
+    other fields, and samples with one component, stay.
+    """
+    turning = (_column(severity) > 0) & F.col("variable").isin(list(wind))
+    rows = df.where(turning).withColumn("_a", _column(severity) * (math.pi / 2))
     samples = rows.groupBy(*by).agg(F.collect_list(F.struct(*rows.columns)).alias("_f"))
 
     def component(name: str) -> Column:
@@ -234,13 +258,10 @@ def wind_rotation(
     a = F.col("_r._a")
     turned_u = F.zip_with("_u", "_v", lambda p, q: F.cos(a) * p - F.sin(a) * q)
     turned_v = F.zip_with("_u", "_v", lambda p, q: F.sin(a) * p + F.cos(a) * q)
-    active = (a > 0) & F.col("_u").isNotNull() & F.col("_v").isNotNull()
-    values = (
-        F.when(active & (F.col("_r.variable") == wind[0]), turned_u)
-        .when(active & (F.col("_r.variable") == wind[1]), turned_v)
-        .otherwise(F.col("_r.values"))
-    )
-    return both.select(*[values.alias("values") if c == "values" else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    paired = F.col("_u").isNotNull() & F.col("_v").isNotNull()
+    values = F.when(paired, F.when(F.col("_r.variable") == wind[0], turned_u).otherwise(turned_v)).otherwise(F.col("_r.values"))
+    turned = both.select(*[values.alias("values") if c == "values" else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    return df.where(~F.coalesce(turning, F.lit(False))).unionByName(turned)
 
 
 CORRUPTIONS: dict[str, Callable[..., DataFrame]] = {
@@ -253,10 +274,47 @@ CORRUPTIONS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def corrupt(df: DataFrame, name: str, severity, seed: int = 0, **options) -> DataFrame:
-    """Apply a corruption by any of its names."""
+def _resized(df: DataFrame, before: tuple[int, int], after: tuple[int, int], change: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Fields (n, h, w) of one size through `change`, batch by batch. A step of its own in the plan: Spark cannot chain the corruptions'
+    Python functions with others across its own array functions.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = np.asarray(batch.column("values").flatten().to_numpy(zero_copy_only=False), dtype=float)
+            cells = change(flat.reshape(-1, *before)).reshape(-1)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * (after[0] * after[1]))
+            fresh = {"values": pa.ListArray.from_arrays(ends, pa.array(cells, from_pandas=True)), "h": np.full(batch.num_rows, after[0]), "w": np.full(batch.num_rows, after[1])}
+            columns = [pa.array(fresh[f.name]).cast(f.type) if f.name in fresh else batch.column(f.name) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+
+    return df.mapInArrow(work, df.schema)
+
+
+def on_interior(df: DataFrame, severity, change: Callable[[DataFrame], DataFrame], padded: tuple[int, int] = PADDED_SHAPE) -> DataFrame:
+    """`change` on the interior of fields that have the padded size, and on whole fields of any other size.
+
+    Such a field loses its padding, is changed, and gets the padding anew: zero rows, and columns wrapped from the changed interior. Rows
+    with severity <= 0 keep the padding they have. The two kinds of rows take a branch each.
+    """
+    sized = F.coalesce((F.col("h") == padded[0]) & (F.col("w") == padded[1]) & (_column(severity) > 0), F.lit(False))
+    bare = (padded[0] - PAD_TOP - PAD_BOTTOM, padded[1] - PAD_LEFT - PAD_RIGHT)
+
+    def crop(fields: np.ndarray) -> np.ndarray:
+        return fields[:, PAD_TOP : padded[0] - PAD_BOTTOM, PAD_LEFT : padded[1] - PAD_RIGHT]
+
+    def pad(fields: np.ndarray) -> np.ndarray:
+        wide = np.pad(fields, ((0, 0), (0, 0), (PAD_LEFT, PAD_RIGHT)), mode="wrap")
+        return np.pad(wide, ((0, 0), (PAD_TOP, PAD_BOTTOM), (0, 0)))
+
+    outer = _resized(change(_resized(df.where(sized), padded, bare, crop)), bare, padded, pad)
+    return change(df.where(~sized)).unionByName(outer)
+
+
+def corrupt(df: DataFrame, name: str, severity, seed: int = 0, padded: tuple[int, int] = PADDED_SHAPE, **options) -> DataFrame:
+    """Apply a corruption by any of its names; to the interior of fields that have the `padded` size."""
     kind = name if name in CORRUPTIONS else canonical_name(name)
-    return CORRUPTIONS[kind](df, severity, seed, **options)
+    return on_interior(df, severity, lambda rows: CORRUPTIONS[kind](rows, severity, seed, **options), padded)
 
 
 def corrupt_fieldwise(df: DataFrame, name: str, variable: str, severity, seed: int = 0) -> DataFrame:
@@ -459,16 +517,21 @@ def corruption_plan(
 
 
 def apply_plan(df: DataFrame, plan: DataFrame, types: Sequence[str], seed: int = 0, patch: int = 16) -> DataFrame:
-    """Corrupt each snapshot as its plan says: one pass per corruption type, no loop over samples."""
+    """Corrupt each snapshot as its plan says: the rows of a corruption type take a branch of their own, no loop over samples."""
     per_sample = plan.groupBy("sample_id").agg(
         F.first("corruption").alias("_kind"),
         F.collect_list(F.struct("variable", "severity")).alias("_plan"),
     )
     mine = F.filter("_plan", lambda p: p["variable"].isNull() | (p["variable"] == F.col("variable")))
-    out = df.join(per_sample, "sample_id", "left").withColumn("_sev", F.coalesce(F.get(mine, F.lit(0))["severity"], F.lit(0.0)))
-    for kind in dict.fromkeys(canonical_name(t) for t in types):
+    planned = df.join(per_sample, "sample_id", "left").select(
+        *df.columns, F.coalesce(F.get(mine, F.lit(0))["severity"], F.lit(0.0)).alias("_sev"), F.coalesce("_kind", F.lit("none")).alias("_kind")
+    )
+    kinds = list(dict.fromkeys(canonical_name(t) for t in types))
+    rows = stored(planned, "_kind")  # a folder per type: each branch below reads its own rows only
+    out = rows.where(~F.col("_kind").isin(kinds))
+    for kind in kinds:
         options = {"patch": patch} if kind == "wind_patch_shuffle" else {}
-        out = CORRUPTIONS[kind](out, F.when(F.col("_kind") == kind, F.col("_sev")).otherwise(0.0), seed, **options)
+        out = out.unionByName(CORRUPTIONS[kind](rows.where(F.col("_kind") == kind), F.col("_sev"), seed, **options))
     return out.select(*df.columns)
 
 

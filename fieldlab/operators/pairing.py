@@ -8,26 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fieldlab.functions.reuse import stored
 from fieldlab.functions.times import epoch_micros, epoch_seconds, shift_hours, valid_time
 from fieldlab.operators.ranking import time_axis
 
 AXIS = ("source", "lead_hours")
 
 
-def prior_times(df: DataFrame, delta_steps: int, within: Sequence[str] = AXIS, time: str = "init_time") -> DataFrame:
-    """(within, time, prior_time): the time `delta_steps` places earlier on the same axis."""
-    axis = time_axis(df, within, time)
-    earlier = axis.select(*within, F.col(time).alias("prior_time"), (F.col("t_idx") + delta_steps).alias("t_idx"))
-    return axis.join(earlier, [*within, "t_idx"]).drop("t_idx")
-
-
 def prior_by_index(
-    df: DataFrame, delta_steps: int, keys: Sequence[str] = ("variable", "y", "x"), within: Sequence[str] = AXIS
+    df: DataFrame, delta_steps: int, keys: Sequence[str] = ("variable", "y", "x"), within: Sequence[str] = AXIS, value: str = "value"
 ) -> DataFrame:
-    """Add `prior_time` and `prior_value`. Only the small time axis is ranked; values meet in an equi-join on unique keys."""
-    pairs = prior_times(df, delta_steps, within)
-    prior = df.select(*within, *keys, F.col("init_time").alias("prior_time"), F.col("value").alias("prior_value"))
-    return df.join(pairs, [*within, "init_time"]).join(prior, [*within, *keys, "prior_time"])
+    """Add `prior_time` and `prior_<value>`: the row of the same keys `delta_steps` places earlier on the time axis; rows without one go.
+
+    Only the small time axis is ranked. The data are exchanged once, by key, and a range frame at -delta of the time index reads the
+    prior. A frame holds the times of one cell, or of one snapshot's fields where the values are arrays. Keys are unique per time.
+    """
+    axis = stored(time_axis(df, within))  # far smaller than the data; written, so that its size decides how it is joined
+    earlier = W.partitionBy(*within, *keys).orderBy("t_idx").rangeBetween(-delta_steps, -delta_steps)
+    prior = F.first(F.struct(F.col("init_time").alias("t"), F.col(value).alias("v"))).over(earlier)
+    paired = df.join(axis, [*within, "init_time"]).withColumn("_p", prior).where(F.col("_p").isNotNull())
+    return paired.select(*df.columns, F.col("_p.t").alias("prior_time"), F.col("_p.v").alias(f"prior_{value}"))
+
+
+def diff_fields(pairs: DataFrame) -> DataFrame:
+    """Snapshot pairs with `values` replaced by values - prior_values, cell by cell; null where either is missing."""
+    return pairs.withColumn("values", F.zip_with("values", "prior_values", lambda a, b: a - b)).drop("prior_values")
 
 
 def prior_exact(present: DataFrame, prior: DataFrame, delta_hours: int, on: Sequence[str], time: str, value: str):

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.functions.arrays import let, moments_of
+from fieldlab.functions.reuse import stored
 from fieldlab.operators.pairing import prior_by_index
 from fieldlab.operators.select import select_time_ranges
 
@@ -33,6 +35,19 @@ def field_stats(cells: DataFrame, kind: str = "abs", value: str = "value") -> Da
     ).withColumn("kind", F.lit(kind))
 
 
+def snapshot_stats(snapshots: DataFrame, kind: str = "abs") -> DataFrame:
+    """`field_stats` of snapshots without taking them apart: count, mean and spread of each array, then their union per variable."""
+    values = F.filter(F.col("values"), lambda v: v.isNotNull() & ~F.isnan(v))
+    moments = let(values, lambda a: F.struct(F.size(a).alias("n"), F.when(F.size(a) > 0, moments_of(a)).alias("m")))
+    parts = stored(snapshots.select("variable", moments.alias("_p")).select("variable", "_p.n", "_p.m.mean", "_p.m.std"))
+    whole = parts.groupBy("variable").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    gap = F.col("mean") - F.col("_mean")
+    out = parts.join(whole, "variable").groupBy("variable").agg(
+        F.first("_mean").alias("mean"), F.sqrt(F.sum(F.col("n") * (F.col("std") * F.col("std") + gap * gap)) / F.first("_n")).alias("std"), F.first("_n").alias("n")
+    )
+    return out.select("variable", "mean", safe_std(F.coalesce("std", F.lit(0.0))).alias("std"), "n", F.lit(kind).alias("kind"))
+
+
 def finite_stats(cells: DataFrame, ranges=None) -> DataFrame:
     """Statistics of the finite values only; raises when a selection is empty at run time."""
     kept = select_time_ranges(cells, ranges).where(is_finite(F.col("value").cast("double")))
@@ -57,8 +72,12 @@ def diff_stats(cells: DataFrame, delta_steps: int) -> DataFrame:
     """Statistics of X_t - X_(t - delta), priors found by time index."""
     if delta_steps <= 0:
         raise ValueError("delta_steps must be positive")
-    pairs = prior_by_index(cells, delta_steps).withColumn("diff", F.col("value") - F.col("prior_value"))
-    return field_stats(pairs, "diff", "diff")
+    return pair_diff_stats(prior_by_index(cells, delta_steps))
+
+
+def pair_diff_stats(pairs: DataFrame) -> DataFrame:
+    """Statistics of value - prior_value of pairs that exist already."""
+    return field_stats(pairs.withColumn("diff", F.col("value") - F.col("prior_value")), "diff", "diff")
 
 
 def normalize(cells: DataFrame, stats: DataFrame, value: str = "value") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fieldlab.functions.reuse import stored
 from fieldlab.functions.times import shift_hours
 from fieldlab.operators import compose, pairing, stats
 from fieldlab.plans.registry import query
@@ -70,12 +71,11 @@ def normalize(v: Views):
 _CHANNEL = "source:s init_time:t lead_hours:i y:i x:i channel:i value:d"
 
 
-def _pairs(v: Views):
-    return pairing.prior_by_index(v.stored_grid, 2).drop("prior_time", "lat", "lon")
-
-
 def _composed(v: Views, mode: str):
-    return compose.compose(_pairs(v), mode, VARIABLES, stats.field_stats(v.stored_grid), stats.diff_stats(v.stored_grid, 2))
+    """Pairs are made once: the difference statistics and the channels read the same stored table."""
+    pairs = stored(pairing.prior_by_index(v.stored_grid, 2).drop("prior_time", "lat", "lon"))
+    diffs = stats.pair_diff_stats(pairs) if mode in ("diff", "phase") else None
+    return compose.compose(pairs, mode, VARIABLES, stats.field_stats(v.stored_grid), diffs)
 
 
 @query(_CHANNEL, f"SELECT {_KEYS}, {_INDEX} AS channel, (value - mean) / std AS value FROM v_grid JOIN v_stats USING (variable)")
@@ -116,16 +116,22 @@ def clip_diff(v: Views):
     return v.table("events").select("event_id", compose.clip_diff(F.col("value") - 20).alias("clipped"))
 
 
-@query(
-    "sample_id:i y:i x:i value:d",
-    """SELECT s.sample_id, y, x, coalesce(c.value, 0) AS value FROM (SELECT sample_id FROM v_vec) s,
+def padded_sql(cells: str) -> str:
+    """8 x 8 fields (sample_id, y, x, value) of all samples, padded to 15 x 24."""
+    return f"""SELECT s.sample_id, y, x, coalesce(c.value, 0) AS value FROM (SELECT sample_id FROM v_vec) s,
        (SELECT unnest(range(15)) AS y) ys, (SELECT unnest(range(24)) AS x) xs
-       LEFT JOIN (SELECT sample_id AS sid, y AS cy, x AS cx, value FROM v_cell8) c
-       ON sid = s.sample_id AND cy = y - 4 AND cx = ((x - 8) % 8 + 8) % 8""",
-)
-def pad_grid(v: Views):
+       LEFT JOIN (SELECT sample_id AS sid, y AS cy, x AS cx, value FROM ({cells})) c
+       ON sid = s.sample_id AND cy = y - 4 AND cx = ((x - 8) % 8 + 8) % 8"""
+
+
+def padded_fields(v: Views):
     padded = v.snap8.withColumn("values", compose.pad_field(F.col("values"), F.col("h"), F.col("w")))
-    return compose.to_cells(padded.withColumn("h", F.col("h") + 7).withColumn("w", F.col("w") + 16))
+    return padded.withColumn("h", F.col("h") + 7).withColumn("w", F.col("w") + 16)
+
+
+@query("sample_id:i y:i x:i value:d", padded_sql("SELECT * FROM v_cell8"))
+def pad_grid(v: Views):
+    return compose.to_cells(padded_fields(v))
 
 
 @query("sample_id:i y:i x:i value:d", "SELECT sample_id, y, x, value FROM v_cell8")
@@ -201,6 +207,14 @@ def prior_lag(v: Views):
     return pairing.prior_by_index(v.stored_grid, 2)
 
 
+@query("source:s init_time:t lead_hours:i variable:s y:i x:i diff:d", f"SELECT *, value - prior_value AS diff FROM ({_PRIOR})")
+def diff_snapshots(v: Views):
+    """Differences of whole fields, paired and subtracted as arrays."""
+    fields = compose.to_snapshots(v.grid.drop("lat", "lon"), 4, 8)
+    pairs = pairing.prior_by_index(stored(fields), 2, keys=("variable",), value="values").drop("prior_time")
+    return compose.to_cells(pairing.diff_fields(pairs), "diff").where("diff is not null")
+
+
 @query(
     "source:s init_time:t diff:d",
     """SELECT source, init_time, value - prior AS diff FROM (

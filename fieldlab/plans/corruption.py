@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import uniform
 from fieldlab.operators import compose, corrupt, select, spectra, stats
+from fieldlab.plans.composition import padded_fields, padded_sql
 from fieldlab.plans.registry import query
 from fieldlab.plans.views import CHANNELS, Views, digest_sql, normal_sql, uniform_sql
 
@@ -20,7 +21,7 @@ def _blur_sql(cells: str, sigma: float, n: int = 8) -> str:
       SELECT i, CASE WHEN m < {n} THEN m ELSE {2 * n - 1} - m END AS s, exp(-k * k / {2 * sigma * sigma}) / (SELECT sum(exp(-q * q / {2 * sigma * sigma}))
         FROM range({-radius}, {radius + 1}) AS t(q)) AS g
       FROM (SELECT i, k, ((i + k) % {2 * n} + {2 * n}) % {2 * n} AS m FROM range({n}) AS a(i), range({-radius}, {radius + 1}) AS b(k))) GROUP BY i, s)"""
-    return f"""SELECT sample_id, a.i AS y, b.i AS x, sum(a.g * b.g * value) AS value
+    return f"""SELECT sample_id, a.i AS y, b.i AS x, CASE WHEN count(value) = count(*) THEN sum(a.g * b.g * value) END AS value
       FROM ({cells}) c JOIN {taps} a ON a.s = c.y JOIN {taps} b ON b.s = c.x GROUP BY 1, 2, 3"""
 
 
@@ -34,6 +35,37 @@ def corrupt_blur(v: Views):
     return compose.to_cells(corrupt.blur(v.snap8, 1.0))
 
 
+_GAPS_SQL = f"SELECT * REPLACE (CASE WHEN {uniform_sql(3, repr('gap'), 'sample_id', 'pos')} >= 0.02 THEN value END AS value) FROM v_cell8"
+
+
+def _with_gaps(v: Views):
+    """Fields that lack about one cell in fifty."""
+    return v.snap8.withColumn("values", F.transform("values", lambda c, i: F.when(uniform(3, "gap", F.col("sample_id"), i) >= 0.02, c)))
+
+
+@query(CELL8, _blur_sql(_GAPS_SQL, 0.5 * 1.125))
+def corrupt_blur_gaps(v: Views):
+    """A missing cell reaches as far as the taps, not over the whole field."""
+    return compose.to_cells(corrupt.blur(_with_gaps(v), 0.5))
+
+
+@query(CELL8, _blur_sql(_GAPS_SQL, 0.5))
+def disturb_blur_gaps(v: Views):
+    return compose.to_cells(corrupt.disturb(_with_gaps(v), "blur", 0.5))
+
+
+@query(
+    "corruption:s sample_id:i y:i x:i value:d",
+    f"""SELECT 'blur' AS corruption, * FROM ({padded_sql(_blur_sql("SELECT * FROM v_cell8", 0.5 * 1.125))})
+        UNION ALL SELECT 'noise', * FROM ({padded_sql(f"SELECT sample_id, y, x, value + 0.5 * 0.25 * {_NOISE8.format('noise')} AS value FROM v_cell8")})""",
+)
+def corrupt_padded(v: Views):
+    """Padded fields: the interior is corrupted, the padding is made anew from it."""
+    fields = padded_fields(v)
+    blurred, noisy = (compose.to_cells(corrupt.corrupt(fields, name, 0.5, padded=(15, 24))).withColumn("corruption", F.lit(name)) for name in ("blur", "noise"))
+    return blurred.unionByName(noisy)
+
+
 @query(CELL4, f"SELECT sample_id, variable, y, x, value + 0.5 * 0.25 * {_NOISE8.format('noise')} AS value FROM v_cell4")
 def corrupt_noise(v: Views):
     return compose.to_cells(corrupt.noise(v.snap4, 0.5))
@@ -162,7 +194,7 @@ def corrupt_planned(v: Views):
         SELECT r.sample_id, r.variable, r.y, r.x, r.value * std + mean AS value FROM ({_rotated_sql('z', '1.0 * pi() / 2')}) r JOIN s USING (variable)""",
 )
 def corrupt_raw_roundtrip(v: Views):
-    s = stats.field_stats(compose.to_cells(v.snap4))
+    s = stats.snapshot_stats(v.snap4)
     return compose.to_cells(compose.denormalize_snapshots(corrupt.wind_rotation(compose.normalize_snapshots(v.snap4, s), 1.0), s))
 
 
@@ -170,7 +202,7 @@ def corrupt_raw_roundtrip(v: Views):
 
 
 def _with_std(v: Views):
-    std = stats.field_stats(compose.to_cells(v.snap8)).select("variable", "std")
+    std = stats.snapshot_stats(v.snap8).select("variable", "std")
     return v.snap8.join(std, "variable")
 
 

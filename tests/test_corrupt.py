@@ -204,3 +204,60 @@ def test_same_result_for_any_partitioning(snapshots):
     one = fields(corrupt.pixel_replace(df.repartition(1), 1.0))
     many = fields(corrupt.pixel_replace(df.repartition(7, "variable"), 1.0))
     np.testing.assert_array_equal(one, many)
+
+
+@pytest.mark.parametrize("sigma", [0.3, 1.125, 3.0])
+def test_blur_around_gaps_and_infinities(spark, sigma):
+    data = np.random.default_rng(8).normal(size=(4, 13, 17))
+    data[0, 6, 8] = np.nan
+    data[1, 0, 0], data[1, 12, 3] = np.nan, np.inf
+    data[2, 4, 4], data[2, 4, 5] = np.inf, -np.inf
+    rows = [(s, "t", 13, 17, [None if np.isnan(x) else float(x) for x in f.ravel()]) for s, f in enumerate(data)]
+    df = spark.createDataFrame(rows, "sample_id long, variable string, h int, w int, values array<double>")
+    with np.errstate(invalid="ignore"):
+        want = np.stack([slow_blur(f, sigma) for f in data])
+    got = {r.sample_id: np.array([np.nan if x is None else x for x in r["values"]]).reshape(13, 17) for r in corrupt.disturb_blur(df, sigma).collect()}
+    for s in range(4):
+        np.testing.assert_allclose(got[s], want[s], atol=1e-12)
+    radius = int(4 * sigma + 0.5)
+    assert np.isnan(got[0]).sum() == min(13, 2 * radius + 1) * min(17, 2 * radius + 1) and not np.isnan(got[3]).any()
+
+
+def test_padded_fields_are_corrupted_inside(spark):
+    rng = np.random.default_rng(3)
+    inner = rng.normal(size=(2, 4, 6, 9))
+    padded = np.pad(np.pad(inner, [(0, 0)] * 3 + [(8, 8)], mode="wrap"), [(0, 0)] * 2 + [(4, 3), (0, 0)])
+    schema = "sample_id long, variable string, h int, w int, values array<double>, severity double"
+
+    def frame(data):
+        return spark.createDataFrame([(s, v, *data.shape[2:], data[s, i].ravel().tolist(), 0.6 * s) for s in range(2) for i, v in enumerate("tuvp")], schema)
+
+    for name in ("blur", "hf_noise", "pixel_replace", "grf", "wind_rotation", "wind_shuffled"):
+        options = {"patch": 3} if name == "wind_shuffled" else {}
+        bare = fields(corrupt.corrupt(frame(inner), name, F.col("severity"), **options))
+        got = fields(corrupt.corrupt(frame(padded), name, F.col("severity"), padded=(13, 25), **options))
+        want = np.pad(np.pad(bare, [(0, 0)] * 3 + [(8, 8)], mode="wrap"), [(0, 0)] * 2 + [(4, 3), (0, 0)])
+        np.testing.assert_array_equal(got, want)
+        np.testing.assert_array_equal(got[0], padded[0])
+    whole = fields(corrupt.corrupt(frame(padded), "blur", F.col("severity")))  # not the model's size: blurred as it is
+    assert not np.array_equal(whole[1, :, 3], padded[1, :, 3])
+
+
+def test_sweep_routes_rows_by_type(snapshots):
+    df, data = snapshots
+    types = ["noise", "wind_rotation", "blur"]
+    sweep = corrupt.ladder_sweep(df, [*types, "grf"], 3, 1.0)
+    out = corrupt.apply_sweep(sweep, types)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "spectral_noise" not in plan  # only blur's rows meet Python
+    got = {}
+    for r in out.collect():
+        got[r.corruption, r.severity, r.sample_id, r.variable] = np.array(r["values"]).reshape(r.h, r.w)
+    assert len(got) == 4 * 3 * 12
+    for kind in types:
+        for severity in (0.0, 0.5, 1.0):
+            alone = fields(corrupt.corrupt(df, kind, severity))
+            for s in range(3):
+                for i, v in enumerate("tuvp"):
+                    np.testing.assert_allclose(got[kind, severity, s, v], alone[s, i], atol=1e-12)
+    assert all(np.array_equal(got["grf", 1.0, s, v], data[s, i]) for s in range(3) for i, v in enumerate("tuvp"))

@@ -6,7 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from fieldlab.functions import times
-from fieldlab.operators import pairing, ranking, select, stats
+from fieldlab.operators import compose, pairing, ranking, select, stats
 from fieldlab.sources import archive
 
 T0 = dt.datetime(2020, 1, 1)
@@ -220,3 +220,25 @@ def test_normalize_round_trip_and_gaps(spark):
     assert "BroadcastHashJoin" in z._jdf.queryExecution().toString()
     got = stats.train_stats(df, ["2020-01-01", "2020-01-01"], ["a", "zz"]).collect()
     assert {(r.variable, r["std"]) for r in got if r.variable == "zz"} == {("zz", 1.0)}
+
+
+def test_prior_of_arrays_and_uneven_keys(spark):
+    """Fields paired as arrays; a time that one key lacks stays a place on the axis."""
+    t0 = dt.datetime(2020, 1, 1)
+    rows = [("a", 0, v, t0 + dt.timedelta(hours=6 * k), [float(k), None if k == 3 else 2.0 * k]) for k in range(6) for v in "tu" if (k, v) != (2, "u")]
+    df = spark.createDataFrame(rows, "source string, lead_hours int, variable string, init_time timestamp_ntz, values array<double>")
+    pairs = pairing.prior_by_index(df, 2, keys=("variable",), value="values")
+    got = {(r.variable, r.init_time): r["values"] for r in pairing.diff_fields(pairs).collect()}
+    assert set(got) == {(v, t0 + dt.timedelta(hours=6 * k)) for k in range(2, 6) for v in "tu"} - {("u", t0 + dt.timedelta(hours=h)) for h in (12, 24)}
+    assert got["t", t0 + dt.timedelta(hours=12)] == [2.0, 4.0] and got["t", t0 + dt.timedelta(hours=18)] == [2.0, None]
+
+
+def test_snapshot_stats_equal_cell_stats(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, v, 2, 5, [None if x < -1 else float("nan") if x < -0.8 else 1e6 + x for x in rng.normal(size=10).tolist()]) for s in range(40) for v in "tu"]
+    df = spark.createDataFrame([*rows, (99, "t", 2, 5, [None] * 10), (99, "empty", 2, 5, [None] * 10)], "sample_id long, variable string, h int, w int, values array<double>")
+    got = {r.variable: r for r in stats.snapshot_stats(df).collect()}
+    want = {r.variable: r for r in stats.field_stats(compose.to_cells(df)).collect()}
+    for v in "tu":
+        assert got[v].n == want[v].n and abs(got[v]["mean"] - want[v]["mean"]) < 1e-8 and abs(got[v]["std"] - want[v]["std"]) < 1e-9
+    assert got["empty"].n == 0 and got["empty"]["std"] == 1.0
