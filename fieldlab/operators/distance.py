@@ -1,28 +1,29 @@
 """Distances between sets of latent vectors: moments, Frechet, kernel MMD, PCA, linear probe.
 
-Vectors come as rows (id, group columns, `vec` array). Groups may be of any size: moments are partial sums merged per matrix row,
-and kernel sums run over pairs of bounded blocks that send back sums only.
+Vectors come as rows (id, group columns, `vec` array). Groups may be of any size: moments are partial sums merged as a tree,
+and kernel sums run over tiles of a pair grid that send back sums only.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldlab.functions.arrays import let
-from fieldlab.functions.reuse import materialize
-from fieldlab.operators.quantiles import holding_bin, refine
+from fieldlab.functions.arrays import indices, let
+from fieldlab.functions.reuse import stored
+from fieldlab.operators.quantiles import held_bins
 
-BLOCK_ROWS = 1024  # most vectors in a block
-SMALL_BLOCK = 128  # a block is not made smaller than this to keep cores busy
+STRIP_DOUBLES = 1 << 20  # about the size of a strip of vectors (8 MB)
+SIDE, SMALL_STRIP = 8, 128  # a set has this many strips, for SIDE x SIDE tiles, unless they would have fewer vectors than this
+CHUNK = 1 << 22  # distances that a task holds at a time
 PIECE_DOUBLES = 8_192  # matrix rows travel in pieces of about 64 KB
 STATE_DOUBLES = 32_000_000  # scatter a task holds before it hands over (256 MB)
-MERGE_WAYS = 64
+FAN_IN = 32  # pieces that one group merges
 
 
 # --- moments ------------------------------------------------------------------------------------------------------------------
@@ -38,13 +39,15 @@ def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, i, n, mean, row): row i of the sample covariance matrix (ddof 1; null for a single vector).
 
     One pass. A task keeps count, mean and scatter per group, each batch merged by the pairwise update, and hands them over in
-    pieces; pieces are merged in two steps, so no task, group or driver sees more than a small share. Groups may be any number.
+    pieces. The pieces are merged as a tree: every step merges up to FAN_IN neighbours, and there are as many steps as the number of
+    tasks needs, so no group ever holds more. Groups may be any number.
     """
     by = list(by)
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema)
 
     def partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}
+        task, turn = TaskContext.get().partitionId(), 0
         for batch in batches:
             for key, part in batch.groupby(by, dropna=False) if by else [((), batch)]:
                 x = np.stack(part["vec"].to_numpy()).astype(float)
@@ -52,12 +55,12 @@ def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
                 fresh = (len(x), mean, (x - mean).T @ (x - mean))
                 state[key] = _merge_moments([state[key], fresh]) if key in state else fresh
             if sum(m[2].size for m in state.values()) > STATE_DOUBLES:
-                yield from (_pieces(by, key, *m) for key, m in state.items())
-                state = {}
-        yield from (_pieces(by, key, *m) for key, m in state.items())
+                yield from (_pieces(by, key, *m).assign(task=task, turn=turn) for key, m in state.items())
+                state, turn = {}, turn + 1
+        yield from (_pieces(by, key, *m).assign(task=task, turn=turn) for key, m in state.items())
 
     schema = f"{fields}start int, n long, mean array<double>, part array<double>"
-    partial = df.select(*by, "vec").mapInPandas(partial_sums, schema)
+    partial = stored(df.select(*by, "vec").mapInPandas(partial_sums, f"{schema}, task long, turn long"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         head = rows.iloc[:1].copy()
@@ -69,11 +72,13 @@ def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
             slice(start, start + width),
         )
         head["n"], head["mean"], head["part"] = n, [mean], [part.ravel()]
-        return head[[*by, "start", "n", "mean", "part"]]
+        return head[[*by, "start", "n", "mean", "part", "slot"]]
 
-    tagged = partial.withColumn("_task", F.spark_partition_id() % MERGE_WAYS)
-    once = tagged.groupBy(*by, "start", "_task").applyInPandas(merge, schema)
-    merged = once.groupBy(*by, "start").applyInPandas(merge, schema)
+    tasks, turns = partial.agg(F.coalesce(F.max("task"), F.lit(0)) + 1, F.coalesce(F.max("turn"), F.lit(0)) + 1).first()
+    merged, slots = partial.withColumn("slot", F.col("task") * turns + F.col("turn")).drop("task", "turn"), tasks * turns
+    while slots > 1:
+        merged = merged.withColumn("slot", F.floor(F.col("slot") / FAN_IN)).groupBy(*by, "start", "slot").applyInPandas(merge, f"{schema}, slot long")
+        slots = -(-slots // FAN_IN)
     rows = let(
         F.struct("part", "mean"),
         lambda s: F.transform(
@@ -107,39 +112,42 @@ def _pieces(by: list[str], key, n: int, mean: np.ndarray, scatter: np.ndarray) -
 # --- Frechet ------------------------------------------------------------------------------------------------------------------
 
 
-def frechet_value(mu1, cov1, mu2, cov2) -> float:
-    """|mu1 - mu2|^2 + tr C1 + tr C2 - 2 tr (C1 C2)^(1/2), by the symmetric form C1^(1/2) C2 C1^(1/2).
-
-    Negative eigenvalues of a rank-deficient matrix count as 0, so the result is real.
-    """
-    w, q = np.linalg.eigh(cov1)
-    root = (q * np.sqrt(np.clip(w, 0, None))) @ q.T
-    inner = root @ cov2 @ root
-    cross = np.sqrt(np.clip(np.linalg.eigvalsh((inner + inner.T) / 2), 0, None)).sum()
-    diff = mu1 - mu2
-    return float(diff @ diff + np.trace(cov1) + np.trace(cov2) - 2 * cross)
+def psd_root(cov: np.ndarray) -> np.ndarray:
+    """The symmetric root; negative eigenvalues of a rank-deficient matrix count as 0."""
+    w, q = np.linalg.eigh(cov)
+    return (q * np.sqrt(np.clip(w, 0, None))) @ q.T
 
 
 def frechet(reference: DataFrame, candidates: DataFrame, by: Sequence[str], clamp: bool = False) -> DataFrame:
     """Frechet distance of each candidate group to the reference set, with its terms.
 
-    The D x D step runs in one task per group on D rows. `clamp` keeps the distance from going below 0.
+    |mu1 - mu2|^2 + tr C1 + tr C2 - 2 tr (C1^(1/2) C2 C1^(1/2))^(1/2), which is real. The root of the reference is taken once; then the
+    D x D step runs in one task per group on D rows. `clamp` keeps the distance from going below 0.
     """
-    ref = covariance_rows(reference, []).select(
-        "i", F.col("mean").alias("_rm"), F.col("row").alias("_rr"), F.col("n").alias("_rn")
-    )
-    cand = covariance_rows(candidates, by).join(ref, "i")
+
+    def root(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("i")
+        cov = np.stack(part["row"].to_numpy()).astype(float)
+        rows = psd_root(cov) if np.isfinite(cov).all() else np.full_like(cov, np.nan)
+        return pd.DataFrame({"i": part["i"], "_rm": part["mean"], "_rr": list(rows), "_rn": part["n"], "_rt": np.trace(cov)})
+
+    ref = covariance_rows(reference, []).groupBy().applyInPandas(root, "i int, _rm double, _rr array<double>, _rn long, _rt double")
+    cand = covariance_rows(candidates, by).join(stored(ref), "i")
     by = list(by)
     keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.select(*by).schema)
 
     def solve(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("i")
-        mu1, mu2 = part["_rm"].to_numpy(float), part["mean"].to_numpy(float)
-        c1, c2 = (np.stack(part[c].to_numpy()).astype(float) for c in ("_rr", "row"))
-        value = frechet_value(mu1, c1, mu2, c2) if np.isfinite(c1).all() and np.isfinite(c2).all() else float("nan")
+        gap = part["_rm"].to_numpy(float) - part["mean"].to_numpy(float)
+        half, cov = (np.stack(part[c].to_numpy()).astype(float) for c in ("_rr", "row"))
+        value, trace_ref, trace = float("nan"), part["_rt"].iloc[0], np.trace(cov)
+        if np.isfinite(half).all() and np.isfinite(cov).all():
+            inner = half @ cov @ half
+            cross = np.sqrt(np.clip(np.linalg.eigvalsh((inner + inner.T) / 2), 0, None)).sum()
+            value = float(gap @ gap + trace_ref + trace - 2 * cross)
         out = part[by].iloc[:1].copy()
         out["n"], out["n_ref"] = part["n"].iloc[0], part["_rn"].iloc[0]
-        out["mean_sq"], out["trace_ref"], out["trace"] = ((mu1 - mu2) ** 2).sum(), np.trace(c1), np.trace(c2)
+        out["mean_sq"], out["trace_ref"], out["trace"] = gap @ gap, trace_ref, trace
         out["fid"] = max(value, 0.0) if clamp else value
         return out
 
@@ -147,6 +155,28 @@ def frechet(reference: DataFrame, candidates: DataFrame, by: Sequence[str], clam
     return cand.groupBy(*by).applyInPandas(solve, schema)
 
 
+def plane_moments(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, mx, my, a, b, c) of vectors of two components: means, and the sample covariance [[a, b], [b, c]]."""
+    x, y = F.get("vec", F.lit(0)).cast("double"), F.get("vec", F.lit(1)).cast("double")
+    return df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("a"), F.covar_samp(x, y).alias("b"), F.var_samp(y).alias("c")
+    )
+
+
+def frechet_plane(reference: DataFrame, candidates: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, n, n_ref, fid) for vectors of two components, in closed form: the eigenvalues p, q of C1 C2 are not negative, and
+    (sqrt p + sqrt q)^2 = trace + 2 sqrt(determinant). Null where a set has one vector.
+    """
+    r = reference.transform(plane_moments, []).agg(F.first(F.struct("*"))).scalar()
+    m = plane_moments(candidates, by).withColumn("_r", r)
+    trace = F.col("_r.a") * F.col("a") + 2 * F.col("_r.b") * F.col("b") + F.col("_r.c") * F.col("c")
+    determinant = (F.col("_r.a") * F.col("_r.c") - F.col("_r.b") * F.col("_r.b")) * (F.col("a") * F.col("c") - F.col("b") * F.col("b"))
+    cross = F.sqrt(F.greatest(trace + 2 * F.sqrt(F.greatest(determinant, F.lit(0.0))), F.lit(0.0)))
+    gap = F.pow(F.col("_r.mx") - F.col("mx"), 2) + F.pow(F.col("_r.my") - F.col("my"), 2)
+    fid = gap + F.col("_r.a") + F.col("_r.c") + F.col("a") + F.col("c") - 2 * cross
+    return m.select(*by, "n", F.col("_r.n").alias("n_ref"), fid.alias("fid"))
+
+
 def frechet_terms(reference: DataFrame, candidates: DataFrame, by: Sequence[str]) -> DataFrame:
     """The terms that need no matrix root: |mu1 - mu2|^2 and the two traces."""
 
@@ -165,150 +195,145 @@ def frechet_terms(reference: DataFrame, candidates: DataFrame, by: Sequence[str]
 # --- kernel MMD ---------------------------------------------------------------------------------------------------------------
 
 
-def block_pairs(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None):
-    """Every pair of blocks a distance needs: reference x reference, reference x group, and group x itself; and the set sizes.
+def tiles(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The pair grid of all distances that are needed, reference x reference, reference x group and group x itself; and the set sizes.
 
-    Vectors are hashed into blocks of about `block_rows` rows, by default at most 1024 and enough to use the cores. A block is one row (a flat matrix), sent to each pair it is part of;
-    a pair is one row with both sides. Only blocks travel; vector pairs never become rows.
+    Each set is hashed into strips of about STRIP_DOUBLES numbers (or `block_rows` vectors), and every pair of strips is a tile: one row
+    (kind, g, na, a, nb, b) with both sides as flat matrices. Strips travel once to each tile they are part of; the grid is written and
+    all passes read it, so vectors are not shuffled again. Vector pairs never become rows. Sizes are rows (set, g, n, strips), g is null
+    for the reference.
     """
-    ref = reference.select(F.lit("ref").alias("_set"), F.lit(None).cast("string").alias("_g"), key, "vec")
-    cand = candidates.select(F.lit("cand").alias("_set"), F.col(by).cast("string").alias("_g"), key, "vec")
+    ref = reference.select(F.lit("ref").alias("set"), F.lit(None).cast("string").alias("g"), key, "vec")
+    cand = candidates.select(F.lit("cand").alias("set"), F.col(by).cast("string").alias("g"), key, "vec")
     rows = ref.unionByName(cand)
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-
-    def block_count(n: int) -> int:
-        if block_rows:
-            return math.ceil(n / block_rows)
-        return max(math.ceil(n / BLOCK_ROWS), min(math.ceil(n / SMALL_BLOCK), math.ceil(2 * math.sqrt(cores))))
-
-    sizes = rows.groupBy("_set", "_g").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per group
-    counts = {(r["_set"], r["_g"]): block_count(r["n"]) for r in sizes}
-    n_ref = counts.pop(("ref", None), 0)
-    table = rows.sparkSession.createDataFrame(
-        [("ref", None, n_ref, n_ref)] + [("cand", g, n, n_ref) for (_, g), n in counts.items()],
-        "_set string, _g string, _blocks int, _ref_blocks int",
-    )
-    sized = rows.join(F.broadcast(table), rows["_g"].eqNullSafe(table["_g"]) & (rows["_set"] == table["_set"])).select(
-        rows["_set"], rows["_g"], key, "vec", "_blocks", "_ref_blocks"
-    )
-    sized = sized.withColumn("_b", F.pmod(F.xxhash64(F.col(key)), F.col("_blocks")).cast("int"))
-    blocks = sized.groupBy("_set", "_g", "_b", "_blocks", "_ref_blocks").agg(
-        F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), F.col("vec").alias("v")))).alias("_rows")
-    )
-    blocks = materialize(
-        blocks.select(
-            "_set", "_g", "_b", "_blocks", "_ref_blocks",
-            F.size("_rows").alias("_n"), F.flatten(F.transform("_rows", lambda r: r["v"])).alias("_m"),
-        )
-    )
+    n = F.count(F.lit(1))
+    most = F.greatest(F.lit(1), F.lit(STRIP_DOUBLES) / F.greatest(F.max(F.size("vec")), F.lit(1)))
+    strips = F.ceil(n / block_rows) if block_rows else F.greatest(F.ceil(n / most), F.least(F.lit(SIDE), F.ceil(n / SMALL_STRIP)))
+    sizes = stored(rows.groupBy("set", "g").agg(n.alias("n"), strips.cast("int").alias("strips")))
+
+    sized = rows.alias("r").join(sizes.alias("s"), (F.col("r.set") == F.col("s.set")) & F.col("r.g").eqNullSafe(F.col("s.g")))
+    strip = F.pmod(F.xxhash64(F.col(key)), F.col("strips")).cast("int")
+    blocks = sized.select("r.set", "r.g", "strips", strip.alias("strip"), F.struct(F.col(key).alias("k"), F.col("vec").alias("v")).alias("_v"))
+    blocks = blocks.groupBy("set", "g", "strips", "strip").agg(F.sort_array(F.collect_list("_v")).alias("_rows"))
+    of_ref = sizes.where("set = 'ref'").agg(F.coalesce(F.max("strips"), F.lit(0))).scalar()
+    of_groups = sizes.where("set = 'cand'").agg(F.collect_list(F.struct("g", "strips"))).scalar()  # one entry per group
+    blocks = blocks.withColumn("_of_ref", of_ref).withColumn("_of_groups", of_groups)
+
+    def place(kind, g, i, j, side):
+        return F.struct(kind.alias("kind"), g.alias("g"), i.alias("i"), j.alias("j"), side.alias("side"))
+
+    mine = F.col("strip")
     own = F.transform(
-        F.sequence(F.lit(0), F.col("_blocks") - 1),
-        lambda o: F.struct(
-            F.col("_set").alias("kind"), F.col("_g").alias("g"), F.least(F.col("_b"), o).alias("i"), F.greatest(F.col("_b"), o).alias("j")
-        ),
-    )
-    groups = F.array(*[F.lit(g) for (_, g) in counts])
-    cross_of_ref = F.flatten(
-        F.transform(
-            F.arrays_zip(groups.alias("g"), F.array(*[F.lit(n) for n in counts.values()]).alias("n")),
-            lambda t: F.transform(
-                F.sequence(F.lit(0), t["n"] - 1),
-                lambda o: F.struct(F.lit("cross").alias("kind"), t["g"].alias("g"), F.col("_b").alias("i"), o.alias("j")),
-            ),
-        )
+        F.sequence(F.lit(0), F.col("strips") - 1), lambda o: place(F.col("set"), F.col("g"), F.least(mine, o), F.greatest(mine, o), F.when(o < mine, 1).otherwise(0))
     )
-    cross_of_group = F.transform(
-        F.sequence(F.lit(0), F.col("_ref_blocks") - 1),
-        lambda o: F.struct(F.lit("cross").alias("kind"), F.col("_g").alias("g"), o.alias("i"), F.col("_b").alias("j")),
+    to_groups = F.flatten(
+        F.transform("_of_groups", lambda t: F.transform(F.sequence(F.lit(0), t["strips"] - 1), lambda o: place(F.lit("cross"), t["g"], mine, o, F.lit(0))))
     )
-    places = F.concat(own, F.when(F.col("_set") == "ref", cross_of_ref).otherwise(cross_of_group))
-    side = F.when(F.col("_p.kind") == "cross", F.when(F.col("_set") == "ref", 0).otherwise(1)).otherwise(
-        F.when(F.col("_b") == F.col("_p.i"), 0).otherwise(1)
-    )
-    sent = blocks.select("_set", "_g", "_b", "_n", "_m", F.explode(places).alias("_p")).withColumn("_side", side)
-    part = F.struct(F.col("_side").alias("s"), F.col("_n").alias("n"), F.col("_m").alias("m"))
-    pairs = sent.groupBy("_p.kind", "_p.g", "_p.i", "_p.j").agg(F.sort_array(F.collect_list(part)).alias("_sides"))
-    first, second = F.get("_sides", F.lit(0)), F.get("_sides", F.lit(1))  # a block with itself has no second side
-    pairs = pairs.select("kind", "g", first["n"].alias("na"), first["m"].alias("a"), second["n"].alias("nb"), second["m"].alias("b"))
-    return pairs, {r["_g"]: r["n"] for r in sizes}  # None is the reference
+    to_ref = F.transform(indices(F.col("_of_ref")), lambda o: place(F.lit("cross"), F.col("g"), o, mine, F.lit(1)))
+    matrix = F.struct(F.size("_rows").alias("n"), F.flatten(F.transform("_rows", lambda r: r["v"])).alias("m")).alias("_b")
+    sent = blocks.select(matrix, F.explode(F.concat(own, F.when(F.col("set") == "ref", to_groups).otherwise(to_ref))).alias("_p"))
+    sides = F.sort_array(F.collect_list(F.struct(F.col("_p.side").alias("s"), F.col("_b").alias("b"))))
+    grid = sent.groupBy("_p.kind", "_p.g", "_p.i", "_p.j").agg(sides.alias("_s"))
+    first, second = F.get("_s", F.lit(0))["b"], F.get("_s", F.lit(1))["b"]  # a strip with itself has no second side
+    return stored(grid.select("kind", "g", first["n"].alias("na"), first["m"].alias("a"), second["n"].alias("nb"), second["m"].alias("b"))), sizes
 
 
-def _pair_sqdist(na, a, nb, b) -> np.ndarray:
-    """Squared distances of a block pair; of a block with itself, those of i < j."""
+def _sqdist(na, a, nb, b) -> Iterator[np.ndarray]:
+    """Squared distances of a tile, CHUNK at a time; of a strip with itself, those of i < j."""
     x = np.asarray(a, dtype=float).reshape(int(na), -1)
     y = x if b is None else np.asarray(b, dtype=float).reshape(int(nb), -1)
-    d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0.0)
-    return d2[np.triu_indices(len(x), 1)] if b is None else d2.ravel()
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    step = max(1, CHUNK // max(1, len(y)))
+    for at in range(0, len(x), step):
+        start = at if b is None else 0
+        d2 = np.maximum(xx[at : at + step, None] + yy[None, start:] - 2 * x[at : at + step] @ y[start:].T, 0.0)
+        yield d2[np.triu_indices(len(d2), 1, d2.shape[1])] if b is None else d2.ravel()
 
 
-def _per_pair(pairs: DataFrame, fn, schema: str) -> DataFrame:
-    """Apply `fn(kind, g, squared distances, weight)` to each block pair; `fn` yields tuples of columns (scalars or equal-length arrays)."""
+def _per_tile(grid: DataFrame, fn, schema: str) -> DataFrame:
+    """Apply `fn(kind, g, squared distances, weight, targets)` to each tile, part by part; `fn` yields tuples of columns (scalars or
+    equal-length arrays). `targets` is what `_aimed` has joined.
+    """
     columns = [c.split()[0] for c in schema.split(", ")]
+    aimed = "targets" in grid.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for kind, g, *sides in batch.itertuples(index=False, name=None):
+            for kind, g, na, a, nb, b, *targets in batch.itertuples(index=False, name=None):
                 weight = 1 if kind == "cross" else 2  # inside a set, ordered pairs count
-                parts = [pd.DataFrame({c: np.atleast_1d(v) for c, v in zip(columns, row)}) for row in fn(kind, g, _pair_sqdist(*sides), weight)]
-                if parts:
-                    yield pd.concat(parts, ignore_index=True)
+                for d2 in _sqdist(na, a, nb, b):
+                    if not d2.size:
+                        continue
+                    parts = [pd.DataFrame({c: np.atleast_1d(v) for c, v in zip(columns, row)}) for row in fn(kind, g, d2, weight, *targets)]
+                    if parts:
+                        yield pd.concat(parts, ignore_index=True)
+
+    return grid.select("kind", "g", "na", "a", "nb", "b", *["targets"] * aimed).mapInPandas(run, schema)
+
 
-    return pairs.mapInPandas(run, schema)
+def _aimed(grid: DataFrame, targets: DataFrame) -> DataFrame:
+    """The tiles with what they count for, from a small table targets(g, ...) of one row per group: those of a group for its own target,
+    those of the reference for all. The table is read as a scalar subquery, so no tile moves.
+    """
+    listed = grid.withColumn("_t", targets.agg(F.collect_list(F.struct(*targets.columns))).scalar())
+    return listed.withColumn("targets", F.when(F.col("kind") == "ref", F.col("_t")).otherwise(F.filter("_t", lambda t: t["g"].eqNullSafe(F.col("g"))))).drop("_t")
 
 
 def sqdist_summary(reference: DataFrame, candidates: DataFrame, by: str, key: str, block_rows: int | None = None) -> DataFrame:
     """Squared distances per (kind, group) over ordered pairs, the diagonal left out: n, mean, min, max."""
-    pairs, _ = block_pairs(reference, candidates, by, key, block_rows)
+    grid, _ = tiles(reference, candidates, by, key, block_rows)
 
     def stats(kind, g, d2, weight):
-        if d2.size:
-            yield kind, g, weight * d2.size, weight * float(d2.sum()), float(d2.min()), float(d2.max())
+        yield kind, g, weight * d2.size, weight * float(d2.sum()), float(d2.min()), float(d2.max())
 
-    part = _per_pair(pairs, stats, "kind string, g string, n long, s double, lo double, hi double")
+    part = _per_tile(grid, stats, "kind string, g string, n long, s double, lo double, hi double")
     return part.groupBy("kind", "g").agg(
         F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"), F.min("lo").alias("min"), F.max("hi").alias("max")
     )
 
 
-def mmd_gammas(pairs: DataFrame, groups: Sequence[str], bins: int = 2048) -> dict[str, float]:
-    """Kernel widths 1 / (2 * median + 1e-6) per group, with the exact lower median over all ordered pairs of the two sets."""
+def mmd_gammas(grid: DataFrame, bins: int = 2048) -> DataFrame:
+    """(g, gamma): kernel widths 1 / (2 * median + 1e-6) per group, with the exact lower median over all ordered pairs of the two sets.
+
+    Each pass counts distances in even bins of every group's bracket, and the bin that holds the median is the next bracket. Brackets are
+    a stored table that is joined with the tiles.
+    """
 
     def whole(kind, g, d2, weight):
-        if d2.size:
-            yield kind, g, weight * d2.size, float(d2.min()), float(d2.max())
-
-    spans = _per_pair(pairs, whole, "kind string, g string, n long, lo double, hi double").groupBy("kind", "g").agg(
-        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")
-    ).collect()
-    targets = {}
-    for g in groups:
-        mine = [r for r in spans if r["kind"] == "ref" or r["g"] == g]
-        n = sum(r["n"] for r in mine)
-        targets[g] = ((n - 1) // 2, min(r["lo"] for r in mine), max(r["hi"] for r in mine))
-
-    def locate(open_targets: dict) -> dict:
-        brackets = {g: (lo, hi) for g, (_, lo, hi) in open_targets.items()}
-
-        def count(kind, g, d2, weight):
-            mine = {t: ends for t, ends in brackets.items() if kind == "ref" or g == t}
-            if mine:
-                d2 = np.sort(d2)
-            for t, (lo, hi) in mine.items():
-                d = d2[np.searchsorted(d2, lo, "left") : np.searchsorted(d2, hi, "right")]
-                if d.size:
-                    index = np.minimum(((d - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
-                    starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
-                    stops = np.r_[starts[1:], len(d)]
-                    yield np.repeat(t, len(starts)), index[starts], weight * (stops - starts), d[starts], d[stops - 1]
-
-        parts = _per_pair(pairs, count, "target string, bin long, n long, lo double, hi double")
-        wanted = pairs.sparkSession.createDataFrame([(g, k) for g, (k, _, _) in open_targets.items()], "target string, _in long")
-        counts = parts.groupBy("target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-        held = holding_bin(counts.join(F.broadcast(wanted), "target"), ["target"], "_in")  # one row per group
-        return {r["target"]: (r["left"], r["lo"], r["hi"]) for r in held}
-
-    medians = refine(locate, targets)
-    return {g: 1.0 / (2.0 * m + 1e-6) for g, m in medians.items()}
+        yield kind, g, weight * d2.size, float(d2.min()), float(d2.max())
+
+    spans = _per_tile(grid, whole, "kind string, g string, n long, lo double, hi double")
+    spans = stored(spans.groupBy("kind", "g").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+    ref = spans.where("kind = 'ref'").agg(F.struct(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))).scalar()
+    both = spans.where("kind != 'ref'").groupBy("g").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).withColumn("_r", ref)
+    rank = F.expr("(n + _r.n - 1) div 2").alias("k")
+    brackets = stored(both.select("g", rank, F.least("lo", "_r.lo").alias("lo"), F.greatest("hi", "_r.hi").alias("hi")))
+
+    def count(kind, g, d2, weight, targets):
+        d2 = np.sort(d2)
+        for t in targets:
+            lo, hi = t["lo"], t["hi"]
+            d = d2[np.searchsorted(d2, lo, "left") : np.searchsorted(d2, hi, "right")]
+            if d.size:
+                index = np.minimum(((d - lo) / (hi - lo) * bins).astype(np.int64), bins - 1)
+                starts = np.flatnonzero(np.r_[True, index[1:] != index[:-1]])
+                stops = np.r_[starts[1:], len(d)]
+                yield np.repeat(t["g"], len(starts)), index[starts], weight * (stops - starts), d[starts], d[stops - 1]
+
+    is_open = F.col("hi") - F.col("lo") > 1e-13 * F.greatest(F.abs("lo"), F.abs("hi"))
+    groups = None
+    while True:
+        n, n_open = brackets.agg(F.count("*"), F.count_if(is_open)).first()
+        if groups is not None and n != groups:
+            raise ValueError(f"rank beyond the data for {groups - n} groups")
+        if not n_open:
+            break
+        groups, narrow = n, brackets.where(is_open)
+        parts = _per_tile(_aimed(grid, narrow), count, "g string, bin long, n long, lo double, hi double")
+        counts = parts.groupBy("g", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        held = held_bins(counts.join(narrow.select("g", "k"), "g"), ["g"], "k").withColumnRenamed("left", "k")
+        brackets = stored(held if n_open == n else brackets.where(~is_open).unionByName(held))
+    return brackets.select("g", (1.0 / (2.0 * F.col("lo") + 1e-6)).alias("gamma"))
 
 
 def mmd_rbf(
@@ -319,21 +344,19 @@ def mmd_rbf(
     Exact over all pairs; `key` identifies a vector. Without `gamma` the median rule sets it per group. Sizes may differ; the value may
     be negative, and is null where a set has one vector.
     """
-    pairs, sizes = block_pairs(reference, candidates, by, key, block_rows)
-    n_ref = sizes.pop(None, 0)
-    gammas = {g: gamma for g in sizes} if gamma is not None else mmd_gammas(pairs, list(sizes))
+    grid, sizes = tiles(reference, candidates, by, key, block_rows)
+    groups = sizes.where("set = 'cand'").select("g", "n")
+    gammas = groups.select("g", F.lit(gamma).cast("double").alias("gamma")) if gamma is not None else mmd_gammas(grid)
 
-    def kernel(kind, g, d2, weight):
-        for t, gam in gammas.items():
-            if kind == "ref" or g == t:
-                yield kind, t, weight * float(np.exp(-gam * d2).sum())
+    def kernel(kind, g, d2, weight, targets):
+        for t in targets:
+            yield kind, t["g"], weight * float(np.exp(-t["gamma"] * d2).sum())
 
-    sums = _per_pair(pairs, kernel, "kind string, g string, s double").groupBy("g").agg(
+    sums = _per_tile(_aimed(grid, gammas), kernel, "kind string, g string, s double").groupBy("g").agg(
         *[F.sum(F.when(F.col("kind") == k, F.col("s")).otherwise(0.0)).alias(f"_{k}") for k in ("ref", "cand", "cross")]
     )
-    info = reference.sparkSession.createDataFrame(
-        [(g, n_ref, n, gammas[g]) for g, n in sizes.items()], "g string, n_ref long, n long, gamma double"
-    )
+    n_ref = sizes.where("set = 'ref'").agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    info = groups.join(gammas, "g").withColumn("n_ref", n_ref)
     n, m = F.col("n_ref"), F.col("n")
     inside = F.try_divide(F.col("_ref"), n * (n - 1)) + F.try_divide(F.col("_cand"), m * (m - 1))  # null for a single vector
     value = inside - 2 * F.try_divide(F.col("_cross"), n * m)
@@ -364,6 +387,20 @@ def pca_2d(df: DataFrame) -> DataFrame:
     return out.select(*df.columns, (scores[0] * signs[0]).alias("pc1"), (scores[1] * signs[1]).alias("pc2"))
 
 
+def pca_plane(df: DataFrame) -> DataFrame:
+    """`pca_2d` of vectors of two components in closed form: the axes are turned by half the angle of (a - c, 2b)."""
+    m = df.transform(plane_moments, []).agg(F.first(F.struct("*"))).scalar()
+    turned = df.withColumn("_m", m).withColumn("_t", F.atan2(2 * F.col("_m.b"), F.col("_m.a") - F.col("_m.c")) / 2)
+    x, y = F.get("vec", F.lit(0)) - F.col("_m.mx"), F.get("vec", F.lit(1)) - F.col("_m.my")
+    cos, sin = F.cos("_t"), F.sin("_t")  # of the first axis, (cos, sin); the second one is (-sin, cos)
+
+    def sign(larger: Column, smaller: Column) -> Column:
+        return F.when(F.when(F.abs(larger) >= F.abs(smaller), larger).otherwise(smaller) >= 0, 1.0).otherwise(-1.0)
+
+    pc1, pc2 = (cos * x + sin * y) * sign(cos, sin), (cos * y - sin * x) * sign(-sin, cos)
+    return turned.select(*df.columns, pc1.alias("pc1"), pc2.alias("pc2"))
+
+
 def fit_probe(train: DataFrame, target: str = "severity", feature: str = "vec"):
     """Least-squares probe target ~ vec, by the normal equations (one pass, D x D)."""
     from pyspark.ml.functions import array_to_vector

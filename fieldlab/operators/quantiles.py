@@ -36,7 +36,7 @@ def bin_of(value: Column, lo: Column, hi: Column, bins: int) -> Column:
     return F.least(F.floor((value - lo) / (hi - lo) * bins), F.lit(bins - 1))
 
 
-def holding_bin(counts: DataFrame, target: Sequence[str], rank: str) -> list:
+def held_bins(counts: DataFrame, target: Sequence[str], rank: str) -> DataFrame:
     """The bin of each target that holds its rank, from rows (target, rank, bin, n, lo, hi): (target, left, lo, hi).
 
     A window holds the bins of one target; one row per target comes back.
@@ -44,7 +44,7 @@ def holding_bin(counts: DataFrame, target: Sequence[str], rank: str) -> list:
     upto = F.sum("n").over(W.partitionBy(*target).orderBy("bin"))
     left = F.col(rank) - (F.col("_upto") - F.col("n"))
     held = counts.withColumn("_upto", upto).withColumn("left", left).where((F.col("left") >= 0) & (F.col(rank) < F.col("_upto")))
-    return held.select(*target, "left", "lo", "hi").collect()
+    return held.select(*target, "left", "lo", "hi")
 
 
 def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callable[[int], list[int]], bins: int = 8192) -> dict:
@@ -76,7 +76,7 @@ def order_statistics(df: DataFrame, by: Sequence[str], value: str, ranks: Callab
         counts = hits.groupBy(*by, "_rank", "_in", bin_of(F.col("_v"), F.col("_lo"), F.col("_hi"), bins).alias("bin")).agg(
             F.count("_v").alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")
         )
-        held = holding_bin(counts, [*by, "_rank"], "_in")
+        held = held_bins(counts, [*by, "_rank"], "_in").collect()  # one row per open target
         return {(tuple(r[c] for c in by), r["_rank"]): (r["left"], r["lo"], r["hi"]) for r in held}
 
     values = refine(locate, targets) | ends

@@ -230,6 +230,26 @@ def frechet_terms(v: Views):
     return distance.frechet_terms(v.ref, v.cand, ["model"])
 
 
+_PLANE_SQL = "SELECT sample_id, source, model, vec[1] + vec[3] AS x, vec[2] - 0.5 * vec[1] AS y FROM v_vec"
+
+
+def _plane(vectors):
+    """Two components per vector that are correlated."""
+    at = [F.get("vec", F.lit(k)) for k in range(3)]
+    return vectors.withColumn("vec", F.array(at[0] + at[2], at[1] - 0.5 * at[0]))
+
+
+@query(
+    "model:s n:i n_ref:i fid:d",
+    f"""WITH p AS ({_PLANE_SQL}), m AS (SELECT CASE WHEN source = 'ref' THEN 'ref' ELSE model END AS g, count(*) AS n, avg(x) AS mx, avg(y) AS my,
+          var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM p GROUP BY 1)
+        SELECT s.g AS model, s.n, r.n AS n_ref, (r.mx - s.mx) ** 2 + (r.my - s.my) ** 2 + r.a + r.c + s.a + s.c - 2 * sqrt(r.a * s.a + 2 * r.b * s.b
+          + r.c * s.c + 2 * sqrt((r.a * r.c - r.b * r.b) * (s.a * s.c - s.b * s.b))) AS fid FROM m s, m r WHERE r.g = 'ref' AND s.g <> 'ref'""",
+)
+def frechet_plane(v: Views):
+    return distance.frechet_plane(_plane(v.ref), _plane(v.cand), ["model"])
+
+
 @query("model:s lead_hours:i n:i n_ref:i fid:d")
 def fid_by_lead(v: Views):
     return distance.frechet(v.ref, v.cand, ["model", "lead_hours"])
@@ -255,9 +275,8 @@ def pairwise_sqdist(v: Views):
 
 @query("model:s gamma:d", f"WITH {_PAIRS_SQL}, {_GAMMA_SQL} SELECT * FROM g")
 def mmd_gamma(v: Views):
-    pairs, sizes = distance.block_pairs(v.ref, v.cand, "model", "sample_id")
-    gammas = distance.mmd_gammas(pairs, [m for m in sizes if m is not None])
-    return v.spark.createDataFrame(list(gammas.items()), "model string, gamma double")
+    grid, _ = distance.tiles(v.ref, v.cand, "model", "sample_id")
+    return distance.mmd_gammas(grid).withColumnRenamed("g", "model")
 
 
 @query(
@@ -335,6 +354,18 @@ def pca2(v: Views):
     return distance.pca_2d(v.vec)
 
 
+@query(
+    "sample_id:i source:s pc1:d pc2:d",
+    f"""WITH p AS ({_PLANE_SQL}), m AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c FROM p),
+          e AS (SELECT *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) AS l FROM m),
+          u AS (SELECT mx, my, (l - c) / sqrt((l - c) ** 2 + b * b) AS ux, b / sqrt((l - c) ** 2 + b * b) AS uy FROM e)
+        SELECT sample_id, source, (ux * (x - mx) + uy * (y - my)) * sign(CASE WHEN abs(ux) >= abs(uy) THEN ux ELSE uy END) AS pc1,
+          (ux * (y - my) - uy * (x - mx)) * sign(CASE WHEN abs(uy) >= abs(ux) THEN -uy ELSE ux END) AS pc2 FROM p, u""",
+)
+def pca_plane(v: Views):
+    return distance.pca_plane(_plane(v.vec))
+
+
 @query("corruption:s mse:d r2:d slope:d intercept:d n:i")
 def probe_fit(v: Views):
     """Per corruption: random severities, features, 80/20 split, linear probe, metrics on the test rows."""
