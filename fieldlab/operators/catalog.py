@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldlab.operators.select import in_ranges
+
 # Aliases in matching order, and the models that are no machine-learning forecasts.
 MODEL_ALIASES = {
     "graphcast": "GraphCast",
@@ -116,8 +118,32 @@ def require_pool(pools: DataFrame, holdout: str) -> DataFrame:
 
 
 def pool_dedup(pools: DataFrame) -> DataFrame:
-    """(holdout, n_files, trained_as): folds with the same file list share the first fold's critic. A list has one entry per file."""
-    lists = pools.groupBy("holdout").agg(F.sort_array(F.collect_set("path")).alias("_p"))
-    keyed = lists.select("holdout", F.size("_p").alias("n_files"), F.md5(F.array_join("_p", "|")).alias("_k"))
-    first = keyed.groupBy("_k").agg(F.min("holdout").alias("trained_as"))
-    return keyed.join(first, "_k").drop("_k")
+    """(holdout, n_files, trained_as): folds with the same files share the first fold's critic.
+
+    Folds are compared by order-free digests of their files (count, sum and exclusive or of hashes), which are plain aggregates; a fold
+    whose digests agree with an earlier one is confirmed file by file, by an anti-join.
+    """
+    files = pools.select("holdout", "path").distinct()
+    h = F.xxhash64("path")
+    digest = files.groupBy("holdout").agg(F.count("*").alias("n_files"), F.sum(h.cast("decimal(38, 0)")).alias("_s"), F.bit_xor(h).alias("_x"))
+    keys = ["n_files", "_s", "_x"]
+    alike = digest.join(digest.groupBy(*keys).agg(F.min("holdout").alias("trained_as")), keys).select("holdout", "n_files", "trained_as")
+    shared = alike.where(F.col("holdout") != F.col("trained_as"))
+    theirs = files.select(F.col("holdout").alias("trained_as"), "path")
+    unlike = files.join(shared, "holdout").join(theirs, ["trained_as", "path"], "left_anti").select("holdout").distinct()
+    marked = alike.join(unlike.withColumn("_unlike", F.lit(True)), "holdout", "left")
+    return marked.select("holdout", "n_files", F.when(F.col("_unlike"), F.col("holdout")).otherwise(F.col("trained_as")).alias("trained_as"))
+
+
+def holdout_pairs(times: DataFrame, train: Sequence, test: Sequence) -> DataFrame:
+    """(source, test_range, n_train, n_test) of every source with times in the train ranges and in that test range, from times(source,
+    init_time). Test ranges are numbered from 0.
+    """
+    at = F.col("init_time")
+    where = F.concat(
+        F.when(in_ranges(train, at), F.array(F.lit(-1))).otherwise(F.array().cast("array<int>")),
+        *[F.when(in_ranges([r], at), F.array(F.lit(i))).otherwise(F.array().cast("array<int>")) for i, r in enumerate(test)],
+    )
+    counts = times.distinct().select("source", F.explode(where).alias("test_range")).groupBy("source", "test_range").agg(F.count("*").alias("n_test"))
+    trained = counts.where("test_range = -1").select("source", F.col("n_test").alias("n_train"))
+    return counts.where("test_range >= 0").join(trained, "source").select("source", "test_range", "n_train", "n_test")

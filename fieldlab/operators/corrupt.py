@@ -445,6 +445,19 @@ def disturb(df: DataFrame, name: str, level, seed: int = 0) -> DataFrame:
     return df if fn is None else fn(df, level, seed)
 
 
+def disturbance_sweep(df: DataFrame, levels: dict[str, Sequence[float]] | None = None, seed: int = 0, **options: dict) -> DataFrame:
+    """Each row at every level of every disturbance: adds `disturbance` and `level`. Every disturbance is a branch of its own.
+
+    `options` are those of single disturbances, such as patch={"patch": 4}. Noise needs the variable's `std`.
+    """
+    out = None
+    for name, steps in (DISTURBANCE_LEVELS if levels is None else levels).items():
+        swept = df.select("*", F.lit(name).alias("disturbance"), F.explode(F.array(*[F.lit(float(x)) for x in steps])).alias("level"))
+        part = DISTURBANCES[name](swept, F.col("level"), seed, **options.get(name, {}))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def canonical_disturbance(name: Column) -> Column:
     pairs = [F.lit(x) for kv in DISTURBANCE_ALIASES.items() for x in kv]
     return F.coalesce(F.element_at(F.create_map(*pairs), name), name)

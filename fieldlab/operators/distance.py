@@ -6,7 +6,7 @@ and kernel sums run over tiles of a pair grid that send back sums only.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,12 +35,27 @@ def mean_vector(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return parts.groupBy(*by, "i").agg(F.avg(F.col("_x").cast("double")).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+def merge_as_tree(partial: DataFrame, keys: Sequence[str], merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """One row per key of stored partial(keys, ..., task, turn), the states that tasks have handed over.
+
+    `merge` makes one row with the columns of `schema` of several. Every step merges up to FAN_IN neighbours, and there are as many steps
+    as the number of tasks needs, so no group ever holds more.
+    """
+    tasks, turns = partial.agg(F.coalesce(F.max("task"), F.lit(0)) + 1, F.coalesce(F.max("turn"), F.lit(0)) + 1).first()
+    merged, slots = partial.withColumn("slot", F.col("task") * turns + F.col("turn")).drop("task", "turn"), tasks * turns
+    while slots > 1:
+        merged = merged.withColumn("slot", F.floor(F.col("slot") / FAN_IN)).groupBy(*keys, "slot").applyInPandas(
+            lambda rows: merge(rows).assign(slot=rows["slot"].iloc[0]), f"{schema}, slot long"
+        )
+        slots = -(-slots // FAN_IN)
+    return merged.drop("slot")
+
+
 def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, i, n, mean, row): row i of the sample covariance matrix (ddof 1; null for a single vector).
 
     One pass. A task keeps count, mean and scatter per group, each batch merged by the pairwise update, and hands them over in
-    pieces. The pieces are merged as a tree: every step merges up to FAN_IN neighbours, and there are as many steps as the number of
-    tasks needs, so no group ever holds more. Groups may be any number.
+    pieces, which are merged as a tree. Groups may be any number.
     """
     by = list(by)
     fields = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in df.select(*by).schema)
@@ -72,13 +87,9 @@ def covariance_rows(df: DataFrame, by: Sequence[str]) -> DataFrame:
             slice(start, start + width),
         )
         head["n"], head["mean"], head["part"] = n, [mean], [part.ravel()]
-        return head[[*by, "start", "n", "mean", "part", "slot"]]
+        return head[[*by, "start", "n", "mean", "part"]]
 
-    tasks, turns = partial.agg(F.coalesce(F.max("task"), F.lit(0)) + 1, F.coalesce(F.max("turn"), F.lit(0)) + 1).first()
-    merged, slots = partial.withColumn("slot", F.col("task") * turns + F.col("turn")).drop("task", "turn"), tasks * turns
-    while slots > 1:
-        merged = merged.withColumn("slot", F.floor(F.col("slot") / FAN_IN)).groupBy(*by, "start", "slot").applyInPandas(merge, f"{schema}, slot long")
-        slots = -(-slots // FAN_IN)
+    merged = merge_as_tree(partial, [*by, "start"], merge, schema)
     rows = let(
         F.struct("part", "mean"),
         lambda s: F.transform(

@@ -52,13 +52,18 @@ def reverse_kl_conjugate(v: Column) -> Column:
     return v - 1.0
 
 
-def reverse_kl(reference: DataFrame, candidates: DataFrame, by: Sequence[str]) -> DataFrame:
+def reverse_kl(reference: DataFrame, candidates: DataFrame, by: Sequence[str], real_by: Sequence[str] = ()) -> DataFrame:
     """S(Q) = E_X[T] - E_Q[f*(T)] per candidate group, with the standard error in quadrature.
 
-    The reference term is one row, read as a scalar subquery; an empty reference is an error.
+    The reference term is one row, read as a scalar subquery, or one row for each value of `real_by` (among `by`, such as the critic). A
+    group without reference samples is an error.
     """
-    real = reference.agg(mean_stderr(reverse_kl_critic(F.col("logit"))).alias("e")).scalar()
-    fake = expectation(candidates, by, reverse_kl_conjugate).withColumn("_r", real)
+    fake = expectation(candidates, by, reverse_kl_conjugate)
+    if real_by:
+        real = reference.groupBy(*real_by).agg(mean_stderr(reverse_kl_critic(F.col("logit"))).alias("_r"))
+        fake = fake.join(real, list(real_by), "left")
+    else:
+        fake = fake.withColumn("_r", reference.agg(mean_stderr(reverse_kl_critic(F.col("logit"))).alias("e")).scalar())
     real_mean = F.when(F.col("_r.n") > 0, F.col("_r.mean")).otherwise(F.raise_error(F.lit("no reference samples")).cast("double"))
     spread = F.sqrt(F.col("_r.stderr") * F.col("_r.stderr") + F.col("stderr") * F.col("stderr"))
     return fake.select(*by, (real_mean - F.col("mean")).alias("score"), spread.alias("stderr"), "n")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from fieldlab.operators import assemble, catalog, compose, critic, masks, scores, select, stats, tokens
 from fieldlab.plans.registry import query
 from fieldlab.functions.keyed import uniform_value
-from fieldlab.functions.reuse import materialize
-from fieldlab.plans.views import CHANNELS, FORECAST_LEADS, TRAIN, VARIABLES, Views, digest_sql, uniform_sql
+from fieldlab.functions.reuse import materialize, stored
+from fieldlab.plans.views import CHANNELS, FORECAST_LEADS, TEST, TRAIN, VARIABLES, Views, digest_sql, in_range_sql, ranges_sql, uniform_sql
 
 _LEADS = "(6, 12, 24, 48, 96, 192)"
 _FAKE_SQL = f"""SELECT source, init_time, lead_hours, row_number() OVER (ORDER BY source, init_time, lead_hours) - 1 AS idx
@@ -395,27 +395,60 @@ def critic_fit(v: Views):
 
 @query("critic:s source:s lead_hours:i mean_logit:d std_logit:d n:i")
 def kfold_critics(v: Views):
-    """One critic per left-out model, scored on the reference and on the model it never saw."""
-    models = sorted(r.model for r in v.cand.select("model").distinct().collect())  # a handful of model names
-    pools = {m: [x for x in models if x != m] for m in models}
-    fitted = critic.kfold_critics(v.vec, pools)
-    return scores.logit_curve(critic.own_holdout_scores(v.vec, fitted), ["critic", "source", "lead_hours"])
+    """One critic per left-out model and one of the full pool, fitted together; a fold's critic is scored on the reference and on the model
+    it never saw, the full pool's on everything.
+    """
+    vecs = v.vec.withColumn("model", F.when(F.col("label") == 0, F.col("model")))
+    fitted = critic.fit_folds(critic.left_out_folds(vecs))
+    mine = lambda fold: (F.col("label") == 1) | (fold == F.col("model")) | (fold == catalog.FULL_POOL)
+    return scores.logit_curve(critic.score_folds(vecs, fitted, mine), ["critic", "source", "lead_hours"])
 
 
-@query("critic:s source:s lead_hours:i mean_logit:d std_logit:d n:i")
+@query(
+    "fold:s i:i gradient:d n:i",
+    """WITH m AS (SELECT DISTINCT model AS fold FROM v_vec WHERE label = 0 UNION ALL SELECT 'full_pool')
+       SELECT fold, i, avg((0.5 - label) * value) AS gradient, count(*) AS n FROM v_dims JOIN m ON label = 1 OR model <> fold GROUP BY 1, 2""",
+)
+def kfold_gradients(v: Views):
+    """The gradient of every fold's loss where the fit begins, at weights 0."""
+    vecs = v.vec.withColumn("model", F.when(F.col("label") == 0, F.col("model")))
+    rows = critic.left_out_folds(vecs).select(F.explode("folds").alias("fold"), "label", "vec")
+    parts = rows.select("fold", F.posexplode("vec").alias("i", "x"), "label")
+    return parts.groupBy("fold", "i").agg(F.avg((0.5 - F.col("label")) * F.col("x")).alias("gradient"), F.count("*").alias("n"))
+
+
+_RANGE_OF = " ".join(f"WHEN {' AND '.join(c for c in (lo and f'init_time >= TIMESTAMP {lo!r}', hi and f'init_time < TIMESTAMP {hi!r} + INTERVAL 1 DAY') if c)} THEN {i}" for i, (lo, hi) in enumerate(TEST))
+
+
+@query(
+    "source:s test_range:i n_train:i n_test:i",
+    f"""WITH t AS (SELECT DISTINCT source, init_time FROM v_grid),
+        a AS (SELECT source, count(*) AS n_train FROM t, {ranges_sql(TRAIN)} WHERE {in_range_sql()} GROUP BY 1),
+        b AS (SELECT source, CASE {_RANGE_OF} END AS test_range, count(*) AS n_test FROM t WHERE CASE {_RANGE_OF} END IS NOT NULL GROUP BY 1, 2)
+        SELECT source, test_range, n_train, n_test FROM a JOIN b USING (source)""",
+)
+def holdout_pairs(v: Views):
+    return catalog.holdout_pairs(v.grid.select("source", "init_time"), TRAIN, TEST)
+
+
+@query("critic:s test_range:i source:s lead_hours:i mean_logit:d std_logit:d n:i")
 def temporal_holdout(v: Views):
-    """Per forecast source: a critic fitted on the train ranges, scored per lead on the later years."""
-    z = stats.normalize(v.grid, stats.train_stats(v.grid, TRAIN, VARIABLES))
-    wide = compose.pivot_channels(z.drop("lat", "lon"), VARIABLES)
-    cells = materialize(wide.withColumn("vec", F.array(*VARIABLES)).withColumn("label", (F.col("source") == "N").cast("int")).drop(*VARIABLES))
-    train = cells.where(select.in_ranges(TRAIN, F.col("init_time")))
-    test = cells.where(select.in_ranges([["2001-01-01", None]], F.col("init_time")))
-    out = None
-    for model in ("A", "R"):
-        fitted = critic.fit_critic(train.where(F.col("source").isin("N", model)), reg=0.01)
-        scored = critic.score_critic(test.where(F.col("source").isin("N", model)), {model: fitted})
-        out = scored if out is None else out.unionByName(scored)
-    return scores.logit_curve(out, ["critic", "source", "lead_hours"])
+    """Per forecast source that has train and test times: a critic on snapshot features of the train ranges, all fitted together, and its
+    scores per test range and lead, on that source and on the reference.
+    """
+    z = stats.normalize(v.stored_grid, stats.train_stats(v.stored_grid, TRAIN, VARIABLES))
+    means = [F.avg(F.when(F.col("variable") == name, F.col("value"))) for name in VARIABLES]
+    snapshots = z.groupBy("source", "init_time", "lead_hours").agg(F.array(*[F.coalesce(m, F.lit(0.0)) for m in means]).alias("vec"))
+    snapshots = stored(snapshots.withColumn("label", (F.col("source") == "N").cast("int")))
+    pairs = stored(catalog.holdout_pairs(snapshots.select("source", "init_time"), TRAIN, TEST))
+    named = pairs.where("source <> 'N'").agg(F.sort_array(F.collect_set("source"))).scalar()  # the few forecast sources
+    mine = F.when(F.col("label") == 1, F.col("_m")).otherwise(F.array_intersect("_m", F.array("source")))
+    train = snapshots.where(select.in_ranges(TRAIN, F.col("init_time"))).withColumn("_m", named).withColumn("folds", mine)
+    fitted = critic.fit_folds(train.drop("_m"))
+    tests = [snapshots.where(select.in_ranges([r], F.col("init_time"))).withColumn("test_range", F.lit(i)) for i, r in enumerate(TEST)]
+    test = tests[0].unionByName(tests[1]).unionByName(tests[2]).join(pairs.select("source", "test_range"), ["source", "test_range"], "left_semi")
+    scored = critic.score_folds(test, fitted, lambda fold: (F.col("label") == 1) | (fold == F.col("source")))
+    return scores.logit_curve(scored, ["critic", "test_range", "source", "lead_hours"])
 
 
 @query(

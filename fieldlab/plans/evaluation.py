@@ -8,7 +8,7 @@ from fieldlab.functions.keyed import uniform
 from fieldlab.functions.reuse import materialize
 from fieldlab.operators import compose, corrupt, critic, distance, quantiles, scores, select, stats, tokens
 from fieldlab.plans.assembly import BASIS
-from fieldlab.plans.corruption import _NOISE8
+from fieldlab.plans.corruption import _NOISE8, _blur_sql
 from fieldlab.plans.registry import query
 from fieldlab.plans.views import CHANNELS, CRITICS, DIM, TEST, TRAIN, VARIABLES, Views, digest_sql, in_range_sql, ranges_sql
 
@@ -25,30 +25,41 @@ def logits_by_lead(v: Views):
     return scores.logit_curve(v.logit, ["critic", "source", "lead_hours"])
 
 
+_BLURRED_SQL = " UNION ALL ".join(
+    f"SELECT sample_id, y * 8 + x AS pos, 'blur' AS disturbance, {x} AS level, value FROM ({_blur_sql('SELECT * FROM v_cell8', x)})"
+    for x in corrupt.DISTURBANCE_LEVELS["blur"] if x > 0
+)
+_SHARES = "(SELECT unnest([0, 0.05, 0.15, 0.3, 0.5]) AS l)"
+
+
 @query(
     "critic:s disturbance:s level:d mean_logit:d std_logit:d n:i",
-    f"""WITH f AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM v_cell8 WINDOW w AS (PARTITION BY sample_id)),
+    f"""WITH f AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS sd, min(value) OVER w AS lo, max(value) OVER w AS hi,
+                stddev_pop(value) OVER (PARTITION BY variable) AS std, row_number() OVER (PARTITION BY sample_id ORDER BY
+                {digest_sql(0, "'dpick'", "sample_id", "variable", "pos")}) AS r FROM v_cell8 WINDOW w AS (PARTITION BY sample_id)),
+        p AS (SELECT sample_id, p, row_number() OVER (PARTITION BY sample_id ORDER BY {digest_sql(0, "'dpatch'", "sample_id", "'f' || sample_id % 2", "p")}) AS pr
+              FROM (SELECT sample_id, unnest(range(16)) AS p FROM v_vec)),
+        g AS ({_blur_sql(f"SELECT sample_id, y, x, {_NOISE8.format('dgrf')} AS value FROM v_cell8", 2.0)}),
+        z AS (SELECT sample_id, y * 8 + x AS pos, (value - avg(value) OVER w) / (stddev_pop(value) OVER w + 1e-8) AS zz FROM g WINDOW w AS (PARTITION BY sample_id)),
         d AS (SELECT sample_id, pos, 'quant' AS disturbance, l AS level,
                 CASE WHEN l >= 256 OR hi = lo THEN value ELSE round_even((value - lo) / (hi - lo) * (l - 1), 0) / (l - 1) * (hi - lo) + lo END AS value
               FROM f, (SELECT unnest([256, 64, 32, 16, 8, 4]) AS l)
-              UNION ALL SELECT sample_id, pos, 'noise', l, value + l * std * {_NOISE8.format('dnoise')}
-              FROM (SELECT *, stddev_pop(value) OVER (PARTITION BY variable) AS std FROM v_cell8), (SELECT unnest([0, 0.1, 0.3, 0.6, 1.0]) AS l)),
-        g AS (SELECT c, sample_id, disturbance, level, sum(value * w[CAST(pos AS INTEGER) + 1]) AS logit FROM d,
+              UNION ALL SELECT sample_id, pos, 'noise', l, value + l * std * {_NOISE8.format('dnoise')} FROM f, (SELECT unnest([0, 0.1, 0.3, 0.6, 1.0]) AS l)
+              UNION ALL SELECT f.sample_id, f.pos, 'grf', l, value + l * std * zz FROM f JOIN z USING (sample_id, pos), (SELECT unnest([0, 0.1, 0.3, 0.6, 1.0]) AS l)
+              UNION ALL SELECT sample_id, pos, 'replace', l, CASE WHEN r <= floor(l * 64) THEN m + sd * {_NOISE8.format('dfresh')} ELSE value END FROM f, {_SHARES}
+              UNION ALL SELECT f.sample_id, pos, 'patch', l, CASE WHEN pr <= floor(l * 16) THEN m ELSE value END
+              FROM f JOIN p ON p.sample_id = f.sample_id AND p.p = (y // 2) * 4 + x // 2, {_SHARES}
+              UNION ALL SELECT sample_id, pos, 'blur', 0, value FROM f UNION ALL {_BLURRED_SQL}),
+        s AS (SELECT c, sample_id, disturbance, level, sum(value * w[CAST(pos AS INTEGER) + 1]) AS logit FROM d,
               (VALUES {", ".join(f"('c{c}', {critic.keyed_weights(c, DIM)})" for c in range(CRITICS))}) AS cr(c, w) GROUP BY 1, 2, 3, 4)
-        SELECT c AS critic, disturbance, level, avg(logit) AS mean_logit, stddev_pop(logit) AS std_logit, count(*) AS n FROM g GROUP BY 1, 2, 3""",
+        SELECT c AS critic, disturbance, level, avg(logit) AS mean_logit, stddev_pop(logit) AS std_logit, count(*) AS n FROM s GROUP BY 1, 2, 3""",
 )
 def logits_by_disturbance(v: Views):
-    """Every sample at every level of two disturbances, scored by every critic."""
-    std = stats.field_stats(compose.to_cells(v.snap8)).select("variable", "std")
-    fields = v.snap8.join(std, "variable")
-    out = None
-    for name in ("quant", "noise"):
-        levels = F.array(*[F.lit(float(x)) for x in corrupt.DISTURBANCE_LEVELS[name]])
-        swept = fields.select("*", F.lit(name).alias("disturbance"), F.explode(levels).alias("level"))
-        part = corrupt.disturb(swept, name, F.col("level"))
-        out = part if out is None else out.unionByName(part)
+    """Every sample at every level of all six disturbances, scored by every critic."""
+    fields = v.snap8.join(stats.snapshot_stats(v.snap8).select("variable", "std"), "variable")
+    swept = corrupt.disturbance_sweep(fields, patch={"patch": 2})
     critics = {f"c{c}": (critic.keyed_weights(c, DIM), 0.0) for c in range(CRITICS)}
-    scored = critic.score_critic(out.select("sample_id", "disturbance", "level", "values"), critics, vec="values")
+    scored = critic.score_critic(swept.select("sample_id", "disturbance", "level", "values"), critics, vec="values")
     return scores.logit_curve(scored, ["critic", "disturbance", "level"])
 
 
@@ -109,6 +120,17 @@ def reverse_kl_by_lead(v: Views):
     return scores.reverse_kl(reference, scored.where((F.col("source") != "N") & (F.col("lead_hours") > 0)), ["source", "lead_hours"])
 
 
+@query(
+    "critic:s model:s lead_hours:i score:d stderr:d n:i",
+    f"""WITH r AS (SELECT critic, avg({_REAL_T}) AS m, coalesce(stddev_samp({_REAL_T}) / sqrt(count(*)), 0) AS e FROM v_logit WHERE label = 1 GROUP BY 1)
+        SELECT l.critic, model, lead_hours, r.m - avg(logit - 1) AS score, sqrt(r.e * r.e + pow(coalesce(stddev_samp(logit) / sqrt(count(*)), 0), 2)) AS stderr,
+          count(*) AS n FROM v_logit l JOIN r ON r.critic = l.critic WHERE label = 0 GROUP BY l.critic, model, lead_hours, r.m, r.e""",
+)
+def reverse_kl_per_critic(v: Views):
+    """Every critic has a real term of its own."""
+    return scores.reverse_kl(v.logit.where("label = 1"), v.logit.where("label = 0"), ["critic", "model", "lead_hours"], real_by=["critic"])
+
+
 _CW = f"{critic.keyed_weights(0, DIM)}"
 
 

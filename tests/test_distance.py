@@ -212,10 +212,84 @@ def test_pooling_and_encoder(spark, snapshots):
 def test_fit_critic_separates(spark, sets):
     x, y, _ = sets
     df = frame(spark, x).withColumn("label", F.lit(1)).unionByName(frame(spark, y + 3, "y", 500).withColumn("label", F.lit(0)))
-    fitted = critic.kfold_critics(df.withColumnRenamed("g", "model"), {"a": ["y"], "b": ["y"]})
-    assert fitted["a"] is fitted["b"]
-    scored = critic.score_critic(df, {"a": fitted["a"]})
+    fitted = critic.fit_folds(critic.pooled_folds(df.withColumnRenamed("g", "model"), {"a": ["y"], "b": ["y"]}))
+    both = {r.fold: r for r in fitted.collect()}
+    assert both["a"].weights == both["b"].weights and both["a"].n == 160
+    scored = critic.score_folds(df, fitted, lambda fold: fold == "a")
     right = scored.where((F.col("logit") > 0).cast("int") == F.col("label")).count()
-    assert right > 0.8 * scored.count()
+    assert right > 0.8 * scored.count() and {r.critic for r in scored.collect()} == {"a"}
     with pytest.raises(ValueError):
-        critic.kfold_critics(df.withColumnRenamed("g", "model"), {"a": []})
+        critic.pooled_folds(df.withColumnRenamed("g", "model"), {"a": []})
+
+
+def test_folds_fitted_together_equal_single_fits(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(240, 3))
+    models = ["real" if i % 2 else "abc"[i // 2 % 3] for i in range(240)]
+    y = np.array([1.0 if m == "real" else 0.0 for m in models])
+    x[y == 1] += 0.4
+    rows = [(i, m, int(t), v.tolist()) for i, (m, t, v) in enumerate(zip(models, y, x))]
+    df = spark.createDataFrame(rows, "sample_id long, model string, label int, vec array<double>").repartition(7)
+    got = {r.fold: r for r in critic.fit_folds(critic.left_out_folds(df), reg=0.05).collect()}
+    assert set(got) == {"a", "b", "c", "full_pool"}
+    for fold, r in got.items():
+        use = np.array([m != fold for m in models])
+        xs, ys, w = np.hstack([x[use], np.ones((use.sum(), 1))]), y[use], np.zeros(4)
+        ridge = np.array([0.05, 0.05, 0.05, 0.0])
+        for _ in range(20000):  # plain gradient descent
+            w -= 0.5 * (xs.T @ (1 / (1 + np.exp(-xs @ w)) - ys) / len(ys) + ridge * w)
+        np.testing.assert_allclose([*r.weights, r.intercept], w, atol=1e-7)
+        assert r.n == use.sum()
+
+
+def test_moments_merge_as_a_deep_tree(spark, sets, monkeypatch):
+    monkeypatch.setattr(distance, "FAN_IN", 2)
+    monkeypatch.setattr(distance, "STATE_DOUBLES", 1)  # every batch is handed over
+    x, y, _ = sets
+    df = frame(spark, x, "x", parts=9).unionByName(frame(spark, y, "y", 100, parts=4))
+    got = {(r.g, r.i): r for r in distance.covariance_rows(df, ["g"]).collect()}
+    for name, data in (("x", x), ("y", y)):
+        for i in range(6):
+            np.testing.assert_allclose(got[(name, i)].row, np.cov(data, rowvar=False)[i], rtol=1e-9)
+
+
+def test_closed_forms_for_two_components(spark):
+    rng = np.random.default_rng(21)
+    x, y = rng.normal(size=(50, 2)) @ [[2.0, 0.7], [0.0, 0.5]], rng.normal(size=(40, 2)) @ [[0.3, -0.4], [0.1, 1.0]] + 2
+    line = np.outer(rng.normal(size=30), [1.0, 2.0])  # covariance without inverse
+    cand = frame(spark, y, "y").unionByName(frame(spark, line, "line", 200)).unionByName(frame(spark, x, "same", 400))
+    plane = {r.g: r.fid for r in distance.frechet_plane(frame(spark, x), cand, ["g"]).collect()}
+    whole = {r.g: r.fid for r in distance.frechet(frame(spark, x), cand, ["g"]).collect()}
+    assert all(abs(plane[g] - whole[g]) < 1e-6 for g in ("y", "line", "same")) and abs(plane["y"] - frechet_by_general_root(x, y)) < 1e-8
+    for data in (x, y, line):
+        a = {r.sample_id: (r.pc1, r.pc2) for r in distance.pca_plane(frame(spark, data)).collect()}
+        b = {r.sample_id: (r.pc1, r.pc2) for r in distance.pca_2d(frame(spark, data)).collect()}
+        np.testing.assert_allclose([a[k] for k in sorted(a)], [b[k] for k in sorted(b)], atol=1e-8)
+
+
+def test_tiles_of_many_strips(spark, sets):
+    x, y, _ = sets
+    grid, sizes = distance.tiles(frame(spark, x), frame(spark, y, "y"), "g", "sample_id", block_rows=20)
+    strips = {r.set: r.strips for r in sizes.collect()}
+    kinds = {k: grid.where(F.col("kind") == k).count() for k in ("ref", "cand", "cross")}
+    assert strips == {"ref": 5, "cand": 4} and kinds == {"ref": 15, "cand": 10, "cross": 20}
+
+
+def test_histogram_of_arrays(spark):
+    rng = np.random.default_rng(2)
+    data = rng.normal(size=(30, 6, 6))
+    data[0] = 1.0  # a flat field has no power at all
+    rows = [(i, "ab"[i % 2], "v", 6, 6, f.ravel().tolist()) for i, f in enumerate(data)]
+    df = spark.createDataFrame(rows, "sample_id long, source string, variable string, h int, w int, values array<double>").repartition(5)
+    got = {(r.source, r.bin): r for r in spectra.psd_histogram(df, edges=11).collect()}
+    power = np.abs(np.fft.fft2(data - data.mean((1, 2), keepdims=True)))
+    power[:, 0, 0] = 0
+    power[0] = 0
+    logs = [np.log10(power[i::2][power[i::2] > 0]) for i in range(2)]
+    lo, hi = min(m.min() for m in logs), max(m.max() for m in logs)
+    for k, m in enumerate(logs):
+        n = np.bincount(np.minimum(((m - lo) / ((hi - lo) / 10)).astype(int), 9), minlength=10)
+        assert {b: int(c) for b, c in enumerate(n) if c} == {b: r.n for (s, b), r in got.items() if s == "ab"[k]}
+    mean = {(r.source, r.ky, r.kx): r.log_power for r in spectra.psd_2d(df).collect()}
+    want = np.fft.fftshift(np.log10(power[1::2] ** 2 + 1e-8).mean(0))
+    np.testing.assert_allclose([mean["b", y, x] for y in range(6) for x in range(6)], want.ravel(), atol=1e-9)
