@@ -50,6 +50,20 @@ def balanced_epoch(spark: SparkSession, n_real: int, n_fake: int, augment: bool
     return slots.select("slot", (F.col("category") == "real").cast("int").alias("label"), "category", idx.alias("idx"))
 
 
+def epoch_samples(epoch: DataFrame, real: DataFrame, fake: DataFrame) -> DataFrame:
+    """The epoch's slots with the samples they stand for: adds source, init_time and lead_hours from real and fake rows (idx, source,
+    init_time, lead_hours). Real and corrupted_real slots take reals, the others fakes; a join on a unique key.
+    """
+    keys = ["idx", "source", "init_time", "lead_hours"]
+    samples = real.select(*keys, F.lit(True).alias("_real")).unionByName(fake.select(*keys, F.lit(False).alias("_real")))
+    return epoch.withColumn("_real", F.col("category").isin("real", "corrupted_real")).join(samples, ["_real", "idx"]).drop("_real")
+
+
+def with_fields(plan: DataFrame, fields: DataFrame) -> DataFrame:
+    """Slots of `epoch_samples` with the fields of their samples, from rows (source, init_time, lead_hours, ...)."""
+    return plan.join(fields, ["source", "init_time", "lead_hours"])
+
+
 def epoch_composition(epoch: DataFrame) -> DataFrame:
     return epoch.groupBy("label", "category").agg(F.count(F.lit(1)).alias("n"))
 

@@ -105,15 +105,35 @@ def context_masks(
     The constraint loosens by one target after every 20 failed attempts. Lists are cut to the shortest of the batch.
     """
     size = block_size(uniform(seed, "context", F.col("batch")), rows, cols, scale, (1.0, 1.0))
-    key = (seed, "context", F.col("batch"), F.col("sample_id"))
-    n = 0 if allow_overlap else n_targets
+    block = _context_block((seed, "context", F.col("batch"), F.col("sample_id")), size, rows, cols, 0 if allow_overlap else n_targets)
+    return _cut_to_shortest(masked.withColumn("context", block), "context")
+
+
+def _context_block(key: tuple, size: Column, rows: int, cols: int, n_targets: int) -> Column:
     levels = []
-    for level in range(n):
-        blocked = F.flatten(F.slice("targets", F.lit(1), F.lit(n - level)))
+    for level in range(n_targets):
+        blocked = F.flatten(F.slice("targets", F.lit(1), F.lit(n_targets - level)))
         levels.append(_first_valid(key, size, rows, cols, blocked, 1 + level * ATTEMPTS)["kept"])
-    free = _first_valid(key, size, rows, cols, None, 1 + n * ATTEMPTS)["kept"]
+    free = _first_valid(key, size, rows, cols, None, 1 + n_targets * ATTEMPTS)["kept"]
     bad = F.raise_error(F.lit(f"block of at most {MIN_KEEP} patches can never be valid")).cast("array<int>")
-    return _cut_to_shortest(masked.withColumn("context", F.coalesce(*levels, free, bad)), "context")
+    return F.coalesce(*levels, free, bad)
+
+
+def context_blocks(
+    masked: DataFrame, rows: int, cols: int, n_contexts: int, n_targets: int = 4, scale=(0.85, 1.0), allow_overlap: bool = False, seed: int = 0
+) -> DataFrame:
+    """Add `contexts`: several large blocks of one size, each drawn like the one of `context_masks`. All lists of a batch are cut to the
+    shortest of them.
+    """
+    size = block_size(uniform(seed, "contexts", F.col("batch")), rows, cols, scale, (1.0, 1.0))
+    drawn = masked
+    for k in range(n_contexts):  # a column each, so that a block is drawn once
+        key = (seed, "contexts", F.col("batch"), F.col("sample_id"), F.lit(k))
+        drawn = drawn.withColumn(f"_c{k}", _context_block(key, size, rows, cols, 0 if allow_overlap else n_targets))
+    drawn = drawn.select(*masked.columns, F.array(*[F.col(f"_c{k}") for k in range(n_contexts)]).alias("contexts"))
+    shortest = F.min(F.array_min(F.transform("contexts", F.size))).over(W.partitionBy("batch"))
+    cut = drawn.withColumn("_len", shortest)
+    return cut.withColumn("contexts", F.transform("contexts", lambda c: F.slice(c, F.lit(1), F.col("_len")))).drop("_len")
 
 
 def world_band_masks(

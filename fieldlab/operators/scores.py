@@ -33,6 +33,23 @@ def baseline_curve(own: DataFrame, baseline: DataFrame) -> DataFrame:
     return a.join(b, ["critic", "lead_hours"], "left")
 
 
+def kfold_evaluation(scored: DataFrame, holdout: str, skip: Sequence[str] = (), baseline: Sequence[str] = ()) -> DataFrame:
+    """Lead curves of every critic on the model it never saw, beside the critic's reference band and its curve of the numerical baseline.
+
+    scored(critic, model, label, lead_hours, logit); `holdout` names the column with a critic's left-out model, null for the full pool,
+    whose curve has every model. Critics in `skip` are left out. Baseline columns are null where the baseline lacks a lead.
+    """
+    rows = scored.where(~F.col("critic").isin(list(skip)))
+    numeric = F.col("model").isin(list(baseline))
+    fakes = rows.where((F.col("label") == 0) & ~numeric)
+    own = logit_curve(fakes.where(F.col(holdout).isNull() | (F.col(holdout) == F.col("model"))), ["critic", "model", "lead_hours"])
+    real = logit_curve(rows.where(F.col("label") == 1), ["critic"]).select("critic", F.col("mean_logit").alias("ref_mean"), F.col("std_logit").alias("ref_std"))
+    base = logit_curve(rows.where((F.col("label") == 0) & numeric), ["critic", "lead_hours"]).select(
+        "critic", "lead_hours", F.col("mean_logit").alias("base_mean"), F.col("std_logit").alias("base_std")
+    )
+    return own.join(real, "critic", "left").join(base, ["critic", "lead_hours"], "left")
+
+
 def mean_stderr(v: Column) -> Column:
     """struct(mean, stderr, n); the standard error uses ddof 1 and is 0 for one value."""
     stderr = F.coalesce(F.try_divide(F.stddev_samp(v), F.sqrt(F.count(v).cast("double"))), F.lit(0.0))

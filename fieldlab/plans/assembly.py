@@ -47,6 +47,24 @@ def balanced_epoch(v: Views):
     return _epoch(v, augment=True)
 
 
+@query(
+    "slot:i label:i category:s source:s init_time:t lead_hours:i variable:s n:i mean:d",
+    f"""WITH e AS ({_EPOCH_SQL.format(_CATEGORY.format("sub"))}),
+        s AS (SELECT true AS rl, idx, 'N' AS source, init_time, 0 AS lead_hours FROM ({_REAL_SQL}) UNION ALL SELECT false, idx, source, init_time, lead_hours FROM ({_FAKE_SQL})),
+        m AS (SELECT source, init_time, lead_hours, variable, count(*) AS n, avg((value - mean) / std) AS mean FROM v_grid JOIN v_stats USING (variable) GROUP BY 1, 2, 3, 4)
+        SELECT slot, label, category, source, init_time, lead_hours, variable, n, mean FROM e
+        JOIN s ON s.idx = e.idx AND s.rl = (category IN ('real', 'corrupted_real')) JOIN m USING (source, init_time, lead_hours)""",
+)
+def epoch_fields(v: Views):
+    """The balanced epoch carried out: every slot with the normalized fields of its sample, shown as their means."""
+    real = stored(assemble.fake_index(v.stored_grid.where((F.col("source") == "N") & (F.col("lead_hours") == 0)), [0]))
+    fake = stored(assemble.fake_index(v.stored_grid.where(F.col("source") != "N"), FORECAST_LEADS))
+    epoch = assemble.balanced_epoch(v.spark, real.count(), fake.count(), augment=True)
+    z = stats.normalize(v.stored_grid, stats.field_stats(v.stored_grid))
+    fields = z.groupBy("source", "init_time", "lead_hours", "variable").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    return assemble.with_fields(assemble.epoch_samples(epoch, real, fake), fields)
+
+
 @query("label:i category:s n:i", f"SELECT label, category, count(*) AS n FROM ({_EPOCH_SQL.format(repr('forecast'))}) GROUP BY 1, 2")
 def epoch_composition(v: Views):
     return assemble.epoch_composition(_epoch(v, augment=False))
@@ -174,6 +192,26 @@ def mask_context(v: Views):
     return found.select("batch", "sample_id", F.explode("context").alias("patch"))
 
 
+@query(
+    "batch:i sample_id:i block:i patch:i",
+    f"""WITH t AS (SELECT sample_id, patch, min(block) AS first_block FROM ({_TARGET_SQL}) GROUP BY 1, 2),
+        e AS (SELECT *, CASE WHEN a > 80 THEN 0 ELSE 4 - (a - 1) // 20 END AS avoid, {_corner_sql("'contexts'", 'batch', 'sample_id', 'block')} FROM (
+          SELECT batch, vec_id AS sample_id, block, a, h, w FROM embeddings JOIN ({_size_sql('contexts', (0.85, 1.0), (1.0, 1.0))}) s
+          ON s.batch = vec_id // 16, range(1, 82) AS r(a), range(3) AS b(block))),
+        k AS (SELECT e.batch, e.sample_id, block, a, p FROM e, range({ROWS * COLS}) AS q(p)
+          WHERE p // {COLS} >= top AND p // {COLS} < top + h AND p % {COLS} >= lft AND p % {COLS} < lft + w
+          AND NOT EXISTS (SELECT 1 FROM t WHERE t.sample_id = e.sample_id AND t.patch = q.p AND t.first_block < e.avoid)),
+        c AS (SELECT sample_id, block, min(a) AS a FROM (SELECT sample_id, block, a FROM k GROUP BY 1, 2, 3 HAVING count(*) > 4) GROUP BY 1, 2),
+        o AS (SELECT k.*, row_number() OVER w AS r, count(*) OVER (PARTITION BY k.sample_id, k.block) AS n
+              FROM k JOIN c ON c.sample_id = k.sample_id AND c.block = k.block AND c.a = k.a WINDOW w AS (PARTITION BY k.sample_id, k.block ORDER BY p))
+        SELECT batch, sample_id, block, p AS patch FROM (SELECT *, min(n) OVER (PARTITION BY batch) AS cut FROM o) WHERE r <= cut""",
+)
+def mask_contexts(v: Views):
+    """Three context blocks per sample."""
+    found = masks.context_blocks(masks.target_masks(_batches(v), ROWS, COLS), ROWS, COLS, 3)
+    return found.select("batch", "sample_id", F.posexplode("contexts").alias("block", "c")).select("batch", "sample_id", "block", F.explode("c").alias("patch"))
+
+
 @query(
     "batch:i sample_id:i patch:i",
     f"""WITH b AS (SELECT vec_id // 16 AS batch, vec_id AS sample_id FROM embeddings),
@@ -459,3 +497,19 @@ def temporal_holdout(v: Views):
 def kfold_lead_curves(v: Views):
     critics = {f"m{5 + c}": (critic.keyed_weights(c, 64), 0.0) for c in range(3)}
     return scores.logit_curve(critic.own_holdout_scores(v.vec, critics), ["critic", "source", "lead_hours"])
+
+
+@query(
+    "critic:s model:s lead_hours:i mean_logit:d std_logit:d n:i ref_mean:d ref_std:d base_mean:d base_std:d",
+    """WITH l AS (SELECT *, CASE critic WHEN 'c0' THEN 'm5' WHEN 'c1' THEN 'm6' END AS holdout FROM v_logit)
+       SELECT a.*, ref_mean, ref_std, base_mean, base_std FROM
+         (SELECT critic, model, lead_hours, avg(logit) AS mean_logit, stddev_pop(logit) AS std_logit, count(*) AS n FROM l
+          WHERE label = 0 AND model <> 'm9' AND (holdout IS NULL OR holdout = model) GROUP BY 1, 2, 3) a
+         LEFT JOIN (SELECT critic AS c, avg(logit) AS ref_mean, stddev_pop(logit) AS ref_std FROM l WHERE label = 1 GROUP BY 1) r ON r.c = a.critic
+         LEFT JOIN (SELECT critic AS c, lead_hours AS h, avg(logit) AS base_mean, stddev_pop(logit) AS base_std FROM l
+                    WHERE label = 0 AND model = 'm9' GROUP BY 1, 2) b ON b.c = a.critic AND b.h = a.lead_hours""",
+)
+def kfold_evaluation(v: Views):
+    """Two folds and the full pool (the last critic), with reference band and numerical baseline beside each curve."""
+    holdout = F.when(F.col("critic") == "c0", "m5").when(F.col("critic") == "c1", "m6")
+    return scores.kfold_evaluation(v.logit.withColumn("holdout", holdout), "holdout", baseline=["m9"])

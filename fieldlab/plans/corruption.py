@@ -168,21 +168,21 @@ def power_severity(v: Views):
 
 @query(
     "sample_id:i corruption:s variable:s severity:d",
-    f"""WITH t AS (SELECT sample_id, ['blur', 'noise', 'pixel_replace', 'wind_rotation']
-          [CAST(floor({uniform_sql(0, "'type'", 'sample_id')} * 4) AS INTEGER) + 1] AS corruption FROM v_vec),
-        p AS (SELECT t.*, s.variable FROM t JOIN ({_SUBSET_SQL}) s USING (sample_id) WHERE corruption <> 'wind_rotation'
-              UNION ALL SELECT t.*, NULL FROM t WHERE corruption = 'wind_rotation')
+    f"""WITH t AS (SELECT sample_id, ['blur', 'noise', 'grf', 'pixel_replace', 'wind_patch_shuffle', 'wind_rotation']
+          [CAST(floor({uniform_sql(0, "'type'", 'sample_id')} * 6) AS INTEGER) + 1] AS corruption FROM v_vec),
+        p AS (SELECT t.*, s.variable FROM t JOIN ({_SUBSET_SQL}) s USING (sample_id) WHERE corruption NOT LIKE 'wind%'
+              UNION ALL SELECT t.*, NULL FROM t WHERE corruption LIKE 'wind%')
         SELECT *, pow({uniform_sql(0, "'severity'", 'sample_id', "coalesce(variable, 'all')")}, 2) AS severity FROM p""",
 )
 def corruption_plan(v: Views):
-    types = ["gaussian_blur", "hf_noise", "pixel_replace", "wind_rotated"]
+    types = ["gaussian_blur", "hf_noise", "gaussian_field_noise", "pixel_replace", "wind_shuffled", "wind_rotated"]
     return corrupt.corruption_plan(v.vec.select("sample_id"), types, CHANNELS)
 
 
 @query(CELL4)
 def corrupt_planned(v: Views):
     """The random policy carried out: each sample by its own type, fields and severities."""
-    types = ["blur", "hf_noise", "pixel_replace", "wind_rotation", "wind_patch_shuffle"]
+    types = ["blur", "hf_noise", "grf", "pixel_replace", "wind_rotation", "wind_patch_shuffle"]
     plan = corrupt.corruption_plan(v.vec.select("sample_id"), types, CHANNELS, 2.0)
     return compose.to_cells(corrupt.apply_plan(v.snap4, plan, types, patch=2))
 

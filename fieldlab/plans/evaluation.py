@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fieldlab.functions.keyed import uniform
-from fieldlab.functions.reuse import materialize
-from fieldlab.operators import compose, corrupt, critic, distance, quantiles, scores, select, stats, tokens
+from fieldlab.functions import times
+from fieldlab.functions.reuse import materialize, stored
+from fieldlab.operators import compose, corrupt, critic, distance, pairing, quantiles, scores, select, stats, tokens
 from fieldlab.plans.assembly import BASIS
+from fieldlab.plans.composition import _DSTATS, _PRIOR
 from fieldlab.plans.corruption import _NOISE8, _blur_sql
 from fieldlab.plans.registry import query
 from fieldlab.plans.views import CHANNELS, CRITICS, DIM, TEST, TRAIN, VARIABLES, Views, digest_sql, in_range_sql, ranges_sql
@@ -342,6 +344,41 @@ def real_vs_forecast(v: Views):
     )
 
 
+_ENCODER = [[2.0 * w for w in critic.keyed_weights(20 + k, 8)] for k in range(2)]
+_CODED = [f"sum(z * {w}[channel + 1])" for w in _ENCODER]
+
+
+@query(
+    "source:s lead_hours:i n:i n_ref:i fid:d",
+    f"""WITH c AS (SELECT source, init_time, lead_hours, list_position(['qty', 'price', 'disc', 'tax'], variable) - 1 + k AS channel, avg(CASE k WHEN 0
+            THEN (value - mean) / std ELSE greatest(least((value - prior_value - dmean) / dstd, 15), -15) END) AS z
+          FROM ({_PRIOR}) JOIN v_stats USING (variable) JOIN ({_DSTATS}) USING (variable), (SELECT unnest([0, 4]) AS k) GROUP BY 1, 2, 3, 4),
+        e AS (SELECT source, init_time, lead_hours, {_CODED[0]} AS x, {_CODED[1]} AS y FROM c GROUP BY 1, 2, 3),
+        n AS (SELECT DISTINCT init_time AS r FROM v_grid WHERE source = 'N' AND lead_hours = 0),
+        v AS (SELECT e.*, (SELECT min(abs(epoch(r) - epoch(e.init_time) - 3600 * e.lead_hours)) FROM n) AS gap FROM e WHERE source <> 'N' AND lead_hours > 0),
+        h AS (SELECT *, row_number() OVER (ORDER BY {digest_sql(4, "'cap'", "strftime(init_time, '%Y-%m-%d')")}, init_time) AS i FROM e WHERE source = 'N' AND lead_hours = 0),
+        m AS (SELECT source, lead_hours, count(*) AS n, avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, covar_samp(x, y) AS b, var_samp(y) AS c
+              FROM (SELECT source, lead_hours, x, y FROM v WHERE gap <= 30 * 86400 UNION ALL SELECT 'N', 0, x, y FROM h WHERE i <= 20) GROUP BY 1, 2)
+        SELECT s.source, s.lead_hours, s.n, r.n AS n_ref, (r.mx - s.mx) ** 2 + (r.my - s.my) ** 2 + r.a + r.c + s.a + s.c - 2 * sqrt(greatest(0, r.a * s.a
+          + 2 * r.b * s.b + r.c * s.c + 2 * sqrt(greatest(0, (r.a * r.c - r.b * r.b) * (s.a * s.c - s.b * s.b))))) AS fid
+        FROM m s, m r WHERE r.source = 'N' AND s.source <> 'N'""",
+)
+def latent_pipeline(v: Views):
+    """From cells to distances: priors by index, phase channels, a linear encoder on field means; the forecasts that have a reference time
+    within 30 days of their valid time, against a random cap of the reference.
+    """
+    pairs = stored(pairing.prior_by_index(v.stored_grid, 2).drop("prior_time", "lat", "lon"))
+    channels = compose.compose(pairs, "phase", VARIABLES, stats.field_stats(v.stored_grid), stats.pair_diff_stats(pairs))
+    means = channels.groupBy("source", "init_time", "lead_hours").agg(*[F.coalesce(F.avg(F.when(F.col("channel") == k, F.col("value"))), F.lit(0.0)).alias(f"_{k}") for k in range(8)])
+    features = F.array(*[F.col(f"_{k}") for k in range(8)])
+    coded = stored(means.select("source", "init_time", "lead_hours", F.array(*[critic.dot(features, w) for w in _ENCODER]).alias("vec")))
+    real = coded.where("source = 'N' and lead_hours = 0").withColumn("day", F.date_format("init_time", "yyyy-MM-dd"))
+    forecast = coded.where("source <> 'N' and lead_hours > 0").withColumn("valid_time", times.valid_time(F.col("init_time"), F.col("lead_hours")))
+    known = v.stored_grid.where("source = 'N' and lead_hours = 0").select(F.col("init_time").alias("at")).distinct().withColumn("id", F.lit(0))
+    matched = pairing.nearest_time(forecast, known, [], "valid_time", "at", "id", 24 * 30)
+    return distance.frechet_plane(select.cap_random(real, "day", 20, seed=4), matched, ["source", "lead_hours"])
+
+
 def _ladder_features(v: Views, types, n_steps: int, max_severity: float):
     """Features of clean reference snapshots and of the same along a corruption ladder, in one job."""
     clean = v.snap4.where(F.col("source") == "ref")
