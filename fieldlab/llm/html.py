@@ -7,7 +7,8 @@ two distinct pages or more is a long substring that repeats. Runs are found by a
 host with a third of all pages is no single task. Blocks outside the main region stay only if they are ordinary text and no repeated
 run covers a token of theirs (or, in a page without a main region, not more than half of their tokens).
 
-Null and empty html: empty text. Pages with the same id, address and html count as one page. A page without address has the host "".
+Runs are told apart by 128 bits of hash. Null and empty html: empty text. `<![` in any form is a comment; an unfinished tag at the end of
+a page is no text. Pages with the same id, address and html count as one page. A page without address has the host "".
 """
 
 from __future__ import annotations
@@ -15,10 +16,13 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest
 
+from fieldlab.functions.reuse import stored
 from fieldlab.llm.common import per_row
 
 SALTS = 32
@@ -94,10 +98,22 @@ class _Blocks(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """`<![...` in any form is a bogus comment, up to the next >."""
+        end = self.rawdata.find(">", i + 3)
+        return -1 if end < 0 else end + 1
+
+
+def _closed(html: str) -> str:
+    """The page without a tag, comment or declaration at its end that no > ends."""
+    last = html.rfind(">") + 1
+    open_tag = re.compile("<[A-Za-z/!?]").search(html, last)
+    return html[: open_tag.start()] if open_tag else html
+
 
 def blocks_of(html: str | None) -> list[tuple[int, str]]:
     parser = _Blocks()
-    parser.feed(html or "")
+    parser.feed(_closed(html or ""))
     parser.close()
     parser._cut()
     return parser.found
@@ -127,23 +143,25 @@ def repeated_places(parsed: DataFrame, depth: int) -> DataFrame:
     """(page, starts): token numbers where a run begins that another page of the host has too."""
 
     def suffixes(frame: pd.DataFrame) -> pd.DataFrame:
-        rows = []
+        heads, pages, starts = [], [], []
         for host, page, regions, texts in zip(frame["host"], frame["page"], frame["regions"], frame["texts"]):
             tokens = [t for _, t in _stream(list(regions), list(texts))]
-            rows += [(host, " ".join(tokens[i : i + depth]), page, i) for i in range(len(tokens) - depth + 1)]
-        return pd.DataFrame(rows, columns=["host", "head", "page", "start"])
+            n = max(0, len(tokens) - depth + 1)
+            heads += [xxh3_128_digest(" ".join((host, *tokens[i : i + depth]))) for i in range(n)]
+            pages.append(np.full(n, page, np.int64))
+            starts.append(np.arange(n, dtype=np.int32))
+        return pd.DataFrame({"run": heads, "page": np.concatenate(pages), "start": np.concatenate(starts)})
 
-    found = per_row(parsed, "host string, head string, page long, start int", ["host", "page", "regions", "texts"], suffixes)
-    found = found.select(F.xxhash64("host", "head").alias("run"), "host", "head", "page", "start")
-    runs = found.groupBy("host", "head").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low != high")
-    spread = runs.select("host", "head", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = found.select("host", "head", "page", "start", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(spread, ["host", "head", "salt"]).groupBy("page").agg(F.collect_set("start").alias("starts"))
+    found = per_row(parsed, "run binary, page long, start int", ["host", "page", "regions", "texts"], suffixes)
+    runs = stored(found.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low != high").select("run"))
+    spread = runs.select("run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = found.select("run", "page", "start", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
+    return salted.join(spread, ["run", "salt"]).groupBy("page").agg(F.collect_set("start").alias("starts"))
 
 
 def extract(pages: DataFrame, depth: int = 6) -> DataFrame:
     """page_id, url, text, n_chars, n_boiler (repeated tokens): one row per row of pages(page_id, url, html)."""
-    parsed = _parsed(pages)
+    parsed = stored(_parsed(pages))  # parsed once, read for the runs and for the result
     joined = parsed.join(repeated_places(parsed, depth), "page", "left")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:

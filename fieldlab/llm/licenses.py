@@ -102,7 +102,7 @@ def rules() -> list[Rule]:
         words = phrase(*name)
         out.append(Rule(label, 1, 0.7, key, words + close))
         out.append(Rule(label, 2, 0.9, key, lead + words + close))
-        out.append(Rule(label, 2, 0.9, "spdx", rf" spdx  license  identifier  {label} (?: \d+ )*"))
+        out.append(Rule(label, 2, 0.9, "spdx", rf" spdx  license  identifier  {label} (?: \d+ ){{0,3}}+"))
         for version in versions:
             numbered = words + (phrase(*version.split()) if "clause" in version else "")
             tail = "" if "clause" in version else "(?: version | v )?" + phrase(*version.split())
@@ -118,7 +118,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, rank, 0.9, "commons", named))
         for version in CC_VERSIONS:
             out.append(Rule(f"{label}-{version.replace(' ', '.')}", rank + 3, 1.0, "cc", phrase("cc", *parts, *version.split())))
-            out.append(Rule(f"{label}-{version.replace(' ', '.')}", rank + 3, 1.0, "commons", named + "(?: international | license )*" + phrase(*version.split())))
+            out.append(Rule(f"{label}-{version.replace(' ', '.')}", rank + 3, 1.0, "commons", named + "(?: international | license ){0,3}+" + phrase(*version.split())))
     out += [Rule(label, 5, 1.0 if label != "reserved" else 0.5, key, phrase(*text.split())) for label, key, text in SENTENCES]
     return out
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from fieldlab.functions.reuse import materialize, stored
 from fieldlab.llm.common import per_row, words_of
+from fieldlab.llm.stars import components
 
 WORDS = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -156,40 +157,27 @@ def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int
     tested = stored(_ordered(pairs))
     found = _verified(rows, tested, similarity)
     placed = stored(placed.join(buckets.select("band", "key"), ["band", "key"], "left_semi").distinct())
-    turn = 0
+    forest, turn = found, 0  # links that connect what is connected: after a turn, one per text
     while True:  # buckets that still hold several classes: other leads, until they link nothing more
         turn += 1
-        label = stored(classes(found))
-        marked = placed.select("band", "key", "id").join(label.select("id", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        label = stored(components(forest))
+        marked = placed.select("band", "key", "id").join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         draw = F.xxhash64("id", "band", F.lit(turn))
         drawn = marked.groupBy("band", "key", F.pmod(draw, F.lit(LEADS)).alias("slot")).agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(draw.alias("by"), "id", "label")).alias("lead")
         )
         several = drawn.groupBy("band", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("lead").alias("leads"))
-        several = several.where("low != high").select("band", "key", F.explode("leads").alias("lead"))
-        placed = stored(marked.join(several, ["band", "key"]))
-        pairs = _ordered(placed.where("label != lead.label").select("id", F.col("lead.id").alias("lead")))
+        several = stored(several.where("low != high").select("band", "key", "leads"))
+        placed = stored(marked.join(several, ["band", "key"]))  # one row per member, with its bucket's leads beside it
+        other = F.explode(F.filter("leads", lambda lead: lead["label"] != F.col("label"))).alias("lead")
+        pairs = _ordered(placed.select("id", other).select("id", F.col("lead.id").alias("lead")))
         fresh = stored(pairs.join(tested, ["low", "high"], "left_anti"))
         more = _verified(rows, fresh, similarity)
         if more.isEmpty():
-            return label
-        placed = placed.select("band", "key", "id").distinct()
+            both = found.select(F.col("low").alias("id")).union(found.select("high"))
+            return label.withColumnRenamed("root", "label").join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
         tested, found = stored(tested.union(fresh)), stored(found.union(more))
-
-
-def classes(edges: DataFrame) -> DataFrame:
-    """(id, label, links): the smallest id of each connected class of (low, high), and how many links an id has."""
-    both = stored(edges.union(edges.select("high", "low")).toDF("id", "other"))
-    degree = both.groupBy("id").agg(F.count("*").alias("links"))
-    labels = stored(both.groupBy("id").agg(F.least(F.col("id"), F.min("other")).alias("label")))
-    while True:
-        lowest = both.join(labels.select(F.col("id").alias("other"), F.col("label").alias("theirs")), "other").groupBy("id").agg(F.min("theirs").alias("best"))
-        beyond = labels.select(F.col("id").alias("label"), F.col("label").alias("beyond"))  # a jump: the label of one's label
-        moved = labels.join(lowest, "id").join(beyond, "label")
-        fresh = stored(moved.select("id", F.least("label", "best", "beyond").alias("label"), F.col("label").alias("old")))
-        labels = fresh.select("id", "label")
-        if fresh.where("label < old").isEmpty():
-            return labels.join(degree, "id")
+        forest = label.select(F.col("root").alias("low"), F.col("id").alias("high")).where("low != high").union(more)
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 3) -> DataFrame:

@@ -28,7 +28,7 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(r"[0-9a-f]{16,}")
 
 PAIR = re.compile(
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,127})(?P=quote)[ \t]*(?::=|=>|[:=])[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;#+]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*))*)""",
+    r"""(?<![A-Za-z0-9_.-])(?P<quote>["']?)[0-9.-]*+(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?P=quote)[ \t]*(?::=|=>|[:=])[ \t]*(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[^\s"',;#+]+)(?:[ \t]*\+[ \t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_][\w.]*))*)""",
     re.ASCII,
 )
 ATOM = re.compile(r""""([^"\n]*)"|'([^'\n]*)'|([^\s"',;#+]+)""")
@@ -40,6 +40,7 @@ SENSITIVE = {
     "credentials": 0.9, "auth": 0.6, "private": 0.6, "access": 0.4, "signing": 0.5, "encryption": 0.5, "key": 0.5, "api": 0.4,
     "bearer": 0.8, "salt": 0.6, "cookie": 0.5, "session": 0.4,
 }
+SHORT = 16  # characters of a value whose text is kept; no harmless word is longer
 HARMLESS = {"example", "changeme", "none", "null", "true", "false", "placeholder", "undefined"}
 
 
@@ -49,35 +50,75 @@ def name_score(name: str) -> float:
     return min(1.0, sum(SENSITIVE.get(p, 0.0) for p in set(parts)))
 
 
-def text_score(text: str) -> float:
+class Value:
+    """What a name stands for: how often it has each character, its length, its text while that is short, and where its literals are.
+
+    Values are joined without their texts, so that constants that double from line to line cost no more than others. Counts are floats
+    and scaled down together once they are huge, which leaves the bits per character as they are.
+    """
+
+    __slots__ = ("counts", "size", "short", "parts")
+
+    def __init__(self, counts: dict[str, float], size: float, short: str | None, parts):
+        self.counts, self.size, self.short, self.parts = counts, size, short, parts
+
+    @classmethod
+    def literal(cls, text: str, span: tuple[int, int]) -> Value:
+        return cls({c: float(n) for c, n in Counter(text).items()}, float(len(text)), text if len(text) <= SHORT else None, span)
+
+    @classmethod
+    def chain(cls, values: list[Value]) -> Value:
+        if len(values) == 1:
+            return values[0]
+        counts: dict[str, float] = {}
+        for v in values:
+            for c, n in v.counts.items():
+                counts[c] = counts.get(c, 0.0) + n
+        size = sum(v.size for v in values)
+        if size > 1e100:
+            counts, size = {c: n / 1e50 for c, n in counts.items()}, size / 1e50
+        short = "".join(v.short for v in values) if size <= SHORT and all(v.short is not None for v in values) else None
+        return cls(counts, size, short, values)
+
+
+def literals(value: Value, seen: set[int]) -> list[tuple[int, int]]:
+    """The spans of a value's literals; `seen` holds the values of this text that were listed before."""
+    todo, spans = [value], []
+    while todo:
+        v = todo.pop()
+        if id(v) not in seen:
+            seen.add(id(v))
+            if isinstance(v.parts, tuple):
+                spans.append(v.parts)
+            else:
+                todo += v.parts
+    return spans
+
+
+def text_score(value: Value) -> float:
     """0 to 1 by length and by bits per character."""
-    if len(text) < 8 or text.lower() in HARMLESS or any(c.isspace() for c in text):
+    n = value.size
+    if n < 8 or (value.short is not None and value.short.lower() in HARMLESS) or any(c.isspace() for c in value.counts):
         return 0.0
-    n = len(text)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(text).values())
+    bits = -sum(c / n * math.log2(c / n) for c in value.counts.values() if c)
     return min(1.0, bits / 3.0) * min(1.0, n / 12)
 
 
-def pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]]]]:
-    """(name, value with constants put in, spans of its literals) of every assignment, in text order."""
+def pairs(text: str) -> list[tuple[str, Value]]:
+    """(name, value with constants put in) of every assignment, in text order."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    constants: dict[str, Value] = {}
     found = []
     for m in PAIR.finditer(text):
-        value, spans = [], []
+        values = []
         for a in ATOM.finditer(text, m.start("value"), m.end("value")):
             group = a.lastindex
-            if group == 3 and a.group(3) in constants:
-                known, where = constants[a.group(3)]
-                value.append(known)
-                spans += where
-            else:
-                value.append(a.group(group))
-                spans.append(a.span(group))
-        joined = "".join(value)
-        constants[m.group("name")] = (joined, spans[:8] if len(spans) > 8 and joined == "" else spans)
-        found.append((m.group("name"), joined, spans))
+            known = constants.get(a.group(3)) if group == 3 else None
+            values.append(known or Value.literal(a.group(group), a.span(group)))
+        value = Value.chain(values) if values else Value({}, 0.0, "", [])
+        constants[m.group("name")] = value
+        found.append((m.group("name"), value))
     return found
 
 
@@ -91,9 +132,11 @@ def scan(text: str | None, threshold: float) -> list[tuple[int, int, str, int]]:
     if "AKIA" in text:
         spans.update((m.start(), 1, "access", m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18)
     spans.update((m.start(), 2, "hex", m.end()) for m in LONG_HEX.finditer(text))  # greedy runs: the long ones are the same
-    for name, value, where in pairs(text):
+    listed: set[int] = set()
+    found = pairs(text)
+    for name, value in found:
         if (weight := name_score(name)) > 0 and weight * text_score(value) >= threshold:
-            spans.update((s, 3, "literal", e) for s, e in where if e > s)
+            spans.update((s, 3, "literal", e) for s, e in literals(value, listed) if e > s)
     return sorted(spans)
 
 

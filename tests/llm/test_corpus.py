@@ -73,6 +73,18 @@ def test_secrets_follow_constants(spark):
     assert got[2].spans == got[3].spans == got[4].spans == ""
 
 
+def test_constants_that_double_cost_nothing(spark):
+    start = 'a = "k9Zq"\n'
+    texts = [start + "a = a + a\n" * n + "db_password = a" for n in (0, 1, 60, 5000)]
+    texts += ["x" * 300 + '_password = "q8Zr1LmX0pYt7"', "n" * 200000, "a-" * 100000, '--db-secret = "q8Zr1LmX0pYt7"']
+    texts.append("c0 = \"k9Zq81Lm\"\n" + "".join(f"c{i} = c{i - 1} + \"w{i}\"\n" for i in range(1, 3000)) + "".join(f"key_token{i} = c2999\n" for i in range(300)))
+    got = result(secrets.find_secrets(frame(spark, texts)))
+    spot = lambda t, x: f"literal:{t.index(x)}:{t.index(x) + len(x)}"
+    assert got[0].n_literal == 0 and all(got[i].spans.split(",")[0] == spot(texts[i], "k9Zq") and got[i].n_literal == 1 for i in (2, 3))
+    assert spot(texts[4], "q8Zr1LmX0pYt7") in got[4].spans and spot(texts[7], "q8Zr1LmX0pYt7") in got[7].spans
+    assert got[5].spans == got[6].spans == "" and got[8].n_literal == 3000
+
+
 # Languages, quality
 
 
@@ -214,9 +226,25 @@ def test_word_histogram_decides(spark):
     assert all(got[i].word_distance > limits[1] for i in range(72, 80))
 
 
+def test_license_numbers_without_end(spark):
+    texts = ["SPDX-License-Identifier: MIT " + "7 " * 10**6, "cc by nc " + "creative commons attribution " + "international license " * 10**5 + "4.0", "SPDX-License-Identifier: MIT 3 words"]
+    got = result(licenses.scan_licenses(frame(spark, texts)))
+    assert got[0].labels == got[2].labels == "mit" and got[0].n_words == 10**6 + 4 and "cc-by" in got[1].labels
+
+
 # Pages
 
 
+def test_malformed_pages(spark):
+    bodies = ["<p>a</p><![1 x]>", "<![foo[ x ]]><p>a</p>", "<p>a</p><![CDATA[ x", "<p>a</p>" + "<div" * 50, "<p>a</p><!", "<p>a</p><!-- x", "<!DOCTYPE [<p>a</p>", "<p>a</p></", "<p>a &lt; b</p> c < d"]
+    rows = [(i, f"http://h{i}.example/", b) for i, b in enumerate(bodies)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == ["a"] * 6 and got[7] == "a" and got[8] == "a < b\nc < d"
+
+
+# Pages, whole
+
+
 def test_pages_against_the_articles(spark):
     """In these pages, the main text is what stands between the article's tags."""
     import html as entities
