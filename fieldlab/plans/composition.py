@@ -295,21 +295,24 @@ def _daily(v: Views):
         F.col("l_returnflag").alias("source"), day.alias("init_time"), lead.alias("lead_hours"),
         (F.col("l_suppkey") % 2).cast("int").alias("y"), (F.col("l_partkey") % 2).cast("int").alias("x"),
     ]
-    means = li.groupBy(*keys).agg(F.avg("l_quantity").alias("qty"), F.avg("l_discount").alias("disc"))
-    return means.unpivot(["source", "init_time", "lead_hours", "y", "x"], ["qty", "disc"], "variable", "value")
+    means = li.groupBy(*keys).agg(
+        F.avg("l_quantity").alias("qty"), F.avg("l_extendedprice").alias("price"), F.avg("l_discount").alias("disc"), F.avg("l_tax").alias("tax")
+    )
+    return means.unpivot(["source", "init_time", "lead_hours", "y", "x"], VARIABLES, "variable", "value")
 
 
-_DAILY_SQL = """SELECT source, init_time, lead_hours, y, x, unnest(['qty', 'disc']) AS variable, unnest([qty, disc]) AS value FROM (SELECT l_returnflag AS source, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS init_time,
+_DAILY_SQL = """SELECT source, init_time, lead_hours, y, x, unnest(['qty', 'price', 'disc', 'tax']) AS variable, unnest([qty, price, disc, tax]) AS value FROM (SELECT l_returnflag AS source, CAST(date_trunc('day', l_shipdate) AS TIMESTAMP) AS init_time,
   CASE l_linenumber WHEN 1 THEN 0 WHEN 2 THEN 6 WHEN 3 THEN 12 WHEN 4 THEN 24 WHEN 5 THEN 48 WHEN 6 THEN 96 WHEN 7 THEN 192 END AS lead_hours,
-  CAST(l_suppkey % 2 AS INTEGER) AS y, CAST(l_partkey % 2 AS INTEGER) AS x, avg(l_quantity) AS qty, avg(l_discount) AS disc
+  CAST(l_suppkey % 2 AS INTEGER) AS y, CAST(l_partkey % 2 AS INTEGER) AS x, avg(l_quantity) AS qty, avg(l_extendedprice) AS price, avg(l_discount) AS disc, avg(l_tax) AS tax
   FROM lineitem GROUP BY 1, 2, 3, 4, 5)"""
 
 
 @query(
     "source:s init_time:t lead_hours:i variable:s y:i x:i valid_time:t value:d ref_value:d",
-    f"""WITH d AS ({_DAILY_SQL}) SELECT a.*, r.init_time AS valid_time, r.value AS ref_value FROM d a JOIN d r
-        ON r.source = 'N' AND r.lead_hours = 0 AND r.variable = a.variable AND r.y = a.y AND r.x = a.x AND r.init_time = a.init_time + to_hours(a.lead_hours)
-        WHERE a.source <> 'N'""",
+    f"""WITH d AS MATERIALIZED ({_DAILY_SQL}),
+        a AS MATERIALIZED (SELECT *, epoch(init_time) + 3600 * lead_hours AS due FROM d WHERE source <> 'N'),
+        r AS MATERIALIZED (SELECT variable, y, x, epoch(init_time) AS due, init_time AS valid_time, value AS ref_value FROM d WHERE source = 'N' AND lead_hours = 0)
+        SELECT source, init_time, lead_hours, variable, y, x, valid_time, value, ref_value FROM a JOIN r USING (variable, y, x, due)""",
 )
 def pair_valid_time(v: Views):
     d = _daily(v)
@@ -323,7 +326,7 @@ def pair_valid_time(v: Views):
           SELECT a.*, r.value AS prior_value FROM d a JOIN d r ON r.source = 'N' AND r.lead_hours = 0 AND r.variable = a.variable AND r.y = a.y AND r.x = a.x
           AND r.init_time = a.init_time + to_hours(a.lead_hours) - INTERVAL 24 HOUR WHERE a.source <> 'N'),
         s AS (SELECT variable, avg(value) AS mean, stddev_pop(value) AS std FROM d GROUP BY 1)
-        SELECT source, init_time, lead_hours, y, x, CASE variable WHEN 'qty' THEN 0 ELSE 1 END + unnest([0, 2]) AS channel,
+        SELECT source, init_time, lead_hours, y, x, {_INDEX} + unnest([0, 4]) AS channel,
           unnest([(prior_value - mean) / std, (value - mean) / std]) AS value FROM p JOIN s USING (variable)""",
 )
 def pair_cross_source(v: Views):
@@ -331,6 +334,6 @@ def pair_cross_source(v: Views):
     d = _daily(v)
     reference = d.where((F.col("source") == "N") & (F.col("lead_hours") == 0))
     pairs = pairing.pair_cross_source(d.where(F.col("source") != "N"), reference, 24).drop("prior_time")
-    return compose.compose(pairs, "concat", ["qty", "disc"], stats.field_stats(d))
+    return compose.compose(pairs, "concat", VARIABLES, stats.field_stats(d))
 
 
