@@ -8,12 +8,17 @@ import __spark_entry__ as entry
 FOLDER = "/root/testdata/sf0.001"
 
 # One query per family against its SQL; `check.py` compares all of them.
-SAMPLE = ["select_time_ranges", "even_subsample", "compose_phase", "asof_nearest", "corrupt_patch_shuffle", "psd_radial", "mask_context", "kfold_pools", "mmd_rbf", "reverse_kl_by_lead"]
+SAMPLE = [
+    "select_time_ranges", "even_subsample", "compose_phase", "diff_snapshots", "asof_nearest", "pair_valid_time", "corrupt_patch_shuffle",
+    "corrupt_blur_gaps", "corrupt_padded", "corruption_plan", "psd_radial", "psd_histogram", "epoch_fields", "mask_context", "mask_contexts",
+    "kfold_pools", "pool_dedup", "kfold_gradients", "kfold_evaluation", "holdout_pairs", "logits_by_disturbance", "mmd_rbf", "frechet_plane",
+    "pca_plane", "reverse_kl_by_lead", "reverse_kl_per_critic", "latent_pipeline",
+]
 
 
 def test_registry():
     queries, sqls = entry.queries(), entry.oracle_sql()
-    assert set(sqls) <= set(queries) and len(queries) > 140 and len(sqls) > 125
+    assert set(sqls) <= set(queries) and len(queries) > 160 and len(sqls) > 150
 
 
 def test_entry(spark):
