@@ -317,13 +317,13 @@ def corrupt(df: DataFrame, name: str, severity, seed: int = 0, padded: tuple[int
     return on_interior(df, severity, lambda rows: CORRUPTIONS[kind](rows, severity, seed, **options), padded)
 
 
-def corrupt_fieldwise(df: DataFrame, name: str, variable: str, severity, seed: int = 0) -> DataFrame:
-    """Corrupt one variable and leave the others; the wind corruptions need both components and are refused."""
+def corrupt_fieldwise(df: DataFrame, name: str, variable: str, severity, seed: int = 0, padded: tuple[int, int] = PADDED_SHAPE) -> DataFrame:
+    """Corrupt one variable and leave the others, padded fields inside; the wind corruptions need both components and are refused."""
     kind = name if name in CORRUPTIONS else canonical_name(name)
     if kind not in FIELDWISE:
         raise ValueError(f"corruption {name!r} cannot be applied to one field; one of {FIELDWISE}")
     only = F.when(F.col("variable") == variable, _column(severity)).otherwise(0.0)
-    return CORRUPTIONS[kind](df, only, seed)
+    return on_interior(df, only, lambda rows: CORRUPTIONS[kind](rows, only, seed), padded)
 
 
 # --- analysis family: raw fields ----------------------------------------------------------------------------------------------

@@ -239,6 +239,9 @@ def test_padded_fields_are_corrupted_inside(spark):
         want = np.pad(np.pad(bare, [(0, 0)] * 3 + [(8, 8)], mode="wrap"), [(0, 0)] * 2 + [(4, 3), (0, 0)])
         np.testing.assert_array_equal(got, want)
         np.testing.assert_array_equal(got[0], padded[0])
+    one = fields(corrupt.corrupt_fieldwise(frame(padded), "blur", "u", F.col("severity"), padded=(13, 25)))
+    np.testing.assert_array_equal(one[:, [0, 2, 3]], padded[:, [0, 2, 3]])
+    np.testing.assert_array_equal(one[:, 1], fields(corrupt.corrupt(frame(padded), "blur", F.col("severity"), padded=(13, 25)))[:, 1])
     whole = fields(corrupt.corrupt(frame(padded), "blur", F.col("severity")))  # not the model's size: blurred as it is
     assert not np.array_equal(whole[1, :, 3], padded[1, :, 3])
 
