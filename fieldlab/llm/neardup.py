@@ -2,9 +2,10 @@
 
 Equal texts are collapsed first. Of each distinct text, the shingles of five words are labelled with their occurrence number. Each of
 `bands` sketches takes the `picks` labelled shingles of smallest keyed hash and keeps them in text order; texts with an equal sketch
-share a bucket. The members of a bucket are compared with its smallest and its largest member, never all with all, so a bucket costs
-as much as it has members. Buckets whose members then belong to several classes take up to eight other members, drawn by a keyed hash, which are
-compared with the members of other classes; this goes on until a turn links nothing more. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
+share a bucket. The members of a bucket are compared with its most central member (the text whose buckets hold the most texts, as an
+original among its copies does), never all with all, so a bucket costs as much as it has members. Buckets whose members then belong to
+several classes take leads from up to four of these classes, by a keyed hash, which are compared with the members of other classes; this
+goes on until a turn links nothing more. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
 similarity is m / (a + b - m), and the band is as wide as the wanted similarity permits. Verified links are joined into classes by
 passing the smallest label along.
 
@@ -19,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions.reuse import materialize, stored
@@ -29,7 +30,7 @@ from fieldlab.llm.stars import components
 WORDS = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
-LEADS = 8  # members of a bucket that the others are compared with in a later turn
+LEADS = 4  # classes of a bucket from which a later turn takes a lead
 _HASHES = 1 << 18  # of one text at a time
 
 
@@ -126,54 +127,67 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     return 0.0
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (low, high) of ids whose texts are as similar as wanted."""
-    wanted = pairs.select(F.explode(F.array("low", "high")).alias("id")).distinct()
-    texts = rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))  # equal ids have equal texts
-    half = pairs.join(texts.select(F.col("id").alias("low"), F.col("text").alias("low_text")), "low")
-    both = half.join(texts.select(F.col("id").alias("high"), F.col("text").alias("high_text")), "high")
+def _verified(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (low, high) of pairs(id, lead) whose texts are as similar as wanted. A pair ships the text of `id`; that of a lead goes once
+    to each task that needs it.
+    """
+    half = pairs.join(texts, "id")
+    both = half.join(texts.select(F.col("id").alias("lead"), F.col("text").alias("lead_text")), "lead")
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        good = [aligned(shingles(x), shingles(y), similarity) >= similarity - 1e-12 for x, y in zip(frame["low_text"], frame["high_text"])]
-        return frame.loc[good, ["low", "high"]]
+        good, last, run = [], None, None
+        for lead, text, lead_text in zip(frame["lead"], frame["text"], frame["lead_text"]):
+            if lead != last:  # pairs with one lead follow each other
+                last, run = lead, shingles(lead_text)
+            good.append(aligned(run, shingles(text), similarity) >= similarity - 1e-12)
+        found = frame.loc[good, ["id", "lead"]]
+        return pd.DataFrame({"low": found.min(axis=1), "high": found.max(axis=1)})
 
-    return stored(per_row(both, "low long, high long", ["low", "high", "low_text", "high_text"], verify).distinct())
+    return stored(per_row(both, "low long, high long", ["id", "lead", "text", "lead_text"], verify))
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("id", "lead").alias("low"), F.greatest("id", "lead").alias("high")).distinct()
+def _apart(pairs: DataFrame) -> DataFrame:
+    """(low, high, id, lead), once per pair of texts."""
+    ordered = pairs.groupBy(F.least("id", "lead").alias("low"), F.greatest("id", "lead").alias("high")).agg(F.min("lead").alias("lead"))
+    return ordered.withColumn("id", F.when(F.col("lead") == F.col("low"), F.col("high")).otherwise(F.col("low")))
 
 
 def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 3) -> DataFrame:
     """(id, label, links) of the texts that have verified links, from rows(id, doc_id, text) where equal texts have equal ids."""
 
     def sketch(frame: pd.DataFrame) -> pd.DataFrame:
-        out = [(band, key, i) for i, t in zip(frame["id"], frame["text"]) for band, key in enumerate(sketches(t, bands, picks))]
-        return pd.DataFrame(out, columns=["band", "key", "id"])
-
-    placed = materialize(per_row(rows.where("text != ''"), "band int, key long, id long", ["id", "text"], sketch))
-    buckets = placed.groupBy("band", "key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most")
-    pairs = placed.join(buckets, ["band", "key"]).select("id", F.explode(F.array("least", "most")).alias("lead")).where("id != lead")
-    tested = stored(_ordered(pairs))
-    found = _verified(rows, tested, similarity)
-    placed = stored(placed.join(buckets.select("band", "key"), ["band", "key"], "left_semi").distinct())
+        once = frame.drop_duplicates("id")
+        out = [(key, i) for i, t in zip(once["id"], once["text"]) for key in set(sketches(t, bands, picks))]
+        return pd.DataFrame(out, columns=["key", "id"])
+
+    placed = stored(per_row(rows.where("text != ''"), "key long, id long", ["id", "text"], sketch).distinct())
+    sizes = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = placed.join(sizes, "key").withColumn("weight", F.sum("n").over(Window.partitionBy("id")))  # at most one row per band in a window
+    placed = members = stored(shared.select("key", "id", "weight"))
+    texts = rows.groupBy("id").agg(F.min("text").alias("text"))  # equal ids have equal texts
+    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    # First everyone meets the most central member of each bucket: the one whose buckets are the largest, as those of an original among its copies are.
+    centre = stored(members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead")))
+    tested = stored(_apart(members.join(centre, "key").where("id != lead").select("id", "lead").distinct()))
+    found = _verified(texts, tested.select("id", "lead"), similarity)
     forest, turn = found, 0  # links that connect what is connected: after a turn, one per text
-    while True:  # buckets that still hold several classes: other leads, until they link nothing more
+    while True:  # buckets that still hold several classes: leads of several classes, until they link nothing more
         turn += 1
         label = stored(components(forest))
-        marked = placed.select("band", "key", "id").join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        draw = F.xxhash64("id", "band", F.lit(turn))
-        drawn = marked.groupBy("band", "key", F.pmod(draw, F.lit(LEADS)).alias("slot")).agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(draw.alias("by"), "id", "label")).alias("lead")
+        marked = placed.select("key", "id", "weight").join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        # The draw doesn't depend on the bucket, so that the buckets of a family draw the same leads and a pair comes up once.
+        drawn_class, drawn_member = F.xxhash64("label", F.lit(turn)), F.xxhash64("id", F.lit(turn)) if turn > 1 else -F.col("weight")
+        drawn = marked.groupBy("key", F.pmod(drawn_class, F.lit(LEADS)).alias("slot")).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label")).alias("lead")
         )
-        several = drawn.groupBy("band", "key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list("lead").alias("leads"))
-        several = stored(several.where("low != high").select("band", "key", "leads"))
-        placed = stored(marked.join(several, ["band", "key"]))  # one row per member, with its bucket's leads beside it
+        several = drawn.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("lead.id", "lead.label")).alias("leads"))
+        several = stored(several.where("low != high").select("key", "leads"))
+        placed = stored(marked.join(several, "key"))  # one row per member, with its bucket's leads beside it
         other = F.explode(F.filter("leads", lambda lead: lead["label"] != F.col("label"))).alias("lead")
-        pairs = _ordered(placed.select("id", other).select("id", F.col("lead.id").alias("lead")))
-        fresh = stored(pairs.join(tested, ["low", "high"], "left_anti"))
-        more = _verified(rows, fresh, similarity)
-        if more.isEmpty():
+        pairs = _apart(placed.select("id", other).select("id", F.col("lead.id").alias("lead")).distinct())
+        fresh = stored(pairs.join(tested.select("low", "high"), ["low", "high"], "left_anti"))
+        more = _verified(texts, fresh.select("id", "lead"), similarity)
+        if more.isEmpty() and turn > 1:
             both = found.select(F.col("low").alias("id")).union(found.select("high"))
             return label.withColumnRenamed("root", "label").join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
         tested, found = stored(tested.union(fresh)), stored(found.union(more))
