@@ -4,8 +4,8 @@ Equal texts are collapsed first. Of each distinct text, the shingles of five wor
 `bands` sketches takes the `picks` labelled shingles of smallest keyed hash and keeps them in text order; texts with an equal sketch
 share a bucket. The members of a bucket are compared with its most central member (the text whose buckets hold the most texts, as an
 original among its copies does), never all with all, so a bucket costs as much as it has members. Buckets whose members then belong to
-several classes take leads from up to four of these classes, by a keyed hash, which are compared with the members of other classes; this
-goes on until a turn links nothing more. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
+several classes take leads from up to eight of these classes, by a keyed hash, which are compared with the members of other classes; this
+goes on until a turn links nothing more. Buckets of up to eight members are finished at once, as all of them lead. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
 similarity is m / (a + b - m), and the band is as wide as the wanted similarity permits. Verified links are joined into classes by
 passing the smallest label along.
 
@@ -16,7 +16,6 @@ Distinct texts are told apart by a 64-bit hash.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ from fieldlab.llm.stars import components
 WORDS = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
-LEADS = 4  # classes of a bucket from which a later turn takes a lead
+LEADS = 8  # of a bucket in a later turn, each from another class; a bucket of so many members takes all
 _HASHES = 1 << 18  # of one text at a time
 
 
@@ -104,7 +103,7 @@ def aligned(a: np.ndarray, b: np.ndarray, similarity: float) -> float:
     if total == 0:
         return 1.0
     need = similarity * total / (1 + similarity)  # the least m
-    if min(len(a), len(b)) < need - 1e-9 or sum((Counter(a.tolist()) & Counter(b.tolist())).values()) < need - 1e-9:
+    if min(len(a), len(b)) < need - 1e-9 or len(np.intersect1d(labelled(a), labelled(b), assume_unique=True)) < need - 1e-9:
         return 0.0
     width = int(total - 2 * need + 1e-9)  # unaligned shingles that are allowed: the band
     lead = 0
@@ -163,21 +162,22 @@ def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int
     placed = stored(per_row(rows.where("text != ''"), "key long, id long", ["id", "text"], sketch).distinct())
     sizes = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = placed.join(sizes, "key").withColumn("weight", F.sum("n").over(Window.partitionBy("id")))  # at most one row per band in a window
-    placed = members = stored(shared.select("key", "id", "weight"))
+    placed = members = stored(shared.select("key", "id", "n", "weight"))
     texts = rows.groupBy("id").agg(F.min("text").alias("text"))  # equal ids have equal texts
     texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"))
     # First everyone meets the most central member of each bucket: the one whose buckets are the largest, as those of an original among its copies are.
     centre = stored(members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead")))
     tested = stored(_apart(members.join(centre, "key").where("id != lead").select("id", "lead").distinct()))
     found = _verified(texts, tested.select("id", "lead"), similarity)
-    forest, turn = found, 0  # links that connect what is connected: after a turn, one per text
+    label, turn = stored(components(found)), 0
     while True:  # buckets that still hold several classes: leads of several classes, until they link nothing more
         turn += 1
-        label = stored(components(forest))
-        marked = placed.select("key", "id", "weight").join(label.withColumnRenamed("root", "label"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        named = label.select("id", F.col("root").alias("label"))
+        marked = placed.select("key", "id", "n", "weight").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # The draw doesn't depend on the bucket, so that the buckets of a family draw the same leads and a pair comes up once.
         drawn_class, drawn_member = F.xxhash64("label", F.lit(turn)), F.xxhash64("id", F.lit(turn)) if turn > 1 else -F.col("weight")
-        drawn = marked.groupBy("key", F.pmod(drawn_class, F.lit(LEADS)).alias("slot")).agg(
+        slot = F.when(F.col("n") <= LEADS, F.col("id")).otherwise(F.pmod(drawn_class, F.lit(LEADS)))
+        drawn = marked.groupBy("key", slot.alias("slot")).agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label")).alias("lead")
         )
         several = drawn.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("lead.id", "lead.label")).alias("leads"))
@@ -189,9 +189,21 @@ def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int
         more = _verified(texts, fresh.select("id", "lead"), similarity)
         if more.isEmpty() and turn > 1:
             both = found.select(F.col("low").alias("id")).union(found.select("high"))
-            return label.withColumnRenamed("root", "label").join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
+            return named.join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
         tested, found = stored(tested.union(fresh)), stored(found.union(more))
-        forest = label.select(F.col("root").alias("low"), F.col("id").alias("high")).where("low != high").union(more)
+        label = stored(_merged(label, more))
+        placed = placed.where(F.col("n") > LEADS)  # all pairs of the others are tested
+
+
+def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, root) of label and of the ends of these links, where the links join classes. Only their roots are passed along."""
+    root = lambda end: F.coalesce(f"{end}_root", end).alias(end)
+    ends = links
+    for end in ("low", "high"):
+        ends = ends.join(label.select(F.col("id").alias(end), F.col("root").alias(f"{end}_root")), end, "left")
+    moved = stored(components(ends.select(root("low"), root("high")).distinct()))
+    old = label.join(moved.select(F.col("id").alias("root"), F.col("root").alias("now")), "root", "left").select("id", F.coalesce("now", "root").alias("root"))
+    return old.union(moved.join(label, "id", "left_anti"))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 3) -> DataFrame:

@@ -401,6 +401,29 @@ def test_drifting_copies_stay_linked(spark):
     assert [got[i].class_id for i in range(len(texts))] == label
 
 
+def test_star_family_without_its_original(spark):
+    """Copies of a text that isn't there: most pairs are just below the limit, and the links that exist are spread over many buckets."""
+    random.seed(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base, texts = [random.choice(vocabulary) for _ in range(150)], []
+    for _ in range(150):
+        c = list(base)
+        for _ in range(3):
+            c[random.randrange(len(c))] = random.choice(vocabulary)
+        texts.append(" ".join(c))
+    runs = [neardup.shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    near = [(i, j) for i in label for j in range(i) if neardup.aligned(runs[j], runs[i], 0.8) >= 0.8]
+    while True:
+        before = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            break
+    got = result(neardup.near_duplicates(frame(spark, texts)))
+    assert [got[i].class_id for i in range(len(texts))] == label
+
+
 def test_alignment_is_a_longest_common_subsequence():
     import numpy as np
 
