@@ -174,8 +174,8 @@ def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int
         turn += 1
         named = label.select("id", F.col("root").alias("label"))
         marked = placed.select("key", "id", "n", "weight").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
-        # The draw doesn't depend on the bucket, so that the buckets of a family draw the same leads and a pair comes up once.
-        drawn_class, drawn_member = F.xxhash64("label", F.lit(turn)), F.xxhash64("id", F.lit(turn)) if turn > 1 else -F.col("weight")
+        # Each bucket draws for itself: the buckets of a family then try different members, which finds rare links sooner.
+        drawn_class, drawn_member = F.xxhash64("label", "key", F.lit(turn)), F.xxhash64("id", "key", F.lit(turn))
         slot = F.when(F.col("n") <= LEADS, F.col("id")).otherwise(F.pmod(drawn_class, F.lit(LEADS)))
         drawn = marked.groupBy("key", slot.alias("slot")).agg(
             F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label")).alias("lead")
