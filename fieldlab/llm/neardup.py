@@ -66,7 +66,7 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def labelled(h: np.ndarray) -> np.ndarray:
-    """The hashes with the number of their occurrence mixed in."""
+    """The hashes with the number of their occurrence mixed in; a first occurrence keeps its hash, whether others follow or not."""
     order = np.argsort(h, kind="stable")
     s = h[order]
     new = np.append(True, s[1:] != s[:-1])
@@ -75,7 +75,7 @@ def labelled(h: np.ndarray) -> np.ndarray:
     at = np.arange(len(s))
     number = at - np.maximum.accumulate(np.where(new, at, 0))
     out = np.empty_like(h)
-    out[order] = mixed(s + number.astype(np.uint64) * np.uint64(_STEP))
+    out[order] = np.where(number == 0, s, mixed(s + number.astype(np.uint64) * np.uint64(_STEP)))
     return out
 
 

@@ -441,6 +441,14 @@ def test_alignment_is_a_longest_common_subsequence():
         assert got == pytest.approx(exact) if exact >= 0.8 else got == 0.0
 
 
+def test_a_repeated_shingle_changes_no_other_label():
+    import numpy as np
+
+    once = np.array([5, 6, 7, 8], np.uint64)
+    twice = np.array([5, 6, 7, 8, 6], np.uint64)
+    assert list(neardup.labelled(twice)[:4]) == list(neardup.labelled(once)) and neardup.labelled(twice)[4] not in once
+
+
 def test_near_copies_without_id_are_linked(spark):
     many = [f"w{i}" for i in range(200)]
     near = " ".join([*many[:-1], "other"])
