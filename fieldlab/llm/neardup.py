@@ -5,7 +5,8 @@ Equal texts are collapsed first. Of each distinct text, the shingles of five wor
 share a bucket. The members of a bucket are compared with its most central member (the text whose buckets hold the most texts, as an
 original among its copies does), never all with all, so a bucket costs as much as it has members. Buckets whose members then belong to
 several classes take leads from up to eight of these classes, by a keyed hash, which are compared with the members of other classes; this
-goes on until a turn links nothing more. Buckets of up to eight members are finished at once, as all of them lead. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
+goes on until a turn links nothing more. Buckets of up to eight members are finished at once, as all of them lead. Pairs whose lengths alone rule the
+similarity out are dropped before their texts are fetched. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
 similarity is m / (a + b - m), and the band is as wide as the wanted similarity permits. Verified links are joined into classes by
 passing the smallest label along.
 
@@ -19,7 +20,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions.reuse import materialize, stored
@@ -79,9 +80,10 @@ def labelled(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(text: str | None, bands: int, picks: int) -> list[int]:
-    """One signed 64-bit key per band. Bands are hashed together, as many at a time as keep a long text's hashes within a few MB."""
-    h = shingles(text)
+def sketches(h: np.ndarray, bands: int, picks: int) -> list[int]:
+    """One signed 64-bit key per band for a text's shingles. Bands are hashed together, as many at a time as keep a long text's hashes
+    within a few MB.
+    """
     if not len(h):
         return [0] * bands
     h, seeds, out = labelled(h), [(band + 1) * _STEP & (2**64 - 1) for band in range(bands)], []
@@ -151,39 +153,49 @@ def _apart(pairs: DataFrame) -> DataFrame:
     return ordered.withColumn("id", F.when(F.col("lead") == F.col("low"), F.col("high")).otherwise(F.col("low")))
 
 
-def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 3) -> DataFrame:
+def _sizes_permit(a: str, b: str | Column, similarity: float) -> Column:
+    """Whether texts of so many shingles can be as similar as wanted: m aligned ones are at most the shorter text, m / (a + b - m) at most min / max."""
+    return F.least(a, b) >= F.greatest(a, b) * F.lit(similarity) - F.lit(1e-6)
+
+
+def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 4) -> DataFrame:
     """(id, label, links) of the texts that have verified links, from rows(id, doc_id, text) where equal texts have equal ids."""
 
     def sketch(frame: pd.DataFrame) -> pd.DataFrame:
         once = frame.drop_duplicates("id")
-        out = [(key, i) for i, t in zip(once["id"], once["text"]) for key in set(sketches(t, bands, picks))]
-        return pd.DataFrame(out, columns=["key", "id"])
+        out = []
+        for i, t in zip(once["id"], once["text"]):
+            h = shingles(t)
+            out += [(key, i, len(h)) for key in set(sketches(h, bands, picks))]
+        return pd.DataFrame(out, columns=["key", "id", "size"])
 
-    placed = stored(per_row(rows.where("text != ''"), "key long, id long", ["id", "text"], sketch).distinct())
+    placed = stored(per_row(rows.where("text != ''"), "key long, id long, size int", ["id", "text"], sketch).distinct())
     sizes = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = placed.join(sizes, "key").withColumn("weight", F.sum("n").over(Window.partitionBy("id")))  # at most one row per band in a window
-    placed = members = stored(shared.select("key", "id", "n", "weight"))
+    placed = members = stored(shared.select("key", "id", "size", "n", "weight"))
     texts = rows.groupBy("id").agg(F.min("text").alias("text"))  # equal ids have equal texts
     texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"))
     # First everyone meets the most central member of each bucket: the one whose buckets are the largest, as those of an original among its copies are.
-    centre = stored(members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("lead")).select("key", F.col("lead.id").alias("lead")))
-    tested = stored(_apart(members.join(centre, "key").where("id != lead").select("id", "lead").distinct()))
+    centre = members.groupBy("key").agg(F.max(F.struct("weight", "id", "size")).alias("lead"))
+    centre = stored(centre.select("key", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")))
+    met = members.join(centre, "key").where((F.col("id") != F.col("lead")) & _sizes_permit("size", "lead_size", similarity))
+    tested = stored(_apart(met.select("id", "lead").distinct()))
     found = _verified(texts, tested.select("id", "lead"), similarity)
     label, turn = stored(components(found)), 0
     while True:  # buckets that still hold several classes: leads of several classes, until they link nothing more
         turn += 1
         named = label.select("id", F.col("root").alias("label"))
-        marked = placed.select("key", "id", "n", "weight").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        marked = placed.select("key", "id", "size", "n").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
         # Each bucket draws for itself: the buckets of a family then try different members, which finds rare links sooner.
         drawn_class, drawn_member = F.xxhash64("label", "key", F.lit(turn)), F.xxhash64("id", "key", F.lit(turn))
         slot = F.when(F.col("n") <= LEADS, F.col("id")).otherwise(F.pmod(drawn_class, F.lit(LEADS)))
         drawn = marked.groupBy("key", slot.alias("slot")).agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label")).alias("lead")
+            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label", "size")).alias("lead")
         )
-        several = drawn.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("lead.id", "lead.label")).alias("leads"))
+        several = drawn.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("lead.id", "lead.label", "lead.size")).alias("leads"))
         several = stored(several.where("low != high").select("key", "leads"))
         placed = stored(marked.join(several, "key"))  # one row per member, with its bucket's leads beside it
-        other = F.explode(F.filter("leads", lambda lead: lead["label"] != F.col("label"))).alias("lead")
+        other = F.explode(F.filter("leads", lambda lead: (lead["label"] != F.col("label")) & _sizes_permit("size", lead["size"], similarity))).alias("lead")
         pairs = _apart(placed.select("id", other).select("id", F.col("lead.id").alias("lead")).distinct())
         fresh = stored(pairs.join(tested.select("low", "high"), ["low", "high"], "left_anti"))
         more = _verified(texts, fresh.select("id", "lead"), similarity)
@@ -206,7 +218,7 @@ def _merged(label: DataFrame, links: DataFrame) -> DataFrame:
     return old.union(moved.join(label, "id", "left_anti"))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int = 4) -> DataFrame:
     """doc_id, class_id, n_links, n_copies, stays, text_id: one row per row of docs(doc_id, text).
 
     class_id is the smallest doc_id of the class, n_links and n_copies count the links and the rows of this text, and `stays` marks the
