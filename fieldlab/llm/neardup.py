@@ -4,8 +4,10 @@ Equal texts are collapsed first. Of each distinct text, the shingles of five wor
 `bands` sketches takes the `picks` labelled shingles of smallest keyed hash and keeps them in text order; texts with an equal sketch
 share a bucket. The members of a bucket are compared with its most central member (the text whose buckets hold the most texts, as an
 original among its copies does), never all with all, so a bucket costs as much as it has members. Buckets whose members then belong to
-several classes take leads from up to eight of these classes, by a keyed hash, which are compared with the members of other classes; this
-goes on until a turn links nothing more. Buckets of up to eight members are finished at once, as all of them lead. Pairs whose lengths alone rule the
+several classes take leads from two of these classes, by a keyed hash, which are compared with the members of other classes, in two turns.
+Buckets of up to eight members are finished at once, as all of them lead. What is still mixed then is finished exactly: two texts as similar
+as wanted share one of their rarest shingles, if of each text so many are taken that the others cannot make the similarity; all pairs
+of different classes that meet on such a shingle are verified. Pairs whose lengths alone rule the
 similarity out are dropped before their texts are fetched. A candidate pair is verified by a banded alignment of the shingle sequences: with m aligned shingles, the
 similarity is m / (a + b - m), and the band is as wide as the wanted similarity permits. Verified links are joined into classes by
 passing the smallest label along.
@@ -17,6 +19,7 @@ Distinct texts are told apart by a 64-bit hash.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +33,10 @@ from fieldlab.llm.stars import components
 WORDS = 5
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _STEP = 0x9E3779B97F4A7C15
-LEADS = 8  # of a bucket in a later turn, each from another class; a bucket of so many members takes all
+SMALL = 8  # members of a bucket that is finished at once, as all of them lead
+LEADS = 2  # of a larger bucket in a later turn, each from another class
+TURNS = 2  # with drawn leads, before the rest is finished exactly
+CELLS = 1 << 20  # of the table of shingle counts that orders shingles by rarity
 _HASHES = 1 << 18  # of one text at a time
 
 
@@ -173,38 +179,85 @@ def linked(rows: DataFrame, similarity: float = 0.8, bands: int = 16, picks: int
     sizes = stored(placed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     shared = placed.join(sizes, "key").withColumn("weight", F.sum("n").over(Window.partitionBy("id")))  # at most one row per band in a window
     placed = members = stored(shared.select("key", "id", "size", "n", "weight"))
-    texts = rows.groupBy("id").agg(F.min("text").alias("text"))  # equal ids have equal texts
-    texts = stored(texts.join(members.select("id").distinct(), "id", "left_semi"))
+    wanted = stored(members.select("id").distinct())
+    texts = stored(rows.join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))  # equal ids have equal texts
     # First everyone meets the most central member of each bucket: the one whose buckets are the largest, as those of an original among its copies are.
     centre = members.groupBy("key").agg(F.max(F.struct("weight", "id", "size")).alias("lead"))
     centre = stored(centre.select("key", F.col("lead.id").alias("lead"), F.col("lead.size").alias("lead_size")))
     met = members.join(centre, "key").where((F.col("id") != F.col("lead")) & _sizes_permit("size", "lead_size", similarity))
     tested = stored(_apart(met.select("id", "lead").distinct()))
     found = _verified(texts, tested.select("id", "lead"), similarity)
-    label, turn = stored(components(found)), 0
-    while True:  # buckets that still hold several classes: leads of several classes, until they link nothing more
-        turn += 1
+    label = stored(components(found))
+
+    def verify(pairs: DataFrame) -> None:
+        nonlocal tested, found, label
+        fresh = stored(pairs.join(tested.select("low", "high"), ["low", "high"], "left_anti"))
+        more = _verified(texts, fresh.select("id", "lead"), similarity)
+        tested, found, label = stored(tested.union(fresh)), stored(found.union(more)), stored(_merged(label, more))
+
+    def marked() -> DataFrame:
         named = label.select("id", F.col("root").alias("label"))
-        marked = placed.select("key", "id", "size", "n").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+        return placed.select("key", "id", "size", "n").join(named, "id", "left").withColumn("label", F.coalesce("label", "id"))
+
+    for turn in range(TURNS):  # buckets that still hold several classes: leads of several classes
         # Each bucket draws for itself: the buckets of a family then try different members, which finds rare links sooner.
         drawn_class, drawn_member = F.xxhash64("label", "key", F.lit(turn)), F.xxhash64("id", "key", F.lit(turn))
-        slot = F.when(F.col("n") <= LEADS, F.col("id")).otherwise(F.pmod(drawn_class, F.lit(LEADS)))
-        drawn = marked.groupBy("key", slot.alias("slot")).agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label", "size")).alias("lead")
-        )
+        slot = F.when(F.col("n") <= SMALL, F.col("id")).otherwise(F.pmod(drawn_class, F.lit(LEADS)))
+        drawn = marked().groupBy("key", slot.alias("slot")).agg(
+            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.min(F.struct(drawn_class.alias("by"), drawn_member.alias("then"), "id", "label", "size")).alias("lead"),
+        )
         several = drawn.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_list(F.struct("lead.id", "lead.label", "lead.size")).alias("leads"))
         several = stored(several.where("low != high").select("key", "leads"))
-        placed = stored(marked.join(several, "key"))  # one row per member, with its bucket's leads beside it
+        placed = stored(marked().join(several, "key"))  # one row per member, with its bucket's leads beside it
         other = F.explode(F.filter("leads", lambda lead: (lead["label"] != F.col("label")) & _sizes_permit("size", lead["size"], similarity))).alias("lead")
-        pairs = _apart(placed.select("id", other).select("id", F.col("lead.id").alias("lead")).distinct())
-        fresh = stored(pairs.join(tested.select("low", "high"), ["low", "high"], "left_anti"))
-        more = _verified(texts, fresh.select("id", "lead"), similarity)
-        if more.isEmpty() and turn > 1:
-            both = found.select(F.col("low").alias("id")).union(found.select("high"))
-            return named.join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
-        tested, found = stored(tested.union(fresh)), stored(found.union(more))
-        label = stored(_merged(label, more))
-        placed = placed.where(F.col("n") > LEADS)  # all pairs of the others are tested
+        verify(_apart(placed.select("id", other).select("id", F.col("lead.id").alias("lead")).distinct()))
+        placed = placed.where(F.col("n") > SMALL)  # all pairs of the others are tested
+    verify(_across(texts, marked().select("id", "label").distinct(), similarity))
+    both = found.select(F.col("low").alias("id")).union(found.select("high"))
+    return label.select("id", F.col("root").alias("label")).join(both.groupBy("id").agg(F.count("*").alias("links")), "id")
+
+
+def _across(texts: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Every pair of texts of different classes that can be as similar as wanted, from named(id, label).
+
+    With a similarity s, a text of a shingles shares at least s * a of them, so one of any a - s * a + 1 that come first in an order that
+    holds for all texts. The order is by rarity, which the counts of hashed cells tell well enough: it decides about the work, not the
+    result. On a shingle of several classes, the members outside its largest class meet the members of other classes.
+    """
+    texts = stored(texts.join(named, "id"))
+
+    def cell(h: np.ndarray) -> np.ndarray:
+        return (h % np.uint64(CELLS)).astype(np.int64)
+
+    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(CELLS, np.int64)
+        for frame in frames:
+            for text in frame["text"]:
+                np.add.at(n, cell(labelled(shingles(text))), 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"cell": at, "n": n[at]})
+
+    counts = texts.select("text").mapInPandas(counted, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # CELLS rows at most
+    common = np.zeros(CELLS, np.int64)
+    common[counts["cell"].to_numpy()] = counts["n"].to_numpy()
+
+    def rarest(frame: pd.DataFrame) -> pd.DataFrame:
+        parts = [(np.zeros(0, np.int64),) * 4]
+        for i, label, text in zip(frame["id"], frame["label"], frame["text"]):
+            h = labelled(shingles(text))
+            n = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1
+            first = h[np.lexsort((h, common[cell(h)]))[:n]]
+            parts.append((first.view(np.int64), np.full(len(first), i, np.int64), np.full(len(first), label, np.int64), np.full(len(first), len(h), np.int64)))
+        return pd.DataFrame(dict(zip(("token", "id", "label", "size"), map(np.concatenate, zip(*parts)))))
+
+    rare = stored(per_row(texts, "token long, id long, label long, size long", ["id", "label", "text"], rarest))
+    held = rare.groupBy("token", "label").agg(F.count("*").alias("n"))
+    most = held.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = stored(rare.join(most.select("token", F.col("most.label").alias("most")), "token"))
+    outside = mixed.where("label != most").select("token", F.col("id").alias("lead"), F.col("label").alias("lead_label"), F.col("size").alias("lead_size"))
+    met = mixed.join(outside, "token").where((F.col("label") != F.col("lead_label")) & _sizes_permit("size", "lead_size", similarity))
+    return _apart(met.select("id", "lead").distinct())
 
 
 def _merged(label: DataFrame, links: DataFrame) -> DataFrame:

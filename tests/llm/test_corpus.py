@@ -401,14 +401,15 @@ def test_drifting_copies_stay_linked(spark):
     assert [got[i].class_id for i in range(len(texts))] == label
 
 
-def test_star_family_without_its_original(spark):
+@pytest.mark.parametrize("copies,edits", [(150, 3), (200, 4)])
+def test_star_family_without_its_original(spark, copies, edits):
     """Copies of a text that isn't there: most pairs are just below the limit, and the links that exist are spread over many buckets."""
     random.seed(7)
     vocabulary = [f"w{i}" for i in range(3000)]
     base, texts = [random.choice(vocabulary) for _ in range(150)], []
-    for _ in range(150):
+    for _ in range(copies):
         c = list(base)
-        for _ in range(3):
+        for _ in range(edits):
             c[random.randrange(len(c))] = random.choice(vocabulary)
         texts.append(" ".join(c))
     runs = [neardup.shingles(t) for t in texts]
@@ -424,6 +425,29 @@ def test_star_family_without_its_original(spark):
     assert [got[i].class_id for i in range(len(texts))] == label
 
 
+def test_rarest_shingles_lose_no_pair_of_different_classes(spark):
+    """The exact end alone, with classes dealt at random: every pair across classes that is similar enough is among its pairs."""
+    random.seed(11)
+    vocabulary, texts = [f"w{i}" for i in range(400)], []
+    for _ in range(5):
+        base = [random.choice(vocabulary) for _ in range(random.choice((1, 7, 60, 200)))]
+        for _ in range(16):
+            c = list(base)
+            for _ in range(random.choice((0, 1, 2, 4, 8))):
+                at = random.randrange(len(c))
+                c[at : at + random.choice((0, 1))] = [random.choice(vocabulary)] * random.choice((1, 1, 3))
+            texts.append(" ".join(c))
+    texts = sorted(set(texts))
+    label = [random.randrange(4) for _ in texts]
+    runs = [neardup.shingles(t) for t in texts]
+    wanted = {(j, i) for i in range(len(texts)) for j in range(i) if label[i] != label[j] and neardup.aligned(runs[j], runs[i], 0.8) >= 0.8}
+    stock = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    found = neardup._across(stock, spark.createDataFrame(list(enumerate(label)), "id long, label long"), 0.8).collect()
+    got = {(r.low, r.high) for r in found}
+    assert wanted and wanted <= got and len(got) == len(found)
+    assert all(label[a] != label[b] for a, b in got)
+
+
 def test_alignment_is_a_longest_common_subsequence():
     import numpy as np
 
