@@ -223,7 +223,8 @@ def _across(texts: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
 
     With a similarity s, a text of a shingles shares at least s * a of them, so one of any a - s * a + 1 that come first in an order that
     holds for all texts. The order is by rarity, which the counts of hashed cells tell well enough: it decides about the work, not the
-    result. On a shingle of several classes, the members outside its largest class meet the members of other classes.
+    result. On a shingle of several classes, the members outside its largest class meet the members of other classes. On the first
+    shingle that two texts share, what follows it in the shorter remainder bounds all that they share.
     """
     texts = stored(texts.join(named, "id"))
 
@@ -243,20 +244,22 @@ def _across(texts: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
     common[counts["cell"].to_numpy()] = counts["n"].to_numpy()
 
     def rarest(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [(np.zeros(0, np.int64),) * 4]
+        parts = [(np.zeros(0, np.int64),) * 5]
         for i, label, text in zip(frame["id"], frame["label"], frame["text"]):
             h = labelled(shingles(text))
             n = len(h) - int(np.ceil(similarity * len(h) - 1e-6)) + 1
             first = h[np.lexsort((h, common[cell(h)]))[:n]]
-            parts.append((first.view(np.int64), np.full(len(first), i, np.int64), np.full(len(first), label, np.int64), np.full(len(first), len(h), np.int64)))
-        return pd.DataFrame(dict(zip(("token", "id", "label", "size"), map(np.concatenate, zip(*parts)))))
+            same = (np.full(len(first), x, np.int64) for x in (i, label, len(h)))
+            parts.append((first.view(np.int64), *same, len(h) - np.arange(len(first))))
+        return pd.DataFrame(dict(zip(("token", "id", "label", "size", "rest"), map(np.concatenate, zip(*parts)))))
 
-    rare = stored(per_row(texts, "token long, id long, label long, size long", ["id", "label", "text"], rarest))
+    rare = stored(per_row(texts, "token long, id long, label long, size long, rest long", ["id", "label", "text"], rarest))
     held = rare.groupBy("token", "label").agg(F.count("*").alias("n"))
     most = held.groupBy("token").agg(F.max(F.struct("n", "label")).alias("most"), F.count("*").alias("classes")).where("classes > 1")
     mixed = stored(rare.join(most.select("token", F.col("most.label").alias("most")), "token"))
-    outside = mixed.where("label != most").select("token", F.col("id").alias("lead"), F.col("label").alias("lead_label"), F.col("size").alias("lead_size"))
-    met = mixed.join(outside, "token").where((F.col("label") != F.col("lead_label")) & _sizes_permit("size", "lead_size", similarity))
+    outside = mixed.where("label != most").select("token", *[F.col(c).alias(as_) for c, as_ in (("id", "lead"), ("label", "lead_label"), ("size", "lead_size"), ("rest", "lead_rest"))])
+    needed = (F.col("size") + F.col("lead_size")) * F.lit(similarity / (1 + similarity)) - F.lit(1e-6)  # implies the permitted sizes, too
+    met = mixed.join(outside, "token").where((F.col("label") != F.col("lead_label")) & (F.least("rest", "lead_rest") >= needed))
     return _apart(met.select("id", "lead").distinct())
 
 
