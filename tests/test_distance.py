@@ -83,6 +83,28 @@ def test_mmd_matches_brute_force(spark, sets, block_rows):
         assert abs(got[name].mmd - value) < 1e-10
 
 
+def test_median_takes_two_counting_passes(spark, sets, monkeypatch):
+    x, y, _ = sets
+    passes, per_tile = [], distance._per_tile
+    monkeypatch.setattr(distance, "_per_tile", lambda *given: passes.append(1) or per_tile(*given))
+    grid, _ = distance.tiles(frame(spark, x), frame(spark, y, "y"), "g", "sample_id")
+    assert dict(grid.dtypes)["a"] == "binary"
+    gamma = distance.mmd_gammas(grid).collect()[0].gamma
+    assert abs(gamma - lower_median_mmd(x, y)[0]) < 1e-9 * gamma and len(passes) <= 2
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_median_of_ties_and_after_a_wrong_guess(spark, few, monkeypatch):
+    monkeypatch.setattr(distance, "SAMPLE", 1)  # the guess commonly misses the rank
+    monkeypatch.setattr(distance, "FEW", few)
+    rng = np.random.default_rng(8)
+    for x, y in ((rng.integers(0, 2, (60, 3)), rng.integers(0, 2, (50, 3))), (np.ones((40, 2)), np.r_[np.ones((9, 2)), np.zeros((2, 2))]), (rng.normal(size=(50, 2)), rng.normal(size=(40, 2)) ** 9)):
+        x, y = x.astype(float), y.astype(float)
+        got = distance.mmd_rbf(frame(spark, x), frame(spark, y, "y"), "g", "sample_id", block_rows=13).collect()[0]
+        gamma, value = lower_median_mmd(x, y)
+        assert abs(got.gamma - gamma) < 1e-9 * gamma and abs(got.mmd - value) < 1e-10
+
+
 def test_mmd_with_given_gamma_and_duplicates(spark):
     x = np.ones((20, 3))
     got = distance.mmd_rbf(frame(spark, x), frame(spark, x, "y"), "g", "sample_id", gamma=0.5).collect()[0]
