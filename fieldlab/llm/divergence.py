@@ -37,12 +37,10 @@ def _removed(text: Column, pattern: str) -> Column:
 
 
 def _repeated(words: Column) -> Column:
-    """Words inside three-word windows that occur twice or more."""
+    """Words inside three-word windows that occur twice or more. Windows are put in order only where one occurs twice."""
     n = F.size(words)
-    windows = F.transform(
-        F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-        lambda w, i: F.struct(F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)).alias("key"), i.alias("at")),
-    )
+    keys = F.transform(F.slice(words, 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))
+    placed = lambda a: F.sort_array(F.transform(a, lambda key, i: F.struct(key.alias("key"), i.alias("at"))))
 
     def covered(ordered: Column) -> Column:
         last = F.size(ordered)
@@ -55,7 +53,8 @@ def _repeated(words: Column) -> Column:
         )
         return F.when(last > 1, F.size(F.array_distinct(F.flatten(F.transform(same, lambda at: F.array(at, at + 1, at + 2)))))).otherwise(0)
 
-    return F.when(n > 3, let(F.sort_array(windows), covered)).otherwise(0).cast("long")
+    several = lambda a: F.when(F.size(F.array_distinct(a)) < F.size(a), let(placed(a), covered)).otherwise(0)
+    return F.when(n > 3, let(keys, several)).otherwise(0).cast("long")
 
 
 def _duplicates(text: Column) -> Column:
@@ -65,7 +64,7 @@ def _duplicates(text: Column) -> Column:
 
 
 def _times(found: Column, k: int) -> Column:
-    return F.size(F.filter(found, lambda x: x == k)).cast("long")
+    return (F.size(found) - F.size(F.array_remove(found, k))).cast("long")
 
 
 def measures(docs: DataFrame, common: list[str]) -> DataFrame:
@@ -73,12 +72,16 @@ def measures(docs: DataFrame, common: list[str]) -> DataFrame:
     rows = docs.select("doc_id", "lang", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.filter(F.split("text", SPACE, -1), lambda w: w != ""))
     listed = F.array(*[F.lit(w) for w in common])
-    place = F.filter(F.transform("words", lambda w: F.array_position(listed, lower_ascii(F.rtrim(w, F.lit(".,;:!?"))))), lambda i: i > 0)
-    letters = [_removed(F.col("text"), p) for p in CLASSES.values()]
+    bare = lambda w: F.rtrim(w, F.lit(".,;:!?"))
+    likely = F.filter("words", lambda w: F.lower(bare(w)).isin(common))  # a set of constants; what follows goes through the list
+    place = F.filter(F.transform(likely, lambda w: F.array_position(listed, lower_ascii(bare(w)))), lambda i: i > 0)
+    # Most characters are a-z: they are taken out once, and the others are counted in the rest, which is short.
+    rows = rows.withColumn("rest", F.regexp_replace("text", CLASSES["lower"], ""))
+    letters = [(F.length("text") - F.length("rest")).cast("long") if k == "lower" else _removed(F.col("rest"), p) for k, p in CLASSES.items()]
     return rows.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        _removed(F.col("text"), r"[#*$%&|<>]+").alias("n_symbols"),
+        (F.length("text") - _removed(F.col("rest"), SPACE)).cast("long").alias("word_chars"),
+        _removed(F.col("rest"), r"[#*$%&|<>]+").alias("n_symbols"),
         _duplicates(F.col("text")).alias("n_dup_lines"),
         let(F.col("words"), _repeated).alias("n_repeat_words"),
         F.array(*letters).alias("chars"),

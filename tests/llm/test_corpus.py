@@ -524,3 +524,19 @@ def test_odd_inputs_everywhere(spark):
         pair = [r.asDict() for r in got if r.doc_id is None]
         assert pair[0] == pair[1], name
         assert job(odd.limit(0)).collect() == [], name
+
+
+def test_rules_look_words_up_in_a_set_and_count_classes_in_the_rest(spark):
+    common = sorted({w for words in divergence.COMMON.values() for w in words})
+    texts = ["THE cat, of. M\u00c1s m\u00e1s und! The #1 <b>\u00e9\U0001f600</b>\tof the\x0bend ", "a b c a b c", "one two three four", "", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    measured = divergence.measures(docs, common)
+    plan = measured._jdf.queryExecution().optimizedPlan().toString()
+    assert "INSET" in plan.upper() and plan.count("regexp_replace(text") == 1  # one pass over the whole text, a-z taken out
+    for r in measured.collect():
+        text = texts[r.doc_id] or ""
+        assert r.chars == [sum(map(len, re.findall(p, text))) for p in divergence.CLASSES.values()]
+        assert r.word_chars == len(re.sub(divergence.SPACE, "", text)) and r.n_symbols == len(re.findall(r"[#*$%&|<>]", text))
+        bare = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w.rstrip(".,;:!?")) for w in re.split(divergence.SPACE, text) if w]
+        assert r.common == [bare.count(w) for w in common] + [sum(w not in common for w in bare)]
+        assert r.n_repeat_words == (6 if r.doc_id == 1 else 0)
