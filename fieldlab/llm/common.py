@@ -36,18 +36,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def per_row(df: DataFrame, schema: str, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """`columns` of df, 500 rows at a time through `work`. Whole numbers stay whole where some are null."""
+def per_row(df: DataFrame, schema: str, columns: list[str], work: Callable[[pd.DataFrame], pd.DataFrame], unread: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """`columns` of df, 500 rows at a time through `work`. Whole numbers stay whole where some are null. `unread` columns are passed to
+    the task and no further, for a plan that is to keep them.
+    """
 
     target = to_arrow_schema(StructType.fromDDL(schema))
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for start in range(0, batch.num_rows, 500):
-                frame = batch.slice(start, 500).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+                frame = batch.slice(start, 500).select(columns).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
                 yield pa.RecordBatch.from_pandas(work(frame), schema=target, preserve_index=False)
 
-    return df.select(*columns).mapInArrow(batches, schema)
+    return df.select(*columns, *unread).mapInArrow(batches, schema)
 
 
 def carried(columns: tuple[str, ...]) -> Column:

@@ -340,6 +340,43 @@ def test_passages_match_brute_force(spark):
     assert sorted(r.n_words_removed for r in linededup.dedup_lines(no_ids).collect()) == [0, 75]
 
 
+def test_lines_shuffle_texts_once(spark, docs):
+    """The texts are dealt once, for the comparison and the result; the places of one stretch travel together."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = linededup.dedup_lines(spark.read.parquet(f"{FOLDER}/documents.parquet"))
+        assert {r.doc_id for r in cut.collect()} == set(docs)
+        plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "ReusedExchange" in plan and plan.count("FileScan parquet [doc_id") + plan.count("FileScan parquet [text") <= 2  # the second one is named by the reuse
+
+
+def test_many_copies_match_brute_force(spark):
+    """More copies than a batch has rows, of a passage, a long line, whole texts and a line that one text has many times."""
+    random.seed(11)
+    own = lambda n: [f"w{random.randint(0, 10**9)}" for _ in range(n)]
+    passage, line, whole, again = own(60), own(70), own(90), own(9)
+    texts = []
+    for i in range(1300):
+        flat = [own(7), passage if i % 2 else [], own(5), line if i % 3 == 0 else [], *[again] * (i % 11)]
+        texts.append("\n".join(" ".join(x) for x in flat if x) if i % 4 else " ".join(whole) + "\n" + " ".join(own(i % 3)))
+    got = result(linededup.dedup_lines(frame(spark, texts), least_words=10**9, long_words=10**9))
+    assert {i: (r.text or "").split() for i, r in got.items()} == words_left(texts, range(len(texts)))
+    want, _ = line_removals(texts)
+    assert {i: r.n_removed for i, r in result(linededup.dedup_lines(frame(spark, texts))).items()} == {i: want.get(i, 0) for i in range(len(texts))}
+
+
+def test_word_hashes_and_first_smallest():
+    words = ["a", "bb", "abcdefgh", "abcdefghi", "\u00e9" * 20, "\x00", "\x00\x00", "x" * 1000, "x" * 1001]
+    h = linededup.numbered(words)
+    assert len(set(h.tolist())) == len(words) and (linededup.numbered(words[::-1])[::-1] == h).all() and not len(linededup.numbered([]))
+    x = np.random.default_rng(0).integers(0, 5, 300).astype(np.uint64)
+    for n in (1, 2, 3, 5, 26):
+        assert (linededup.least_in(x, n) == np.arange(301 - n) + np.lib.stride_tricks.sliding_window_view(x, n).argmin(1)).all()
+
+
 # Near-duplicates
 
 
