@@ -3,8 +3,9 @@
 A page is cut into blocks. Blocks inside `article` or `main` are its main text; scripts, forms, menus, headers, footers, sidebars,
 notices, adverts and reader comments are not. The tokens of all blocks outside the main region form the page's stream. The suffixes of
 a host's streams are grouped by their first `depth` tokens, which is where a suffix array sorted to that depth has its runs: a run with
-two distinct pages or more is a long substring that repeats. Runs are found by a pre-aggregated minimum and maximum of the page, so a
-host with a third of all pages is no single task. Blocks outside the main region stay only if they are ordinary text and no repeated
+two distinct pages or more is a long substring that repeats. Runs are found by the minimum and maximum of their pages; what 500 pages have
+of a run is one row, so a host with a third of all pages is no single task. Pages are parsed once and their packed blocks shuffled once, by
+page, for the runs and the result alike; of the suffixes, only hashes and places are shuffled, once. Blocks outside the main region stay only if they are ordinary text and no repeated
 run covers a token of theirs (or, in a page without a main region, not more than half of their tokens).
 
 Runs are told apart by 128 bits of hash. Null and empty html: empty text. `<![` in any form is a comment; an unfinished tag at the end of
@@ -14,18 +15,17 @@ a page is no text. Pages with the same id, address and html count as one page. A
 from __future__ import annotations
 
 import re
+import zlib
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from fieldlab.functions.reuse import stored
 from fieldlab.llm.common import per_row
 
-SALTS = 32
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li"
@@ -119,24 +119,30 @@ def blocks_of(html: str | None) -> list[tuple[int, str]]:
     return parser.found
 
 
-def _stream(regions: list[int], texts: list[str]) -> list[tuple[int, str]]:
+def packed(blocks: list[tuple[int, str]]) -> bytes:
+    """The regions, a digit each, and the texts, which have no line ends, by lines."""
+    return zlib.compress("\n".join(("".join(str(r) for r, _ in blocks), *(t for _, t in blocks))).encode(), 1)
+
+
+def unpacked(found: bytes) -> list[tuple[int, str]]:
+    regions, *texts = zlib.decompress(found).decode().split("\n")
+    return list(zip(map(int, regions), texts))
+
+
+def _stream(blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """(block, token) of everything outside the main region."""
-    return [(i, token) for i, (region, text) in enumerate(zip(regions, texts)) if region != INSIDE for token in text.split()]
+    return [(i, token) for i, (region, text) in enumerate(blocks) if region != INSIDE for token in text.split()]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        found = [blocks_of(h) for h in frame["html"]]
-        out = frame[["page_id", "url", "host", "page"]].copy()
-        out["regions"] = [[r for r, _ in f] for f in found]
-        out["texts"] = [[t for _, t in f] for f in found]
-        return out
+        return frame.assign(blocks=[packed(blocks_of(h)) for h in frame["html"]]).drop(columns="html")
 
     rows = pages.select("page_id", "url", "html").withColumns({
         "host": F.lower(F.coalesce(F.regexp_extract("url", HOST, 1), F.lit(""))),
         "page": F.xxhash64("page_id", "url", "html"),
     })
-    return per_row(rows, "page_id long, url string, host string, page long, regions array<int>, texts array<string>", rows.columns, work)
+    return per_row(rows, "page_id long, url string, host string, page long, blocks binary", rows.columns, work)
 
 
 def repeated_places(parsed: DataFrame, depth: int) -> DataFrame:
@@ -144,32 +150,44 @@ def repeated_places(parsed: DataFrame, depth: int) -> DataFrame:
 
     def suffixes(frame: pd.DataFrame) -> pd.DataFrame:
         heads, pages, starts = [], [], []
-        for host, page, regions, texts in zip(frame["host"], frame["page"], frame["regions"], frame["texts"]):
-            tokens = [t for _, t in _stream(list(regions), list(texts))]
+        for host, page, blocks in zip(frame["host"], frame["page"], frame["blocks"]):
+            tokens = [t for _, t in _stream(unpacked(blocks))]
             n = max(0, len(tokens) - depth + 1)
             heads += [xxh3_128_digest(" ".join((host, *tokens[i : i + depth]))) for i in range(n)]
             pages.append(np.full(n, page, np.int64))
             starts.append(np.arange(n, dtype=np.int32))
-        return pd.DataFrame({"run": heads, "page": np.concatenate(pages), "start": np.concatenate(starts)})
+        low, high = np.frombuffer(b"".join(heads), np.int64).reshape(-1, 2).T
+        page, start = np.concatenate(pages), np.concatenate(starts)
+        order = np.lexsort((start, page, high, low))
+        low, high, page, start = low[order], high[order], page[order], start[order]
+        begin = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)])
+        end = np.append(begin[1:], len(low))[: len(begin)]
+        out = pd.DataFrame({"low": low[begin], "high": high[begin], "page": page[begin], "start": start[begin], "last": page[end - 1]})
+        for name, x in (("pages", page), ("starts", start)):
+            out[name] = pd.Series([x[a + 1 : b] if b - a > 1 else None for a, b in zip(begin, end)], dtype=object)
+        return out
 
-    found = per_row(parsed, "run binary, page long, start int", ["host", "page", "regions", "texts"], suffixes)
-    runs = stored(found.groupBy("run").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low != high").select("run"))
-    spread = runs.select("run", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = found.select("run", "page", "start", F.pmod("page", F.lit(SALTS)).cast("int").alias("salt"))
-    return salted.join(spread, ["run", "salt"]).groupBy("page").agg(F.collect_set("start").alias("starts"))
+    # The columns of the result are taken along unread, so that both read one shuffle of the blocks. Pages of a host stand together, as they share runs.
+    schema = "low long, high long, page long, start int, last long, pages array<long>, starts array<int>"
+    found = per_row(parsed.sortWithinPartitions("host"), schema, ["host", "page", "blocks"], suffixes, unread=["page_id", "url"])
+    run = Window.partitionBy("low", "high")
+    runs = found.withColumns({"least": F.min("page").over(run), "most": F.max("last").over(run)}).where("least != most")
+    rest = F.transform(F.arrays_zip("pages", "starts"), lambda x: F.struct(x["pages"].alias("page"), x["starts"].alias("start")))
+    places = F.concat(F.array(F.struct("page", "start")), F.coalesce(rest, F.array().cast("array<struct<page:bigint,start:int>>")))
+    return runs.select(F.explode(places).alias("place")).select("place.*").groupBy("page").agg(F.collect_set("start").alias("starts"))
 
 
 def extract(pages: DataFrame, depth: int = 6) -> DataFrame:
     """page_id, url, text, n_chars, n_boiler (repeated tokens): one row per row of pages(page_id, url, html)."""
-    parsed = stored(_parsed(pages))  # parsed once, read for the runs and for the result
+    parsed = _parsed(pages).repartition("page")
     joined = parsed.join(repeated_places(parsed, depth), "page", "left")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         texts_out, boiler = [], []
-        for regions, texts, starts in zip(frame["regions"], frame["texts"], frame["starts"]):
-            regions, texts = list(regions), list(texts)
+        for found, starts in zip(frame["blocks"], frame["starts"]):
+            blocks = unpacked(found)
             starts = [] if starts is None else sorted(starts)
-            stream, covered, size = _stream(regions, texts), {}, {}
+            stream, covered, size = _stream(blocks), {}, {}
             reach = 0
             total = 0
             for start in starts:
@@ -179,11 +197,12 @@ def extract(pages: DataFrame, depth: int = 6) -> DataFrame:
                 reach = start + depth
             for block, _ in stream:
                 size[block] = size.get(block, 0) + 1
-            allowed = 0.0 if INSIDE in regions else 0.5
-            kept = [t for i, (r, t) in enumerate(zip(regions, texts)) if r == INSIDE or (r == OUTSIDE and covered.get(i, 0) <= allowed * size[i])]
+            allowed = 0.0 if any(r == INSIDE for r, _ in blocks) else 0.5
+            kept = [t for i, (r, t) in enumerate(blocks) if r == INSIDE or (r == OUTSIDE and covered.get(i, 0) <= allowed * size[i])]
             texts_out.append("\n".join(kept))
             boiler.append(total)
         out = pd.DataFrame({"page_id": frame["page_id"], "url": frame["url"], "text": texts_out, "n_chars": [len(t) for t in texts_out], "n_boiler": boiler})
         return out
 
-    return per_row(joined, "page_id long, url string, text string, n_chars long, n_boiler long", ["page_id", "url", "regions", "texts", "starts"], work)
+    schema = "page_id long, url string, text string, n_chars long, n_boiler long"
+    return per_row(joined, schema, ["page_id", "url", "blocks", "starts"], work, unread=["host", "page"])

@@ -268,6 +268,42 @@ def test_pages_without_main_region(spark):
     assert len(got) == 7 and text[1] == "story number 1 tells of w1 x1 y1 & z1" and text[7] == text[8] == "" and text[9] == notice
 
 
+def test_pages_are_parsed_and_shuffled_once(spark):
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = html.extract(spark.read.parquet(f"{FOLDER}/pages.parquet"))
+        assert found.count() and found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert "ReusedExchange" in plan and "blocks" in plan and "texts" not in plan
+    blocks = [(2, "a b"), (0, "\u00e9 c"), (1, "menu")]
+    assert html.unpacked(html.packed(blocks)) == blocks and html.unpacked(html.packed([])) == []
+
+
+def test_runs_match_brute_force(spark):
+    """Hosts of more pages than a batch has rows; runs that two pages share, far apart, or that one page has twice."""
+    random.seed(3)
+    word = lambda: f"w{random.randint(0, 40)}"
+    rows = []
+    for i in range(1200):
+        own = [" ".join(word() for _ in range(random.randint(1, 9))) for _ in range(3)]
+        often = ["all pages of this host have these words"] * (i % 3 > 0) + ["one page has this twice in itself it has"] * (2 if i == 5 else 0)
+        rows.append((i, f"http://h{i % 2}.example/{i}", "".join(f"<p>{t}</p>" for t in own + often)))
+    tokens = {i: [(k, t) for k, b in enumerate(re.findall("<p>(.*?)</p>", h)) for t in b.split()] for i, _, h in rows}
+    pages = {}
+    for i, t in tokens.items():
+        for at in range(len(t) - 5):
+            pages.setdefault((i % 2, *(x for _, x in t[at : at + 6])), set()).add(i)
+    for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        i, t = r.page_id, tokens[r.page_id]
+        hit = {x for at in range(len(t) - 5) if len(pages[(i % 2, *(x for _, x in t[at : at + 6]))]) > 1 for x in range(at, at + 6)}
+        blocks = re.findall("<p>(.*?)</p>", rows[i][2])
+        sizes, covered = Counter(k for k, _ in t), Counter(t[x][0] for x in hit)
+        assert (r.n_boiler, r.text) == (len(hit), "\n".join(b for k, b in enumerate(blocks) if covered[k] <= 0.5 * sizes[k])), i
+
+
 # Lines
 
 
