@@ -190,18 +190,16 @@ def _table(columns: str, parts: list[tuple]) -> pd.DataFrame:
 
 def _gathered(frame: pd.DataFrame, by: list[str]) -> pd.DataFrame:
     """Rows alike in `by` as one, that of their first place; the places of the others go along as lists."""
-    twice = frame["low"].duplicated(keep=False).to_numpy()
-    lone, met = frame[~twice].assign(rest_row=None, rest_at=None), frame[twice].sort_values([*by, "rank", "row", "at"])
-    if not len(met):
-        return lone
+    met = frame[frame["low"].duplicated(keep=False)].sort_values([*by, "rank", "row", "at"])
+    keep, rest_row, rest_at = np.ones(len(frame), bool), np.full(len(frame), None, object), np.full(len(frame), None, object)
+    where, row, at = met.index.to_numpy(), met["row"].to_numpy(np.int64), met["at"].to_numpy(np.int32)
     begin = np.flatnonzero((met[by] != met[by].shift()).any(axis=1))
-    end = np.append(begin[1:], len(met))
-    row, at = met["row"].to_numpy(np.int64), met["at"].to_numpy(np.int32)
-    met = met.iloc[begin].assign(**{
-        name: pd.Series([x[a + 1 : b] if b - a > 1 else None for a, b in zip(begin, end)], met.index[begin], object)
-        for name, x in (("rest_row", row), ("rest_at", at))
-    })
-    return pd.concat([lone, met]) if len(lone) else met
+    end = np.append(begin[1:], len(met))[: len(begin)]
+    keep[where] = False
+    keep[where[begin]] = True
+    for a, b in zip(begin[end - begin > 1], end[end - begin > 1]):
+        rest_row[where[a]], rest_at[where[a]] = row[a + 1 : b], at[a + 1 : b]
+    return frame.assign(rest_row=rest_row, rest_at=rest_at)[keep]
 
 
 def _scattered(met: DataFrame) -> DataFrame:
