@@ -105,6 +105,49 @@ def test_median_of_ties_and_after_a_wrong_guess(spark, few, monkeypatch):
         assert abs(got.gamma - gamma) < 1e-9 * gamma and abs(got.mmd - value) < 1e-10
 
 
+@pytest.mark.parametrize("size", [2, 3, 9])
+def test_pairs_far_from_a_bracket_are_counted_by_leaves(size):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(1000, size)), rng.normal(size=(777, size)) * 1.5 + 0.3
+    x, y = x[distance._order(x)], y[distance._order(y)]
+    for other in (y, None):
+        d = ((x[:, None] - (x if other is None else y)[None]) ** 2).sum(-1)
+        d[np.tri(*d.shape, dtype=bool) if other is None else np.zeros(d.shape, bool)] = np.inf
+        lo, hi = np.quantile(d[d < np.inf], [0.495, 0.505]) + 1e-9
+        pairs = distance._Pairs(len(x), x.tobytes(), None if other is None else len(y), None if other is None else y.tobytes())
+        below, inside = 0, []
+        for known, row, columns, part in pairs.parts(lo, hi):
+            below += known
+            if part is not None:
+                at = np.flatnonzero((part >= np.float32(lo - pairs.slip)) & (part <= hi + pairs.slip))
+                exact = pairs.exact(row, columns, at)
+                below += np.count_nonzero(part < np.float32(lo - pairs.slip)) + np.count_nonzero(exact < lo)
+                inside.append(exact[(exact >= lo) & (exact <= hi)])
+        np.testing.assert_allclose(np.sort(np.concatenate(inside)), np.sort(d[(d >= lo) & (d <= hi)]), rtol=1e-12)
+        assert below == np.count_nonzero(d < lo) and pairs.size == np.count_nonzero(d < np.inf)
+        assert pairs.open < (0.8 if size == 2 else 1.0) * pairs.size if size < 4 else pairs.open == pairs.size
+
+
+def test_kernel_of_few_components_needs_no_pairs():
+    rng = np.random.default_rng(10)
+    x, y = rng.normal(size=(300, 3)), rng.normal(size=(200, 3))
+    width = 1 / (2 * np.median(((x[:, None] - y[None]) ** 2).sum(-1)))
+    assert (distance._rest(x, y, False, np.array([width]), np.sqrt(2 * width)) == 0).all()
+
+
+@pytest.mark.parametrize("size", [3, 40])
+def test_mmd_with_vectors_far_off(spark, size):
+    rng = np.random.default_rng(11)
+    x, y = rng.normal(size=(150, size)) + 5, rng.normal(size=(120, size)) * 1.2 + 5
+    x[0] *= 3
+    x[1:3] *= -30
+    y[:2] *= 1e5
+    got = {r.g: r for r in distance.mmd_rbf(frame(spark, x), frame(spark, y, "y").unionByName(frame(spark, y * 1e-3, "z", 500)), "g", "sample_id", block_rows=60).collect()}
+    for name, other in (("y", y), ("z", y * 1e-3)):
+        gamma, value = lower_median_mmd(x, other)
+        assert abs(got[name].gamma - gamma) < 1e-9 * gamma and abs(got[name].mmd - value) < 1e-10
+
+
 def test_mmd_with_given_gamma_and_duplicates(spark):
     x = np.ones((20, 3))
     got = distance.mmd_rbf(frame(spark, x), frame(spark, x, "y"), "g", "sample_id", gamma=0.5).collect()[0]
