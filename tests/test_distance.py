@@ -128,6 +128,22 @@ def test_pairs_far_from_a_bracket_are_counted_by_leaves(size):
         assert pairs.open < (0.8 if size == 2 else 1.0) * pairs.size if size < 4 else pairs.open == pairs.size
 
 
+@pytest.mark.parametrize("size", [3, 20])
+def test_a_survey_takes_an_even_share_of_the_pairs(size):
+    rng = np.random.default_rng(12)
+    x, y = rng.normal(size=(3000, size)), rng.normal(size=(2500, size)) * 1.2 + 0.3
+    x, y = x[distance._order(x)], y[distance._order(y)]
+    d = ((x**2).sum(1)[:, None] + (y**2).sum(1) - 2 * x @ y.T).ravel()
+    middle, seen, below, known = np.median(d), 0, 0, 0
+    pairs = distance._Pairs(len(x), x.tobytes(), len(y), y.tobytes())
+    for whole, _, _, part in pairs.parts(middle * 0.97, middle * 1.03, 4):
+        known += whole
+        if part is not None:
+            seen, below = seen + np.count_nonzero(part < np.inf), below + np.count_nonzero(part < middle)
+    assert abs(seen / pairs.open - 0.25) < 0.01
+    assert abs(known + below * pairs.open / seen - d.size / 2) < 6 * np.sqrt(seen) * pairs.open / seen
+
+
 def test_kernel_of_few_components_needs_no_pairs():
     rng = np.random.default_rng(10)
     x, y = rng.normal(size=(300, 3)), rng.normal(size=(200, 3))
